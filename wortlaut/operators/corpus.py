@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wortlaut.functions.text import split_lines
-from wortlaut.operators.shred import shred
+from wortlaut.operators.shred import NODE_COLUMNS, shred
 
 DOC_KEYS = ("doc_id", "doc_ord", "subdir", "filename", "quelle")
 
@@ -25,10 +25,19 @@ class Corpus:
 
     docs: DataFrame
     shredded: DataFrame
+    columns: list[str] | None = None  # of an unsaved corpus
 
     @classmethod
     def of(cls, docs: DataFrame, columns: list[str] | None = None) -> Corpus:
-        return cls(docs, shred(docs, columns))
+        wanted = list(columns or NODE_COLUMNS)
+        return cls(docs, shred(docs, wanted), wanted)
+
+    def document(self, doc_id: str) -> Corpus:
+        """The corpus of one document; an unsaved corpus then shreds no other."""
+        docs = self.docs.filter(F.col("doc_id") == doc_id)
+        if self.columns is not None:
+            return Corpus.of(docs, self.columns)
+        return Corpus(docs, self.shredded.filter(F.col("doc_id") == doc_id))
 
     def save(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wortlaut.functions.ordering import document_position
-from wortlaut.functions.paths import parent, prefixes, strict_ancestors, suffix_predicate
+from wortlaut.functions.paths import parent, prefixes, suffix_predicate
 from wortlaut.functions.text import is_blank, strip
 
 # How many samples are kept and shown.
@@ -23,146 +23,177 @@ INLINE_ATTR_VALUES = 5
 ABSENT = "..."
 
 
-def path_tree(nodes: DataFrame) -> DataFrame:
-    """One row per path: tag, depth, has_text, and its rank among the children of its parent path.
+TAG, ATTR, TEXT = "tag", "attr", "text_content"
 
-    Children rank in first-seen order over the whole corpus, roots alphabetically.
-    """
-    # Only the first element of a path in its document can be the first seen, so the key is built for few rows.
-    first_seen = F.min(F.when(F.col("first_in_doc"), document_position(nodes)))
-    paths = nodes.groupBy("path").agg(F.max(~is_blank(F.col("text"))).alias("has_text"), first_seen.alias("first_seen"))
-    tree = paths.withColumn("parent_path", parent(F.col("path"))).withColumn(
-        "tag", F.element_at(F.split("path", "/"), -1)
-    )
-    by_name = F.when(F.col("parent_path") == "", F.col("tag"))
-    siblings = Window.partitionBy("parent_path").orderBy(by_name, "first_seen")
-    return tree.select(
-        "path", "parent_path", "tag", (F.size(F.split("path", "/")) - 1).alias("depth"), "has_text",
-        F.row_number().over(siblings).alias("child_rank"),
-    )
 
+def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
+    """What occurs at each path, in one pass over the nodes: ``(path, kind, name, values, first_seen)``.
 
-def _first_distinct(rows: DataFrame, keys: list[str], value: str, limit: int, out: str) -> DataFrame:
-    """Per key the first ``limit`` distinct values in order of first occurrence, as an array."""
-    seen = rows.groupBy(*keys, value).agg(F.min("_at").alias("_at"))
-    rank = Window.partitionBy(*keys).orderBy("_at", value)
-    kept = seen.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= limit)
-    ordered = F.array_sort(F.collect_list(F.struct("_rank", value)))
-    return kept.groupBy(*keys).agg(F.transform(ordered, lambda v: v[value]).alias(out))
+    Kind ``tag`` says that the path occurs, ``attr`` holds the first 20 distinct values of an attribute local name,
+    ``text_content`` the first 5 distinct direct texts, stripped and cut.  First means by document, then by place.
+    """
+    kinds = kinds or (TAG, ATTR, TEXT)
+
+    def fact(kind: str, name: Column, value: Column, minor: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), minor.alias("minor"))
+
+    none = F.lit("")
+    facts = []
+    if TAG in kinds:  # only the first element of a path in its document can be the first of all
+        facts.append(F.array(F.when(F.col("first_in_doc"), fact(TAG, none, none, F.lit(0)))))
+    if ATTR in kinds:
+        facts.append(F.transform("attrs", lambda a, i: fact(ATTR, a["local"], a["value"], i)))
+    if TEXT in kinds:
+        example = F.substring(strip(F.col("text")), 1, MAX_TEXT_LENGTH)
+        facts.append(F.array(F.when(~is_blank(F.col("text")), fact(TEXT, none, example, F.lit(0)))))
+    present = F.filter(F.concat(*(F.coalesce(f, F.array()) for f in facts)), lambda f: f.isNotNull())
+    rows = nodes.select("path", "doc_ord", "node_id", F.explode(present).alias("f")).select(
+        "path", "doc_ord", "node_id", "f.*"
+    )
+    keys = ("path", "kind", "name")
+    at = document_position(rows, minor=F.col("minor"))
+    seen = rows.groupBy(*keys, "value").agg(F.min(at).alias("at"))
+    rank = Window.partitionBy(*keys).orderBy("at", "value")
+    kept = seen.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= MAX_ATTR_VALUES)
+    kept = kept.filter((F.col("kind") != TEXT) | (F.col("rank") <= MAX_TEXTS))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
+    return kept.groupBy(*keys).agg(F.transform(ordered, lambda v: v["value"]).alias("values"), F.min("at").alias("first_seen"))
 
 
 def path_attrs(nodes: DataFrame) -> DataFrame:
     """Per path and attribute local name the first 20 distinct values."""
-    exploded = nodes.select("path", "doc_ord", "node_id", F.posexplode("attrs").alias("no", "a"))
-    rows = exploded.select(
-        "path", F.col("a.local").alias("attr"), F.col("a.value").alias("value"),
-        document_position(exploded, minor=F.col("no")).alias("_at"),
-    )
-    return _first_distinct(rows, ["path", "attr"], "value", MAX_ATTR_VALUES, "attr_values")
+    return samples(nodes, ATTR).select("path", F.col("name").alias("attr"), F.col("values").alias("attr_values"))
 
 
 def path_texts(nodes: DataFrame) -> DataFrame:
     """Per path the first 5 distinct direct texts, stripped and cut."""
-    texts = nodes.filter(~is_blank(F.col("text"))).withColumn(
-        "example", F.substring(strip(F.col("text")), 1, MAX_TEXT_LENGTH)
-    )
-    rows = texts.select("path", "example", document_position(texts).alias("_at"))
-    return _first_distinct(rows, ["path"], "example", MAX_TEXTS, "text_examples")
+    return samples(nodes, TEXT).select("path", F.col("values").alias("text_examples"))
 
 
-def _inline(values: Column) -> tuple[Column, Column]:
-    return F.slice(values, 1, INLINE_ATTR_VALUES), F.greatest(F.lit(0), F.size(values) - INLINE_ATTR_VALUES)
+def _depth(path: Column) -> Column:
+    return F.size(F.split(path, "/")) - 1
 
 
-def _row(df: DataFrame, row_id: Column, depth: Column, kind: str, label: Column, **other: Column) -> DataFrame:
-    fields = {
-        "has_children": F.lit(False),
-        "has_content": F.lit(False),
-        "example_loaded": F.lit(False),
-        "example_value": F.lit(""),
-        "attr_values": F.array().cast("array<string>"),
-        "is_search_match": F.lit(False),
-        "is_visible": F.lit(True),
-        "is_collapsed": F.lit(False),
-        **other,
-    }
-    inline, extra = _inline(fields["attr_values"])
-    return df.select(
-        row_id.alias("id"),
-        F.col("path"),
-        depth.alias("depth"),
-        F.lit(kind).alias("kind"),
-        label.alias("label"),
-        *(value.alias(name) for name, value in fields.items()),
-        inline.alias("inline_attr_values"),
-        extra.alias("extra_attr_count"),
-        F.col("sort_key"),
-    )
+def _by_rank(parent_path: Column, path: Column, first_seen: str):
+    """Order of the children of one parent: as first seen; roots by name."""
+    return Window.partitionBy(parent_path).orderBy(F.when(parent_path == "", path), first_seen)
 
 
-def _sort_keys(tree: DataFrame) -> DataFrame:
-    """(path, tag_key): strings whose order is the depth-first order of the tree.
+def path_tree(nodes: DataFrame) -> DataFrame:
+    """One row per path: tag, depth, has_text, and its rank among the children of its parent path.
 
-    Each level adds its child rank; '2' puts child tags after attributes ('0') and text ('1') of the same tag.
+    Children rank in first-seen order over the whole corpus, roots alphabetically.
     """
-    levels = tree.select("path", F.posexplode(prefixes(F.col("path"))).alias("level", "ancestor"))
-    ranks = tree.select(F.col("path").alias("ancestor"), "child_rank")
-    joined = levels.join(ranks, "ancestor").groupBy("path")
-    ordered = F.array_sort(F.collect_list(F.struct("level", F.lpad(F.col("child_rank").cast("string"), 9, "0").alias("r"))))
-    return joined.agg(F.array_join(F.transform(ordered, lambda x: x["r"]), ".2").alias("sort_key"))
-
-
-def tree_rows(tree: DataFrame, attrs: DataFrame) -> DataFrame:
-    """Display rows of the tree: tags, their attributes, their text.  Order by ``sort_key``."""
-    keyed = tree.join(_sort_keys(tree), "path")
-    has_attrs = attrs.select("path").distinct().withColumn("has_attrs", F.lit(True))
-    inner = tree.filter(F.col("parent_path") != "").select(F.col("parent_path").alias("path")).distinct()
-    tags = keyed.join(has_attrs, "path", "left").join(inner.withColumn("has_inner", F.lit(True)), "path", "left")
-    has_children = F.col("has_text") | F.coalesce("has_attrs", "has_inner", F.lit(False))
-    tag_rows = _row(tags, F.col("path"), F.col("depth"), "tag", F.col("tag"), has_children=has_children)
-
-    named = keyed.join(attrs, "path").withColumn("sort_key", F.concat("sort_key", F.lit(".0"), "attr"))
-    attr_rows = _row(
-        named, F.concat("path", F.lit("/@"), "attr"), F.col("depth") + 1, "attr", F.concat(F.lit("@"), "attr"),
-        attr_values=F.col("attr_values"), has_content=F.lit(True),
+    first_seen = F.min(F.when(F.col("first_in_doc"), document_position(nodes)))
+    paths = nodes.groupBy("path").agg(F.max(~is_blank(F.col("text"))).alias("has_text"), first_seen.alias("first_seen"))
+    tree = paths.withColumn("parent_path", parent(F.col("path")))
+    return tree.select(
+        "path", "parent_path", F.element_at(F.split("path", "/"), -1).alias("tag"), _depth(F.col("path")).alias("depth"),
+        "has_text", F.row_number().over(_by_rank(F.col("parent_path"), F.col("path"), "first_seen")).alias("child_rank"),
     )
-    texts = keyed.filter("has_text").withColumn("sort_key", F.concat("sort_key", F.lit(".1")))
-    text_rows = _row(
-        texts, F.concat("path", F.lit("/#text")), F.col("depth") + 1, "text_content", F.lit("#text"),
-        has_content=F.lit(True),
+
+
+def _with_sort_key(paths: DataFrame) -> DataFrame:
+    """Add ``has_inner`` and ``sort_key``, strings whose order is the depth-first order of the tree.
+
+    Each level of the key is a child rank; '2' puts child tags after attributes ('0') and text ('1') of the same tag.
+    Every path is laid out along its ancestors.  An ancestor is seen before anything below it, so its first_seen is the
+    least one among the paths through it, and no join is needed.
+    """
+    steps = paths.select("*", F.posexplode(prefixes(F.col("path"))).alias("level", "step"))
+    through = Window.partitionBy("step")
+    steps = steps.withColumn("step_seen", F.min("first_seen").over(through)).withColumn(
+        "step_inner", F.max(F.col("path") != F.col("step")).over(through)
+    )
+    ranked = steps.withColumn("rank", F.dense_rank().over(_by_rank(parent(F.col("step")), F.col("step"), "step_seen")))
+    keys = F.array_sort(F.collect_list(F.struct("level", F.lpad(F.col("rank").cast("string"), 9, "0").alias("rank"))))
+    return ranked.groupBy(*paths.columns).agg(
+        F.array_join(F.transform(keys, lambda k: k["rank"]), ".2").alias("sort_key"),
+        F.max(F.col("step_inner") & (F.col("step") == F.col("path"))).alias("has_inner"),
+    )
+
+
+def _inline(values: Column) -> tuple[Column, Column]:
+    return F.slice(values, 1, INLINE_ATTR_VALUES), F.greatest(F.lit(0), F.size(values) - INLINE_ATTR_VALUES)
+
+
+def tree_rows(nodes: DataFrame) -> DataFrame:
+    """Display rows of the merged tree: tags, their attributes, their text.  Order by ``sort_key``."""
+    attr = F.struct("name", "values")
+    paths = (
+        samples(nodes)
+        .groupBy("path")
+        .agg(
+            F.min(F.when(F.col("kind") == TAG, F.col("first_seen"))).alias("first_seen"),
+            F.max(F.col("kind") == TEXT).alias("has_text"),
+            F.array_sort(F.collect_list(F.when(F.col("kind") == ATTR, attr))).alias("attrs"),
+        )
+    )
+    path, depth, key = F.col("path"), _depth(F.col("path")), F.col("sort_key")
+    no_values = F.array().cast("array<string>")
+
+    def row(suffix: Column, deeper: int, kind: str, label: Column, values: Column, content: bool, children: Column):
+        place = F.lit("") if kind == TAG else F.lit(".1") if kind == TEXT else F.concat(F.lit(".0"), F.substring(label, 2, 1 << 20))
+        return F.struct(
+            F.concat(path, suffix).alias("id"), (depth + deeper).alias("depth"), F.lit(kind).alias("kind"),
+            label.alias("label"), children.alias("has_children"), F.lit(content).alias("has_content"),
+            values.alias("attr_values"), F.concat(key, place).alias("sort_key"),
+        )
+
+    never = F.lit(False)
+    tag_name = F.element_at(F.split(path, "/"), -1)
+    has_children = F.col("has_text") | F.col("has_inner") | (F.size("attrs") > 0)
+    tag_row = row(F.lit(""), 0, TAG, tag_name, no_values, False, has_children)
+    text_row = row(F.lit("/#text"), 1, TEXT, F.lit("#text"), no_values, True, never)
+    attr_rows = F.transform(
+        "attrs",
+        lambda a: row(F.concat(F.lit("/@"), a["name"]), 1, ATTR, F.concat(F.lit("@"), a["name"]), a["values"], True, never),
+    )
+    all_rows = F.concat(F.array(tag_row), attr_rows, F.when(F.col("has_text"), F.array(text_row)).otherwise(F.array()))
+    shown = _with_sort_key(paths).select("path", F.explode(all_rows).alias("r")).select("path", "r.*")
+    inline, extra = _inline(F.col("attr_values"))
+    return shown.select(
+        "id", "path", "depth", "kind", "label", "has_children", "has_content",
+        F.lit(True).alias("is_visible"), F.lit(False).alias("is_collapsed"),
+        F.lit(False).alias("example_loaded"), F.lit("").alias("example_value"),
+        "attr_values", inline.alias("inline_attr_values"), extra.alias("extra_attr_count"),
+        F.lit(False).alias("is_search_match"), "sort_key",
     )
-    return tag_rows.unionByName(attr_rows).unionByName(text_rows)
 
 
 def collapsible(rows: DataFrame, max_open_depth: int = 0) -> DataFrame:
     """Ids of the tag rows a collapse from this depth on closes."""
-    return rows.filter((F.col("kind") == "tag") & F.col("has_children") & (F.col("depth") >= max_open_depth)).select("id")
+    return rows.filter((F.col("kind") == TAG) & F.col("has_children") & (F.col("depth") >= max_open_depth)).select("id")
 
 
 def set_visibility(rows: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Flag collapsed tag rows and the rows that stay visible: those without a collapsed ancestor tag.
 
-    ``collapsed`` is a table of row ids: empty to expand all, ``collapsible(rows)`` to collapse all,
-    ``collapsible(rows, 1)`` for the default view.
+    ``collapsed`` is a table of row ids: empty to expand all, ``collapsible(rows)`` to collapse all.
     """
-    closed = collapsed.select(F.col("id").alias("ancestor")).distinct()
-    above = F.when(F.col("kind") == "tag", strict_ancestors(F.col("path"))).otherwise(prefixes(F.col("path")))
-    hidden = (
-        rows.select("id", F.explode(above).alias("ancestor")).join(closed, "ancestor", "left_semi").select("id").distinct()
-    )
-    flags = closed.select(F.col("ancestor").alias("id"), F.lit(True).alias("_closed"))
-    return (
-        rows.join(flags, "id", "left")
-        .join(hidden.withColumn("_hidden", F.lit(True)), "id", "left")
-        .withColumn("is_collapsed", (F.col("kind") == "tag") & F.coalesce("_closed", F.lit(False)))
-        .withColumn("is_visible", ~F.coalesce("_hidden", F.lit(False)))
-        .drop("_closed", "_hidden")
+    closed = collapsed.select(F.col("id").alias("step"), F.lit(True).alias("closed")).distinct()
+    # A tag row's path ends in itself; attribute and text rows have the path of the tag above them.
+    steps = rows.withColumn("step", F.explode(prefixes(F.col("path")))).join(closed, "step", "left")
+    own = (F.col("kind") == TAG) & (F.col("step") == F.col("path"))
+    is_closed = F.coalesce("closed", F.lit(False))
+    kept = [c for c in rows.columns if c not in ("is_collapsed", "is_visible")]
+    flagged = steps.groupBy(*kept).agg(
+        F.max(own & is_closed).alias("is_collapsed"), (~F.max(~own & is_closed)).alias("is_visible")
     )
+    return flagged.select(*rows.columns)
+
 
+def default_collapse(rows: DataFrame, max_open_depth: int = 1) -> DataFrame:
+    """Collapse every tag row with content from this depth on.
 
-def visible_rows(rows: DataFrame, max_open_depth: int = 1) -> DataFrame:
-    """Rows left visible when every tag row from this depth on is collapsed."""
-    return set_visibility(rows, collapsible(rows, max_open_depth)).filter("is_visible")
+    A tag above another row has content, so a row is hidden exactly when its parent is at this depth or deeper.
+    """
+    closed = (F.col("kind") == TAG) & F.col("has_children") & (F.col("depth") >= max_open_depth)
+    return rows.withColumn("is_collapsed", closed).withColumn("is_visible", F.col("depth") <= max_open_depth)
+
+
+def visible_rows(rows: DataFrame) -> DataFrame:
+    return rows.filter("is_visible")
 
 
 def search_tree(rows: DataFrame, query: str) -> DataFrame:
@@ -179,45 +210,39 @@ def search_tree(rows: DataFrame, query: str) -> DataFrame:
     )
     in_values = F.exists("inline_attr_values", lambda v: F.contains(F.lower(v), wanted))
     flagged = rows.withColumn("is_search_match", F.contains(F.lower("label"), wanted) | in_example | in_values)
-    kept_tags = (
-        flagged.filter("is_search_match").select(F.explode(prefixes(F.col("path"))).alias("path")).distinct()
+    # A path is kept when a hit lies at it or below it.  Attribute and text rows have the path of their tag.
+    steps = flagged.withColumn("step", F.explode(prefixes(F.col("path"))))
+    kept = steps.withColumn("hit_below", F.max("is_search_match").over(Window.partitionBy("step")))
+    return (
+        kept.filter((F.col("step") == F.col("path")) & F.col("hit_below"))
+        .drop("step", "hit_below")
+        .withColumn("is_visible", F.lit(True))
     )
-    # Attribute and text rows have the path of their tag, so one semi join keeps tags and what belongs to them.
-    return flagged.join(kept_tags, "path", "left_semi").withColumn("is_visible", F.lit(True))
 
 
-def project_doc(rows: DataFrame, nodes: DataFrame, doc_id: str) -> DataFrame:
-    """The tree with inline values and text examples of one document only; the full value list stays."""
-    own = nodes.filter(F.col("doc_id") == doc_id)
-    attrs = path_attrs(own).select(F.concat("path", F.lit("/@"), "attr").alias("id"), F.col("attr_values").alias("_own"))
-    texts = path_texts(own).select(F.concat("path", F.lit("/#text")).alias("id"), F.col("text_examples")[0].alias("_text"))
-    values = F.coalesce("_own", F.array().cast("array<string>"))
+def project_doc(rows: DataFrame, doc_nodes: DataFrame) -> DataFrame:
+    """The tree with inline values and text examples of one document only (its nodes); the full value list stays."""
+    suffix = F.when(F.col("kind") == ATTR, F.concat(F.lit("/@"), "name")).otherwise(F.lit("/#text"))
+    own = samples(doc_nodes, ATTR, TEXT).select(F.concat("path", suffix).alias("id"), F.col("values").alias("own"))
+    values = F.coalesce("own", F.array().cast("array<string>"))
     inline, extra = _inline(values)
-    is_attr, is_text = F.col("kind") == "attr", F.col("kind") == "text_content"
-
-    def either(name: str, for_attr: Column | None, for_text: Column | None) -> Column:
-        value = F.col(name)
-        if for_text is not None:
-            value = F.when(is_text, for_text).otherwise(value)
-        if for_attr is not None:
-            value = F.when(is_attr, for_attr).otherwise(value)
-        return value.alias(name)
-
+    first_text = F.coalesce(F.get(values, F.lit(0)), F.lit(ABSENT))
+    is_attr, is_text = F.col("kind") == ATTR, F.col("kind") == TEXT
     changed = {
-        "inline_attr_values": either("inline_attr_values", inline, None),
-        "extra_attr_count": either("extra_attr_count", extra, None),
-        "has_content": either("has_content", F.size(values) > 0, F.col("_text").isNotNull()),
-        "example_loaded": either("example_loaded", None, F.lit(True)),
-        "example_value": either("example_value", None, F.coalesce("_text", F.lit(ABSENT))),
+        "inline_attr_values": F.when(is_attr, inline).otherwise(F.col("inline_attr_values")),
+        "extra_attr_count": F.when(is_attr, extra).otherwise(F.col("extra_attr_count")),
+        "has_content": F.when(is_attr | is_text, F.size(values) > 0).otherwise(F.col("has_content")),
+        "example_loaded": is_text | F.col("example_loaded"),
+        "example_value": F.when(is_text, first_text).otherwise(F.col("example_value")),
     }
-    joined = rows.join(attrs, "id", "left").join(texts, "id", "left")
-    return joined.select(*(changed.get(c, F.col(c)) for c in rows.columns))
+    joined = rows.join(own, "id", "left")
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns))
 
 
 def all_docs(rows: DataFrame) -> DataFrame:
     """Back from one document to the values of the whole corpus."""
     inline, extra = _inline(F.col("attr_values"))
-    is_attr, is_text = F.col("kind") == "attr", F.col("kind") == "text_content"
+    is_attr, is_text = F.col("kind") == ATTR, F.col("kind") == TEXT
     return rows.withColumns(
         {
             "inline_attr_values": F.when(is_attr, inline).otherwise(F.col("inline_attr_values")),

@@ -16,6 +16,7 @@ from wortlaut.plans.common import (
     ENTRY_SQL,
     Registry,
     entry_docs,
+    table,
 )
 
 registry = Registry()
@@ -225,12 +226,12 @@ rws AS (
 """
 
 
-def _structure_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir, "path", "text", "attrs", "first_in_doc").nodes
+def _structure(spark: SparkSession, sf_dir: str) -> Corpus:
+    return _corpus(spark, sf_dir, "path", "text", "attrs", "first_in_doc")
 
 
-def _tree_rows(nodes: DataFrame) -> DataFrame:
-    return structure.tree_rows(structure.path_tree(nodes), structure.path_attrs(nodes))
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.tree_rows(_structure(spark, sf_dir).nodes)
 
 
 _ROW = ("id", "depth", "kind", "label", "has_children", "attr_values", "inline_attr_values", "extra_attr_count", "sort_key")
@@ -264,7 +265,7 @@ def f4(spark, sf_dir):
 
 @registry.add("f5_tree_rows", f"{_TREE_SQL} SELECT {_ROW_SQL} FROM rws")
 def f5(spark, sf_dir):
-    return _tree_rows(_structure_nodes(spark, sf_dir)).select(*_ROW)
+    return _tree(spark, sf_dir).select(*_ROW)
 
 
 @registry.add(
@@ -274,19 +275,30 @@ def f5(spark, sf_dir):
     WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE starts_with(r.id, c.id || '/'))""",
 )
 def f6(spark, sf_dir):
-    return structure.visible_rows(_tree_rows(_structure_nodes(spark, sf_dir))).select("id", "kind", "is_collapsed")
+    return structure.visible_rows(structure.default_collapse(_tree(spark, sf_dir))).select("id", "kind", "is_collapsed")
+
+
+@registry.add(
+    "f6_set_visibility",
+    f"""{_TREE_SQL} SELECT id, id = 'entry/sense' AS is_collapsed, NOT starts_with(id, 'entry/sense/') AS is_visible
+    FROM rws""",
+)
+def f6_set(spark, sf_dir):
+    rows = _tree(spark, sf_dir)
+    closed = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("entry/sense").alias("id"))
+    return structure.set_visibility(rows, closed).select("id", "is_collapsed", "is_visible")
 
 
 @registry.add(
     "f7_tree_search",
     f"""{_TREE_SQL}, hit AS (
       SELECT id, path FROM rws WHERE contains(lower(label), 'cit')
-        OR len(list_filter(string_split(inline_attr_values, '|'), x -> contains(lower(x), 'cit'))) > 0)
+        OR len(list_filter(string_split(inline_attr_values, '|'), lambda x: contains(lower(x), 'cit'))) > 0)
     SELECT id, id IN (SELECT id FROM hit) AS is_search_match FROM rws r
     WHERE EXISTS (SELECT 1 FROM hit h WHERE h.path = r.path OR starts_with(h.path, r.path || '/'))""",
 )
 def f7(spark, sf_dir):
-    found = structure.search_tree(_tree_rows(_structure_nodes(spark, sf_dir)), " CIT ")
+    found = structure.search_tree(_tree(spark, sf_dir), " CIT ")
     return found.select("id", "is_search_match")
 
 
@@ -305,15 +317,16 @@ _DOC = "entries/s7/o7.xml"
     FROM rws LEFT JOIN own USING (id) LEFT JOIN txt USING (id)""",
 )
 def f8(spark, sf_dir):
-    nodes = _structure_nodes(spark, sf_dir)
-    shown = structure.project_doc(_tree_rows(nodes), nodes, _DOC)
+    corpus = _structure(spark, sf_dir)
+    shown = structure.project_doc(structure.tree_rows(corpus.nodes), corpus.document(_DOC).nodes)
     return shown.select("id", "attr_values", "inline_attr_values", "example_value", "has_content")
 
 
 @registry.add("f9_all_docs", f"{_TREE_SQL} SELECT {_ROW_SQL} FROM rws")
 def f9(spark, sf_dir):
-    nodes = _structure_nodes(spark, sf_dir)
-    return structure.all_docs(structure.project_doc(_tree_rows(nodes), nodes, _DOC)).select(*_ROW)
+    corpus = _structure(spark, sf_dir)
+    one = structure.project_doc(structure.tree_rows(corpus.nodes), corpus.document(_DOC).nodes)
+    return structure.all_docs(one).select(*_ROW)
 
 
 @registry.add(
@@ -334,7 +347,7 @@ def f10(spark, sf_dir):
       FROM vals WHERE path = 'entry/sense' AND attr = 'src')""",
 )
 def f11(spark, sf_dir):
-    return structure.attr_row_values(_tree_rows(_structure_nodes(spark, sf_dir)), "entry/sense/@src")
+    return structure.attr_row_values(_tree(spark, sf_dir), "entry/sense/@src")
 
 
 # Validation.
