@@ -180,7 +180,7 @@ def request_payloads(messages: DataFrame, provider: str, model: str, part_turns:
 
 def image_payloads(pages: DataFrame, provider: str, model: str, prompt: str) -> DataFrame:
     """Image requests: ``pages(…, media_type, content)`` → the same rows with ``payload`` instead of the bytes."""
-    data = F.base64(F.col("content"))
+    data = F.translate(F.base64(F.col("content")), "\r\n", "")  # some settings break the text into lines
     ask = F.struct(F.lit("text").alias("type"), F.lit(prompt).alias("text"))
     user = F.lit("user").alias("role")
     if provider == "ollama":
@@ -197,10 +197,11 @@ def image_payloads(pages: DataFrame, provider: str, model: str, prompt: str) ->
         else:
             raise ValueError(f"unknown provider: {provider}")
         content = F.concat(F.lit("["), image, F.lit(","), F.to_json(ask), F.lit("]"))
-        limit = f',"max_tokens":{MAX_RESPONSE_TOKENS}' if provider == "anthropic" else ""
-        head = F.concat(F.lit('{"model":'), F.substring(F.to_json(F.struct(F.lit(model).alias("m"))), 6, 1 << 20))
-        head = F.substring(head, F.lit(1), F.length(head) - 1)
-        payload = F.concat(head, F.lit(limit + ',"messages":[{"role":"user","content":'), content, F.lit("}]}"))
+        fields = [F.lit(model).alias("model")]
+        if provider == "anthropic":
+            fields.append(F.lit(MAX_RESPONSE_TOKENS).alias("max_tokens"))
+        head = F.rtrim(F.to_json(F.struct(*fields)), F.lit("}"))
+        payload = F.concat(head, F.lit(',"messages":[{"role":"user","content":'), content, F.lit("}]}"))
     return pages.withColumn("payload", payload).drop("content")
 
 
