@@ -25,24 +25,41 @@ def document_position(df: DataFrame, minor: Column | None = None) -> Column:
 
 
 def running_total(
-    df: DataFrame, ord_col: str, value: Column, out: str, group: tuple[str, ...] = (), width: int = 100_000
+    df: DataFrame,
+    ord_col: str,
+    value: Column,
+    out: str,
+    group: tuple[str, ...] = (),
+    width: int = 100_000,
+    total: str | None = None,
+    levels: int = 2,
 ) -> DataFrame:
-    """Add the sum of ``value`` over the rows before each row, in the order of the integral column ``ord_col``.
+    """Add the sum of ``value`` over the rows before each row, in the order of the integral column ``ord_col``, which
+    is unique within ``group``; and, as ``total``, the sum over the group.
 
-    ``ord_col`` is unique within ``group``.  A window over a whole group would sort it in one task.  Here rows are cut
-    into slabs of ``width`` consecutive order values; slabs are summed first (one small row each), and each row is then
-    placed inside its slab.
+    A window over a whole group would sort it in one task.  Here rows are cut into slabs of ``width`` consecutive order
+    values; slabs are summed, one small row each, and placed in the same way themselves; each row is then placed inside
+    its slab.  No window holds more than ``width`` rows but the topmost, over slabs of slabs.
     """
     slabbed = df.withColumn("_value", value).withColumn("_slab", F.floor(F.col(ord_col) / F.lit(width)))
-    totals = slabbed.groupBy(*group, "_slab").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*group).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_slab", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    sums = slabbed.groupBy(*group, "_slab").agg(F.sum("_value").alias("_sum"))
+    if levels > 1:
+        upper = sums.withColumnsRenamed({"_slab": "_slab_ord", "_sum": "_slab_sum"})
+        offsets = running_total(
+            upper, "_slab_ord", F.col("_slab_sum"), "_before", group, 100_000, "_total", levels - 1
+        ).withColumnRenamed("_slab_ord", "_slab")
+    else:
+        earlier = Window.partitionBy(*group).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).withColumn(
+            "_total", F.sum("_sum").over(Window.partitionBy(*group))
+        )
+    offsets = offsets.select(*group, "_slab", "_before", F.col("_total").alias(total or "_total"))
     inside = Window.partitionBy(*group, "_slab").orderBy(ord_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        slabbed.join(offsets, [*group, "_slab"])
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_slab", "_before", "_value")
+    placed = slabbed.join(offsets, [*group, "_slab"]).withColumn(
+        out, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))
     )
+    kept = [*df.columns, out, *([total] if total else [])]
+    return placed.select(*kept)
 
 
 def with_position(df: DataFrame, ord_col: str, out: str = "position", group: tuple[str, ...] = ()) -> DataFrame:

@@ -107,18 +107,24 @@ def context_block(docs: DataFrame, group: tuple[str, ...] = (), part_bytes: int
     A block normally is one row.  A selection of more than ``part_bytes`` comes as several consecutive rows, whose
     concatenation is the whole block, so no task ever holds an unlimited selection.
     """
-    sized = running_total(
-        context_parts(docs), "doc_ord", F.length("part").cast("long"), "_bytes_before", group, width=1000
-    )
-    cut = sized.withColumn("block_no", F.floor(F.col("_bytes_before") / part_bytes).cast("int"))
-    joined = cut.groupBy(*group, "block_no").agg(
-        F.array_sort(F.collect_list(F.struct("doc_ord", "part"))).alias("parts"), F.min("doc_ord").alias("_first")
+    parts = context_parts(docs).withColumn("_size", F.length("part").cast("long"))
+    keys = group or ("_all",)
+    if not group:
+        parts = parts.withColumn("_all", F.lit(0))
+    sized = running_total(parts, "doc_ord", F.col("_size"), "_before", keys, width=1000, total="_total")
+    is_last = F.col("_before") + F.col("_size") == F.col("_total")
+    blocks = (
+        sized.withColumn("block_no", F.floor(F.col("_before") / part_bytes).cast("int"))
+        .groupBy(*keys, "block_no")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("doc_ord", "part"))).alias("parts"),
+            F.max(F.col("_before") == 0).alias("_first"),
+            F.max(is_last).alias("_last"),
+        )
     )
-    ends = cut.groupBy(*group).agg(F.min("block_no").alias("_lowest"), F.max("block_no").alias("_highest"))
-    blocks = joined.join(ends, list(group)) if group else joined.join(F.broadcast(ends))
     body = F.array_join(F.transform("parts", lambda p: p["part"]), CONTEXT_SEPARATOR)
-    head = F.when(F.col("block_no") == F.col("_lowest"), CONTEXT_HEAD).otherwise(CONTEXT_SEPARATOR)
-    tail = F.when(F.col("block_no") == F.col("_highest"), CONTEXT_TAIL).otherwise("")
+    head = F.when(F.col("_first"), CONTEXT_HEAD).otherwise(CONTEXT_SEPARATOR)
+    tail = F.when(F.col("_last"), CONTEXT_TAIL).otherwise("")
     return blocks.select(*group, "block_no", F.concat(head, body, tail).alias("block"))
 
 
@@ -131,16 +137,12 @@ def build_messages(conversations: DataFrame, contexts: DataFrame | None = None,
     conversation is no hot key.
     """
     spoken = conversations.filter(F.col("role") != "system")
-    is_system = F.col("role") == "system"
-    prompt = F.lit(system) if system is not None else F.min_by("text", F.when(is_system, F.col("turn")))
-    heads = (
-        conversations.groupBy("conv_id")
-        .agg(
-            F.min(F.when(~is_system, F.col("turn"))).alias("turn"),
-            (F.first(prompt) if system is not None else F.when(F.max(is_system), prompt)).alias("_prompt"),
-        )
-        .filter(F.col("turn").isNotNull())
-    )
+    heads = spoken.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    if system is None:
+        prompts = conversations.filter(F.col("role") == "system").groupBy("conv_id")
+        heads = heads.join(prompts.agg(F.min_by("text", "turn").alias("_prompt")), "conv_id")
+    else:
+        heads = heads.withColumn("_prompt", F.lit(system))
     rows = spoken.join(heads, ["conv_id", "turn"], "left")
     content = F.col("text")
     if contexts is not None:

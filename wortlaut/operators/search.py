@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wortlaut.functions.paths import pattern_predicate, search_predicate
+from wortlaut.functions.sizes import keep_values
 from wortlaut.functions.text import clip, collapse_whitespace, is_blank, show_whitespace, strip
 from wortlaut.operators.results import result
 
@@ -68,7 +69,7 @@ def search_content(nodes: DataFrame, tags: list[str] | DataFrame, needle: str, n
     """
     text, match = _content_match(needle, normalise)
     if isinstance(tags, DataFrame):
-        chosen = nodes.join(tags.select("tag").distinct(), "tag", "left_semi")
+        chosen = keep_values(nodes, "tag", tags)
     else:
         chosen = nodes.filter(F.col("tag").isin([t.strip() for t in tags]))
     return result(chosen.filter(match), "line", "tag", show_whitespace(text).alias("text"))

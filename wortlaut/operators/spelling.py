@@ -13,7 +13,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wortlaut.functions.text import is_blank, pieces, strip
+from wortlaut.functions.sizes import broadcast_if_few, keep_values, stage
+from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, strip
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.results import SOURCE
 from wortlaut.operators.search import text_tags
@@ -120,9 +121,12 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
     entries = entry.select(F.col("entry")[0].alias("piece"), "alt", F.size("entry").alias("size"))
     split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
     keys = ("doc_id", "owner_id", "seg_no")
+    tokens = split.select(*keys, F.posexplode("parts").alias("place", "piece"))
+    is_word = F.col("piece").rlike("^" + WORD_CLASS)
+    if entries.filter(~is_word).isEmpty():  # the usual list: gaps between words need not travel
+        tokens = tokens.filter(is_word)
     found = (
-        split.select(*keys, F.posexplode("parts").alias("place", "piece"))
-        .join(entries, "piece")
+        tokens.join(entries, "piece")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("place", "size", "alt"))).alias("candidates"))
     )
@@ -169,31 +173,28 @@ def exact_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, hint_line, word) → the same with ``line``: the first source line from the hint on that contains the
     word, or the hint.
 
-    Nearly every word stands close to its hint, so the first join only touches the two blocks of lines there; only
-    words not found (written with character references, say) are looked for in the rest of their document.
+    Nearly every word stands close to its hint, so the first join only meets the two blocks of lines there.  Only words
+    not found that way (far behind a long child, or written with character references) are looked for in the rest of
+    their document.
     """
-    asked = wanted.select("doc_id", "hint_line", "word").distinct()
+    asked = stage(wanted.select("doc_id", "hint_line", "word").distinct())
     asked = asked.withColumn("from_line", F.greatest(F.lit(1), "hint_line"))
     source = lines.select(F.col("doc_id").alias("source_id"), "line_no", F.col("text").alias("source_text"))
     blocked = source.withColumn("source_block", F.floor(F.col("line_no") / _LINE_BLOCK))
     block = F.floor(F.col("from_line") / _LINE_BLOCK)
-    near = asked.withColumn("block", F.explode(F.array(block, block + 1)))
+    near = broadcast_if_few(asked.withColumn("block", F.explode(F.array(block, block + 1))))
     same_doc = F.col("doc_id") == F.col("source_id")
     holds = (F.col("line_no") >= F.col("from_line")) & F.contains(F.col("source_text"), F.col("word"))
-    found = (
-        near.join(blocked, same_doc & (F.col("block") == F.col("source_block")) & holds, "left")
-        .groupBy("doc_id", "hint_line", "word", "from_line")
-        .agg(F.min("line_no").alias("line"))
-    )
-    missing = found.filter(F.col("line").isNull()).drop("line")
-    far = (
-        missing.join(source, same_doc & holds)
-        .groupBy("doc_id", "hint_line", "word")
-        .agg(F.min("line_no").alias("far_line"))
-    )
-    return found.join(far, ["doc_id", "hint_line", "word"], "left").select(
-        "doc_id", "hint_line", "word", F.coalesce("line", "far_line", "hint_line").alias("line")
+    keys = ["doc_id", "hint_line", "word"]
+    first = F.min("line_no").alias("line")
+    found = stage(
+        blocked.join(near, same_doc & (F.col("block") == F.col("source_block")) & holds).groupBy(*keys).agg(first)
     )
+    missing = asked.join(found, keys, "left_anti")
+    if not missing.isEmpty():
+        far = source.join(broadcast_if_few(missing), same_doc & holds).groupBy(*keys).agg(first)
+        found = found.unionByName(far)
+    return asked.join(found, keys, "left").select(*keys, F.coalesce("line", "hint_line").alias("line"))
 
 
 def check_spelling(
@@ -202,17 +203,17 @@ def check_spelling(
     """The spelling report of a corpus.
 
     ``tags`` are the tags to search, as a list or a table with ``tag`` (rows with a false ``included`` are left out);
-    by default all text-bearing tags but the standing exclusions.
+    by default all text-bearing tags but the standing exclusions.  Hits are few beside the texts; they are staged, so
+    the texts are matched once.
     """
     segments = corpus.segments
     if tags is None:
         tags = text_tags(segments)
     if isinstance(tags, DataFrame):
-        chosen = tags.filter("included") if "included" in tags.columns else tags
-        segments = segments.join(chosen.select("tag").distinct(), "tag", "left_semi")
+        segments = keep_values(segments, "tag", tags.filter("included") if "included" in tags.columns else tags)
     else:
         segments = segments.filter(F.col("tag").isin(tags))
-    hits = find_spellings(segments, spellings, max_inline).withColumnRenamed("gefunden", "word")
+    hits = stage(find_spellings(segments, spellings, max_inline).withColumnRenamed("gefunden", "word"))
     located = hits.join(exact_lines(hits, corpus.lines), ["doc_id", "hint_line", "word"])
     return located.select(
         *SOURCE, "line", "tag", F.col("word").alias("gefunden"), "vorschlag", "kontext",

@@ -97,7 +97,28 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
 
 
-_MEMBER_SCHEMA = "archive string, archive_error string, path string, content binary"
+def _members(name: str, data: bytes | None, max_bytes: int) -> list[tuple]:
+    """(archive, error, path, content) of the XML members of one ZIP file, or one row with its error."""
+    rows, total = [], 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as archive:
+            for info in archive.infolist():
+                member = info.filename
+                if ".." in member or member[:1] in ("/", "\\"):
+                    continue
+                total += info.file_size
+                if total > max_bytes:
+                    return [(name, "too large", None, None)]
+                if member.lower().endswith(".xml"):
+                    rows.append((name, None, member, archive.read(info)))
+    except (zipfile.BadZipFile, RuntimeError, EOFError, OSError, ValueError, NotImplementedError):
+        return [(name, "bad archive", None, None)]
+    return rows
+
+
+def _arrow(rows: list[tuple], **fields: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields))
 
 
 def expand_archives(archives: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
@@ -107,35 +128,17 @@ def expand_archives(archives: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) ->
     ``max_bytes`` fails, as does a damaged one; members that do not look like XML are dropped.
     """
 
-    def members(name: str, data: bytes) -> list[tuple]:
-        rows, total = [], 0
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                for info in archive.infolist():
-                    member = info.filename
-                    if ".." in member or member[:1] in ("/", "\\"):
-                        continue
-                    total += info.file_size
-                    if total > max_bytes:
-                        return [(name, "too large", None, None)]
-                    if member.lower().endswith(".xml"):
-                        rows.append((name, None, member, archive.read(info)))
-        except (zipfile.BadZipFile, RuntimeError, EOFError, OSError, ValueError, NotImplementedError):
-            return [(name, "bad archive", None, None)]
-        return rows
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("archive", pa.string()), ("archive_error", pa.string()), ("path", pa.string()),
-                  ("content", pa.binary())]
         for batch in batches:
-            names, contents = batch.column("path"), batch.column("content")
-            for i in range(batch.num_rows):  # one batch per archive, whose size is limited
-                rows = members(names[i].as_py(), contents[i].as_py() or b"")
-                columns = list(zip(*rows)) if rows else [[], [], [], []]
-                arrays = [pa.array(values, kind) for values, (_, kind) in zip(columns, fields)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
-
-    rows = archives.select("path", "content").mapInArrow(run, _MEMBER_SCHEMA)
+            for name, data in zip(batch.column("path"), batch.column("content")):
+                # one batch per archive, whose size is limited
+                rows = _members(name.as_py(), data.as_py(), max_bytes)
+                yield _arrow(
+                    rows, archive=pa.string(), archive_error=pa.string(), path=pa.string(), content=pa.binary()
+                )
+
+    schema = "archive string, archive_error string, path string, content binary"
+    rows = archives.select("path", "content").mapInArrow(run, schema)
     return rows.filter(F.col("archive_error").isNotNull() | looks_like_xml(F.col("content"), strict=True))
 
 
@@ -150,32 +153,26 @@ def intake_report(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFram
 
     Statuses: accepted, too_large, not_xml, bad_archive, archive_too_large, ignored (another kind of file).
     """
-    name = F.lower("path")
-    sized = files.withColumn("size", F.length("content"))
-    fits = F.col("size") <= max_bytes
-    archives = sized.filter(name.endswith(".zip") & fits)
-    failed = (
-        expand_archives(archives)
-        .filter(F.col("archive_error").isNotNull())
-        .select(F.col("archive").alias("path"), "archive_error")
-    )
-    plain = sized.filter(~(name.endswith(".zip") & fits)).select(
-        "path",
-        "size",
-        F.when(~fits, "too_large")
-        .when(name.endswith(".xml") & looks_like_xml(F.col("content"), strict=True), "accepted")
-        .when(name.endswith(".xml"), "not_xml")
-        .otherwise("ignored")
-        .alias("status"),
-    )
-    packed = archives.join(failed, "path", "left").select(
-        "path",
-        "size",
-        F.when(F.col("archive_error") == "bad archive", "bad_archive")
-        .when(F.col("archive_error") == "too large", "archive_too_large")
-        .otherwise("accepted")
-        .alias("status"),
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column("path"), batch.column("content")):
+                failed = next((error for _, error, *_ in _members(name.as_py(), data.as_py(), MAX_ARCHIVE_BYTES)), None)
+                status = {"bad archive": "bad_archive", "too large": "archive_too_large"}.get(failed, "accepted")
+                rows.append((name.as_py(), len(data.as_py()), status))
+            yield _arrow(rows, path=pa.string(), size=pa.int64(), status=pa.string())
+
+    name, size = F.lower("path"), F.length("content").cast("long")
+    is_archive = name.endswith(".zip") & (size <= max_bytes)
+    packed = files.filter(is_archive).select("path", "content").mapInArrow(check, "path string, size long, status string")
+    status = (
+        F.when(size > max_bytes, "too_large")
+        .when(~name.endswith(".xml"), "ignored")
+        .when(looks_like_xml(F.col("content"), strict=True), "accepted")
+        .otherwise("not_xml")
     )
+    plain = files.filter(~is_archive).select("path", size.alias("size"), status.alias("status"))
     return plain.unionByName(packed).select("path", size_kb(F.col("size")).alias("size_kb"), "status")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wortlaut.functions.paths import parent, strict_ancestors
+from wortlaut.functions.sizes import keep_values
 from wortlaut.sources.documents import size_kb
 
 
@@ -51,7 +52,7 @@ def search_index(index: DataFrame, needle: str) -> DataFrame:
 def _covered(index: DataFrame, chosen: DataFrame) -> DataFrame:
     """Paths of the chosen rows and, below chosen directories, of everything in them."""
     reach = index.select("path", F.explode(F.concat(strict_ancestors(F.col("path")), F.array("path"))).alias("up"))
-    return reach.join(chosen.select(F.col("path").alias("up")).distinct(), "up", "left_semi").select("path").distinct()
+    return keep_values(reach, "up", chosen.select(F.col("path").alias("up"))).select("path").distinct()
 
 
 def select_paths(index: DataFrame, include: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
