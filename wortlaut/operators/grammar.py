@@ -260,6 +260,8 @@ def model_regex(p: tuple, letters: dict[str, str]) -> str:
         return letters[p[2]]
     if p == EMPTY:
         return ""
+    if p == NOT_ALLOWED:
+        return "(?!)"
     if p[0] == "group":
         return "".join(model_regex(q, letters) for q in p[1])
     if p[0] == "oneOrMore":

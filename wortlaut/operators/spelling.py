@@ -22,6 +22,7 @@ from wortlaut.operators.search import text_tags
 CONTEXT = 40
 MAX_INLINE_ENTRIES = 20_000  # above this the word list is joined as a table
 _LINE_BLOCK = 64
+_WORD = re.compile(r"\w")
 _BOUNDARY = re.compile(r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
 
 
@@ -60,6 +61,12 @@ def _context(parts: Column, place: Column, size: Column) -> Column:
     return F.concat(left, shown, right)
 
 
+def _more_after(parts: Column, place: Column) -> Column:
+    """Is there text from this piece on?  The ends of a text are no word boundaries beside a non-word character, so an
+    entry that begins or ends with one needs text before or after it."""
+    return F.coalesce(F.get(parts, place), F.lit("")) != ""
+
+
 def _without_overlaps(hits: Column) -> Column:
     """From (place, size) hits ordered by place keep those that do not begin inside a kept one."""
     empty = F.slice(hits, 1, 0)
@@ -79,18 +86,24 @@ def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
     by_size: dict[int, list[str]] = defaultdict(list)
     heads: dict[int, set[str]] = defaultdict(set)
     for word in words:
-        parts = [p for p in _BOUNDARY.split(word) if p]
-        by_size[len(parts)].append(word)
-        heads[len(parts)].add(parts[0])
+        entry = [p for p in _BOUNDARY.split(word) if p]
+        by_size[len(entry)].append(word)
+        heads[len(entry)].add(entry[0])
     parts = F.col("parts")
 
     def hit_at(piece: Column, i: Column) -> Column:
         size = F.lit(None).cast("int")
         for n in sorted(by_size):  # the longest entry is tested first, as it wraps the others
-            found = piece.isin(by_size[n])
+            run = piece if n == 1 else F.array_join(F.slice(parts, i + 1, n), "")
+            found = run.isin(by_size[n])
             if n > 1:
-                run = F.array_join(F.slice(parts, i + 1, n), "")
-                found = piece.isin(sorted(heads[n])) & run.isin(by_size[n])
+                found = piece.isin(sorted(heads[n])) & found
+            odd_start = [w for w in by_size[n] if not _WORD.match(w[0])]
+            odd_end = [w for w in by_size[n] if not _WORD.match(w[-1])]
+            if odd_start:
+                found &= (i > 0) | ~run.isin(odd_start)
+            if odd_end:
+                found &= _more_after(parts, i + n) | ~run.isin(odd_end)
             size = F.when(found, F.lit(n)).otherwise(size)
         return F.struct(i.alias("place"), size.alias("size"))
 
@@ -132,7 +145,10 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
     )
     parts = F.col("parts")
     exact = F.filter(
-        "candidates", lambda c: F.array_join(F.slice(parts, c["place"] + 1, c["size"]), "") == c["alt"]
+        "candidates",
+        lambda c: (F.array_join(F.slice(parts, c["place"] + 1, c["size"]), "") == c["alt"])
+        & ((c["place"] > 0) | c["alt"].rlike("^" + WORD_CLASS))
+        & (_more_after(parts, c["place"] + c["size"]) | c["alt"].rlike(WORD_CLASS + "$")),
     )
     # Longest entry first at one place: of candidates at the same place, keep the one no longer one follows.
     longest = F.filter(
@@ -159,9 +175,10 @@ def find_spellings(segments: DataFrame, spellings: DataFrame, max_inline: int =
     The word list is probed for its size: up to ``max_inline`` entries are matched inside each row, more by a join.
     """
     texts = segments.filter(~is_blank(F.col("text")))
+    spellings = spellings.filter(F.col("alt") != "")
     probe = [r["alt"] for r in spellings.select("alt").limit(max_inline + 1).collect()]
     if len(probe) <= max_inline:
-        hits = _inline_hits(texts, probe) if probe else _inline_hits(texts.limit(0), [""])
+        hits = _inline_hits(texts, probe or ["\0"])  # no XML text holds this character
         table = F.broadcast(spellings.select("alt", "neu"))
     else:
         hits, table = _joined_hits(texts, spellings), spellings.select("alt", "neu")
