@@ -96,8 +96,8 @@ def text_segments(shredded: DataFrame) -> DataFrame:
             F.col("tail").alias("text"),
         ),
     )
-    found = F.filter(F.array(own, tail), lambda s: s["text"].isNotNull() & (s["text"] != ""))
-    return shredded.select(*DOC_KEYS, F.col("line").alias("hint_line"), F.explode(found).alias("s")).select(
+    present = shredded.select(*DOC_KEYS, F.col("line").alias("hint_line"), F.explode_outer(F.array(own, tail)).alias("s"))
+    return present.filter(F.col("s.text") != "").select(
         *DOC_KEYS, "s.owner_id", "s.seg_no", "s.tag", "s.text", "hint_line"
     )
 

@@ -1,14 +1,14 @@
 """Conformance of nodes to a grammar, as row-level tests.
 
-The rules of a grammar are small and fixed, so they become literals and expressions; a node row carries its parent's
-tag and its children's tags, so no test needs a join or a shuffle.  One pass over the nodes yields all violations.
+The rules of a grammar, one small row per element name, are broadcast and joined by tag; a node row carries its parent's
+tag and its children's tags, so nothing is shuffled.  One pass over the nodes yields all violations.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,27 +99,31 @@ def value_predicate(value: Column, pattern: tuple) -> Column:
     raise UnsupportedGrammar(f"attribute value pattern {kind}")
 
 
-def _violation(condition: Column, code: str, detail: Column, line: Column | None = None) -> Column:
-    found = F.struct(
-        (F.col("line") if line is None else line).alias("line"), F.lit(code).alias("code"), detail.alias("detail")
-    )
-    return F.array_compact(F.array(F.when(condition, found)))
+def _struct(code: str, detail: Column) -> Column:
+    return F.struct(F.col("line").alias("line"), F.lit(code).alias("code"), detail.alias("detail"))
+
+
+def _violation(condition: Column, code: str, detail: Column) -> Column:
+    return F.array_compact(F.array(F.when(condition, _struct(code, detail))))
 
 
 class _Tests:
-    """Arrays of violations per node row, one expression per kind of rule."""
+    """Arrays of violations per node row, one expression per kind of rule.
+
+    The rules, one row per element of the grammar, are joined by tag: to the node and to its parent.
+    """
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
-        self.rules = grammar.elements
-        tag, ns = F.col("tag"), F.coalesce("ns", F.lit(""))
-        self.is_element = F.col("kind") == "element"
-        names = defaultdict(list)
-        for rule in self.rules.values():
-            names[rule.ns].append(rule.tag)
-        self.declared = reduce(Column.__or__, [(ns == uri) & tag.isin(tags) for uri, tags in names.items()])
-        self.open_tags = [r.tag for r in self.rules.values() if r.any_child]
-        self.known = self.is_element & self.declared & ~self.below_wildcard()
+        self.rules = [grammar.elements[tag] for tag in sorted(grammar.elements)]
+        self.letters = {rule.tag: chr(0xE000 + i) for i, rule in enumerate(self.rules)}
+        self.values: dict[tuple, int] = {}  # number of each distinct value pattern
+        self.models: dict[str, int] = {}  # number of each distinct content model
+        self.open_tags = [rule.tag for rule in self.rules if rule.any_child]
+        self.known = F.col("own_ns") == F.coalesce("ns", F.lit("")) if not self.open_tags else (
+            (F.col("own_ns") == F.coalesce("ns", F.lit(""))) & ~self.below_wildcard()
+        )
+        self.known = (F.col("kind") == "element") & F.coalesce(self.known, F.lit(False))
 
     def below_wildcard(self) -> Column:
         if not self.open_tags:
@@ -127,121 +131,122 @@ class _Tests:
         above = F.slice(F.split("path", "/"), 1, F.col("depth"))
         return F.arrays_overlap(above, F.array(*(F.lit(t) for t in self.open_tags)))
 
-    def _tags(self, keep) -> list[str]:
-        return [r.tag for r in self.rules.values() if keep(r)]
+    def with_rules(self, shredded: DataFrame) -> DataFrame:
+        """Nodes with the rules of their own tag and of their parent's; the rule tables are as large as the grammar."""
+        own, parents = [], []
+        for rule in self.rules:
+            attrs = {
+                name: -1 if pattern[0] == "text" else self.values.setdefault(pattern, len(self.values))
+                for name, pattern in rule.attributes.items()
+            }
+            model = None
+            if rule.needs_model:
+                model = self.models.setdefault(f"^{model_regex(rule.model, self.letters)}$", len(self.models))
+            own.append((rule.tag, rule.ns, list(attrs.items()), sorted(rule.required), rule.any_attribute, rule.text, model))
+            parents.append((rule.tag, sorted(rule.children), rule.any_child, rule.text))
+        names = pa.list_(pa.string())
+        own_types = (pa.string(), pa.string(), pa.map_(pa.string(), pa.int32()), names, pa.bool_(), pa.bool_(), pa.int32())
+        own_names = ("tag", "own_ns", "own_attrs", "own_required", "own_any_attr", "own_text", "own_model")
+        own_rules = _local_table(shredded, own, own_names, own_types)
+        parent_types = (pa.string(), names, pa.bool_(), pa.bool_())
+        parent_names = ("parent_tag", "up_children", "up_any", "up_text")
+        parent_rules = _local_table(shredded, parents, parent_names, parent_types)
+        nodes = shredded.filter(F.col("kind") != "error")
+        return nodes.join(F.broadcast(own_rules), "tag", "left").join(F.broadcast(parent_rules), "parent_tag", "left")
 
     def root(self) -> Column:
-        wrong = self.is_element & (F.col("depth") == 0) & ~F.col("tag").isin(sorted(self.grammar.start))
-        return _violation(wrong, "root-not-allowed", F.col("tag"))
+        is_root = (F.col("kind") == "element") & (F.col("depth") == 0)
+        return _violation(is_root & ~F.col("tag").isin(sorted(self.grammar.start)), "root-not-allowed", F.col("tag"))
 
     def elements(self) -> Column:
-        unknown = self.is_element & ~self.declared & ~self.below_wildcard()
+        declared = F.coalesce(F.col("own_ns") == F.coalesce("ns", F.lit("")), F.lit(False))
+        unknown = (F.col("kind") == "element") & ~declared & ~self.below_wildcard()
         return _violation(unknown, "element-undeclared", F.col("tag"))
 
+    def attrs(self) -> Column:
+        """Attributes of declared elements; others are not looked at."""
+        return F.when(self.known, F.coalesce("attrs", _no_attrs())).otherwise(_no_attrs())
+
     def attrs_required(self) -> Column:
-        groups = defaultdict(list)
-        for rule in self.rules.values():
-            if rule.required:
-                groups[tuple(sorted(rule.required))].append(rule.tag)
-        if not groups:
-            return F.array_compact(F.array(F.when(F.lit(False), _sample())))
-        wanted = reduce(
-            lambda chain, g: F.when(F.col("tag").isin(g[1]), F.array(*map(F.lit, g[0]))).otherwise(chain),
-            groups.items(),
-            F.array().cast("array<string>"),
-        )
-        present = F.transform(F.coalesce("attrs", _no_attrs()), lambda a: a["name"])
-        missing = F.array_except(F.when(self.known, wanted).otherwise(F.array().cast("array<string>")), present)
+        needed = F.when(self.known, F.col("own_required")).otherwise(F.array().cast("array<string>"))
+        missing = F.array_except(needed, F.transform(self.attrs(), lambda a: a["name"]))
         return F.transform(missing, lambda n: _struct("attribute-missing", F.concat("tag", F.lit("/@"), n)))
 
-    def _attrs(self, code: str, wrong) -> Column:
-        bad = F.filter(F.when(self.known, F.coalesce("attrs", _no_attrs())).otherwise(_no_attrs()), wrong)
-        return F.transform(bad, lambda a: _struct(code, F.concat("tag", F.lit("/@"), a["name"])))
-
     def attrs_allowed(self) -> Column:
-        pairs = [f"{r.tag}/@{name}" for r in self.rules.values() for name in r.attributes]
-        any_tags = self._tags(lambda r: r.any_attribute)
-        is_open = F.col("tag").isin(any_tags) if any_tags else F.lit(False)
-        return self._attrs(
-            "attribute-undeclared", lambda a: ~is_open & ~F.concat("tag", F.lit("/@"), a["name"]).isin(pairs)
+        bad = F.filter(
+            self.attrs(), lambda a: ~F.col("own_any_attr") & F.try_element_at(F.col("own_attrs"), a["name"]).isNull()
         )
+        return F.transform(bad, lambda a: _struct("attribute-undeclared", F.concat("tag", F.lit("/@"), a["name"])))
 
     def attr_values(self) -> Column:
         """Attributes with the same value pattern share one test."""
-        groups = defaultdict(list)
-        for rule in self.rules.values():
-            for name, pattern in rule.attributes.items():
-                if pattern[0] != "text":
-                    groups[pattern].append(f"{rule.tag}/@{name}")
 
         def wrong(a: Column) -> Column:
-            key = F.concat("tag", F.lit("/@"), a["name"])
-            chain = F.lit(False)
-            for pattern, pairs in groups.items():
-                chain = F.when(key.isin(pairs), ~value_predicate(a["value"], pattern)).otherwise(chain)
-            return chain
-
-        bad = F.filter(F.when(self.known, F.coalesce("attrs", _no_attrs())).otherwise(_no_attrs()), wrong)
+            chain = None
+            for pattern, n in self.values.items():
+                fails = ~value_predicate(a["value"], pattern)
+                chain = F.when(a["test"] == n, fails) if chain is None else chain.when(a["test"] == n, fails)
+            return F.lit(False) if chain is None else chain.otherwise(F.lit(False))
+
+        # the number of the test is looked up once per attribute, then the tests are told apart by it
+        numbered = F.transform(
+            self.attrs(),
+            lambda a: F.struct(
+                a["name"].alias("name"),
+                a["value"].alias("value"),
+                F.try_element_at(F.col("own_attrs"), a["name"]).alias("test"),
+            ),
+        )
+        bad = F.filter(F.filter(numbered, lambda a: a["test"] >= 0), wrong)
         return F.transform(
-            bad,
-            lambda a: _struct("attribute-value", F.concat("tag", F.lit("/@"), a["name"], F.lit("="), a["value"])),
+            bad, lambda a: _struct("attribute-value", F.concat("tag", F.lit("/@"), a["name"], F.lit("="), a["value"]))
         )
 
     def children(self) -> Column:
-        pairs = [f"{r.tag}/{child}" for r in self.rules.values() for child in r.children]
-        allowed = F.concat("parent_tag", F.lit("/"), "tag").isin(pairs) if pairs else F.lit(False)
-        # under an undeclared parent nothing is said about children
-        wrong = (
-            self.known & F.col("parent_tag").isin([*self.rules]) & ~F.col("parent_tag").isin(self.open_tags) & ~allowed
-        ) if self.open_tags else self.known & F.col("parent_tag").isin([*self.rules]) & ~allowed
+        """Declared elements under a declared parent."""
+        allowed = F.col("up_any") | F.array_contains("up_children", F.col("tag"))
+        wrong = self.known & F.coalesce(~allowed, F.lit(False))
         return _violation(wrong, "child-not-allowed", F.concat("parent_tag", F.lit("/"), "tag"))
 
     def text(self) -> Column:
-        bare = self._tags(lambda r: not r.text)
-        own = self.known & F.col("tag").isin(bare) & ~is_blank(F.col("text"))
-        outside = ~self.below_wildcard()
-        tail = F.col("parent_tag").isin(bare) & ~is_blank(F.col("tail")) & outside
+        own = self.known & ~F.coalesce("own_text", F.lit(True)) & ~is_blank(F.col("text"))
+        tail = ~F.coalesce("up_text", F.lit(True)) & ~is_blank(F.col("tail")) & ~self.below_wildcard()
         return F.concat(
             _violation(own, "text-not-allowed", F.col("tag")), _violation(tail, "text-not-allowed", F.col("parent_tag"))
         )
 
     def content_model(self) -> Column:
         """Each child becomes one letter, and the model is a regular expression over letters."""
-        letters = {tag: chr(0xE000 + i) for i, tag in enumerate(sorted(self.rules))}
-        lookup = F.create_map(*(F.lit(x) for pair in letters.items() for x in pair))
+        lookup = F.create_map(*(F.lit(x) for pair in self.letters.items() for x in pair))
         names = F.filter(F.split("children", r"\|"), lambda n: n != "")
         sequence = F.array_join(
             F.transform(names, lambda n: F.coalesce(F.try_element_at(lookup, n), F.lit(_NO_CHILD))), ""
         )
-        groups = defaultdict(list)
-        for rule in self.rules.values():
-            if rule.needs_model:
-                groups["^" + model_regex(rule.model, letters) + "$"].append(rule.tag)
-        tested = self.known & F.col("tag").isin([t for tags in groups.values() for t in tags])
-        wrong = F.lit(False)
-        for regex, tags in groups.items():
-            wrong = F.when(F.col("tag").isin(tags), ~sequence.rlike(regex)).otherwise(wrong)
+        chain = None
+        for regex, n in self.models.items():
+            tested, fails = F.col("own_model") == n, ~sequence.rlike(regex)
+            chain = F.when(tested, fails) if chain is None else chain.when(tested, fails)
+        wrong = F.lit(False) if chain is None else F.coalesce(chain, F.lit(False))
         detail = F.concat("tag", F.lit("("), F.replace("children", F.lit("|"), F.lit(" ")), F.lit(")"))
-        return _violation(tested & wrong, "content-model", detail)
-
+        return _violation(self.known & wrong, "content-model", detail)
 
-def _no_attrs() -> Column:
-    return F.array().cast("array<struct<name:string,local:string,value:string>>")
 
+def _local_table(like: DataFrame, rows: list[tuple], names: tuple, types: tuple) -> DataFrame:
+    columns = [pa.array(list(column), kind) for column, kind in zip(zip(*rows), types)]
+    return like.sparkSession.createDataFrame(pa.table(columns, names=list(names)))
 
-def _struct(code: str, detail: Column) -> Column:
-    return F.struct(F.col("line").alias("line"), F.lit(code).alias("code"), detail.alias("detail"))
 
-
-def _sample() -> Column:
-    return _struct("", F.lit(""))
+def _no_attrs() -> Column:
+    return F.array().cast("array<struct<name:string,local:string,value:string>>")
 
 
-def _report(shredded: DataFrame, violations: Column) -> DataFrame:
-    rows = shredded.filter(F.col("kind") != "error").select(
-        *SOURCE, "doc_id", "doc_ord", "node_id", F.explode(violations).alias("v")
-    )
-    return rows.select(
+def _check(shredded: DataFrame, grammar: Grammar, *kinds: str) -> DataFrame:
+    tests = _Tests(grammar)
+    nodes = tests.with_rules(shredded)
+    violations = F.concat(*(getattr(tests, kind)() for kind in kinds))
+    # A plain explode would have the optimizer test the array for emptiness first, and so compute it once more.
+    rows = nodes.select(*SOURCE, "doc_id", "doc_ord", "node_id", F.explode_outer(violations).alias("v"))
+    return rows.filter(F.col("v").isNotNull()).select(
         *SOURCE, F.col("v.line").alias("line"), F.lit(0).alias("column"),
         F.concat("v.code", F.lit(": "), "v.detail").alias("error"), "doc_id", "doc_ord", "node_id",
     )
@@ -249,51 +254,47 @@ def _report(shredded: DataFrame, violations: Column) -> DataFrame:
 
 def check_root(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """The root is not one the grammar starts with."""
-    return _report(shredded, _Tests(grammar).root())
+    return _check(shredded, grammar, "root")
 
 
 def check_elements(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Elements no pattern names."""
-    return _report(shredded, _Tests(grammar).elements())
+    return _check(shredded, grammar, "elements")
 
 
 def check_attrs_allowed(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Attributes their element does not have."""
-    return _report(shredded, _Tests(grammar).attrs_allowed())
+    return _check(shredded, grammar, "attrs_allowed")
 
 
 def check_attrs_required(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Attributes an element must have and lacks."""
-    return _report(shredded, _Tests(grammar).attrs_required())
+    return _check(shredded, grammar, "attrs_required")
 
 
 def check_attr_values(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Values outside their enumeration, datatype, list or facets."""
-    return _report(shredded, _Tests(grammar).attr_values())
+    return _check(shredded, grammar, "attr_values")
 
 
 def check_children(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Declared elements under a parent that does not take them."""
-    return _report(shredded, _Tests(grammar).children())
+    return _check(shredded, grammar, "children")
 
 
 def check_text_allowed(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Text in elements that hold elements only."""
-    return _report(shredded, _Tests(grammar).text())
+    return _check(shredded, grammar, "text")
 
 
 def check_content_model(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Children in the wrong order or number."""
-    return _report(shredded, _Tests(grammar).content_model())
+    return _check(shredded, grammar, "content_model")
 
 
 def check_schema(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """All violations, in one pass over the nodes.  Documents that do not parse have no nodes and so no rows here."""
-    tests = _Tests(grammar)
-    return _report(
-        shredded,
-        F.concat(
-            tests.root(), tests.elements(), tests.attrs_allowed(), tests.attrs_required(), tests.attr_values(),
-            tests.children(), tests.text(), tests.content_model(),
-        ),
+    return _check(
+        shredded, grammar,
+        "root", "elements", "attrs_allowed", "attrs_required", "attr_values", "children", "text", "content_model",
     )

@@ -119,7 +119,9 @@ def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
         ),
     )
     split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
-    return split.withColumn("hit", F.explode(context)).drop("parts", "text").select("*", "hit.*").drop("hit")
+    # explode_outer: for a plain explode the optimizer adds a filter that would compute the hits once more
+    found = split.withColumn("hit", F.explode_outer(context)).filter(F.col("hit").isNotNull())
+    return found.drop("parts", "text").select("*", "hit.*").drop("hit")
 
 
 def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:

@@ -46,10 +46,9 @@ def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
     if TEXT in kinds:
         example = F.substring(strip(F.col("text")), 1, MAX_TEXT_LENGTH)
         facts.append(F.array(F.when(~is_blank(F.col("text")), fact(TEXT, none, example, F.lit(0)))))
-    present = F.filter(F.concat(*(F.coalesce(f, F.array()) for f in facts)), lambda f: f.isNotNull())
-    rows = nodes.select("path", "doc_ord", "node_id", F.explode(present).alias("f")).select(
-        "path", "doc_ord", "node_id", "f.*"
-    )
+    every = F.concat(*(F.coalesce(f, F.array()) for f in facts))
+    rows = nodes.select("path", "doc_ord", "node_id", F.explode_outer(every).alias("f"))
+    rows = rows.filter(F.col("f").isNotNull()).select("path", "doc_ord", "node_id", "f.*")
     keys = ("path", "kind", "name")
     at = document_position(rows, minor=F.col("minor"))
     seen = rows.groupBy(*keys, "value").agg(F.min(at).alias("at"))
