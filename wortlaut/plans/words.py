@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wortlaut.functions.sizes import stage
 from wortlaut.operators import lookup, wordlist
 from wortlaut.plans.common import Registry, table
+from wortlaut.sources.documents import spread
 
 registry = Registry()
 
@@ -44,23 +46,28 @@ def _raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(
         F.explode(F.array(*(F.lit(w) for w in _PLANTED))).alias("lemma")
     )
-    return table(spark, sf_dir, "documents").select(F.explode(words).alias("lemma")).unionByName(planted)
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(F.explode(words).alias("lemma")).unionByName(planted)
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lemma list; a table of its own, as the rules read it more than once."""
+    return stage(_lemma_query(spark, sf_dir))
+
+
+def _lemma_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordlist.clean_lemmas(_raw_words(spark, sf_dir))
 
 
-def _supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nine = _lemmas(spark, sf_dir).filter(F.length("lemma") == 9)
+def _supplement(lemmas: DataFrame) -> DataFrame:
+    nine = lemmas.filter(F.length("lemma") == 9)
     own = nine.select(F.col("lemma").alias("alt"), F.concat("lemma", F.lit("-neu")).alias("neu"), F.lit(1).alias("ord"))
-    river = table(spark, sf_dir, "region").filter("r_regionkey = 0")
+    river = lemmas.filter("lemma = 'Fluß'")
     return own.unionByName(river.select(F.lit(" Fluß").alias("alt"), F.lit("Strom ").alias("neu"), F.lit(2).alias("ord")))
 
 
 @registry.add("a12_lemmas", f"{_WORDS_SQL} SELECT lemma FROM lem")
 def a12(spark, sf_dir):
-    return _lemmas(spark, sf_dir)
+    return _lemma_query(spark, sf_dir)
 
 
 @registry.add("g1_ss_pairs", f"{_WORDS_SQL} SELECT * FROM ss_pair")
@@ -91,8 +98,8 @@ def g4(spark, sf_dir):
     f"{_WORDS_SQL}, {_SUPPLEMENT_SQL} SELECT alt, neu, CAST(source AS BIGINT) AS source FROM pairs UNION ALL SELECT alt, neu, 3 FROM sup",
 )
 def g5(spark, sf_dir):
-    pairs = wordlist.rule_pairs(_lemmas(spark, sf_dir))
-    return wordlist.with_supplement(pairs, _supplement(spark, sf_dir)).drop("ord")
+    lemmas = _lemmas(spark, sf_dir)
+    return wordlist.with_supplement(wordlist.rule_pairs(lemmas), _supplement(lemmas)).drop("ord")
 
 
 def _built_sql(order: str) -> str:
@@ -102,12 +109,14 @@ def _built_sql(order: str) -> str:
 
 @registry.add("g6_build_spellings", _built_sql("source"))
 def g6(spark, sf_dir):
-    return wordlist.build_spellings(_lemmas(spark, sf_dir), _supplement(spark, sf_dir))
+    lemmas = _lemmas(spark, sf_dir)
+    return wordlist.build_spellings(lemmas, _supplement(lemmas))
 
 
 @registry.add("g6_supplement_first", _built_sql("CASE source WHEN 3 THEN -1 ELSE source END"))
 def g6_supplement(spark, sf_dir):
-    return wordlist.build_spellings(_lemmas(spark, sf_dir), _supplement(spark, sf_dir), prefer="supplement")
+    lemmas = _lemmas(spark, sf_dir)
+    return wordlist.build_spellings(lemmas, _supplement(lemmas), prefer="supplement")
 
 
 # Answers of the lexicon, made from the words: by length they fail, find nothing, confirm, correct, or list two entries.
@@ -117,7 +126,7 @@ _ANSWERS_SQL = f"""{_WORDS_SQL}, ans AS (
     CASE WHEN len(lemma) % 5 = 0 THEN 'HTTP 500' END AS error FROM lem)"""
 
 
-def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _responses(lemmas: DataFrame) -> DataFrame:
     kind, word = F.length("lemma") % 5, F.col("lemma")
 
     def entry(key, lemma):
@@ -131,26 +140,26 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.to_json(F.array(corrected)))
         .when(kind == 4, F.to_json(F.array(other, corrected)))
     )
-    return _lemmas(spark, sf_dir).select(
+    return lemmas.select(
         word.alias("wort"), body.alias("body"), F.when(kind == 0, "HTTP 500").alias("error"), F.lit("2026-01-01T00:00:00").alias("timestamp")
     )
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.parse_lookup(_responses(spark, sf_dir))
+def _answers(lemmas: DataFrame) -> DataFrame:
+    return lookup.parse_lookup(_responses(lemmas))
 
 
 @registry.add("i3_parse_lookup", f"{_ANSWERS_SQL} SELECT * FROM ans")
 def i3(spark, sf_dir):
-    return _answers(spark, sf_dir).drop("timestamp")
+    return _answers(_lemma_query(spark, sf_dir)).drop("timestamp")
 
 
 _CANONICAL_SQL = f"""{_ANSWERS_SQL}, looked AS (
   SELECT p.*, CASE WHEN canonical = 'NOT_FOUND' THEN NULL ELSE canonical END AS canonical FROM pairs p JOIN ans ON wort = alt)"""
 
 
-def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.parse_lookup(_responses(spark, sf_dir), not_found=None).select("wort", "canonical")
+def _canonical(lemmas: DataFrame) -> DataFrame:
+    return lookup.parse_lookup(_responses(lemmas), not_found=None).select("wort", "canonical")
 
 
 @registry.add(
@@ -159,8 +168,8 @@ def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE canonical IS NULL OR canonical <> alt""",
 )
 def g7(spark, sf_dir):
-    pairs = wordlist.rule_pairs(_lemmas(spark, sf_dir))
-    return wordlist.apply_canonical(pairs, _canonical(spark, sf_dir))[0]
+    lemmas = _lemmas(spark, sf_dir)
+    return wordlist.apply_canonical(wordlist.rule_pairs(lemmas), _canonical(lemmas))[0]
 
 
 @registry.add(
@@ -168,7 +177,8 @@ def g7(spark, sf_dir):
     f"{_CANONICAL_SQL} {_WHITE_SQL} UNION SELECT alt FROM looked WHERE canonical = alt",
 )
 def g7_whitelist(spark, sf_dir):
-    return wordlist.build_whitelist(_lemmas(spark, sf_dir), _canonical(spark, sf_dir))
+    lemmas = _lemmas(spark, sf_dir)
+    return wordlist.build_whitelist(lemmas, _canonical(lemmas))
 
 
 # Lookup runs over a table with one row per word occurrence.
@@ -185,7 +195,7 @@ led AS (SELECT lemma AS wort, len(lemma) % 6 AS fehler_count, 'HTTP 429' AS letz
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.regexp_replace("text", '[ \\n.,;:!?()"]', " "), " ")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "lemma"))
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.posexplode(words).alias("i", "lemma"))
     source = rows.select(
         (F.col("doc_id") * 1000000 + F.col("i") + 1).alias("ord"), "lemma",
         F.when(F.length("lemma") % 7 == 3, F.concat("lemma", F.lit("alt"))).alias("lemma_neu"),
@@ -193,8 +203,8 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.lookup_base(source.drop("lemma_neu"), previous=source)
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = _lemmas(spark, sf_dir).filter((F.length("lemma") % 2 == 0) & (F.length("lemma") % 6 > 0))
+def _ledger(lemmas: DataFrame) -> DataFrame:
+    failed = lemmas.filter((F.length("lemma") % 2 == 0) & (F.length("lemma") % 6 > 0))
     return failed.select(
         F.col("lemma").alias("wort"), (F.length("lemma") % 6).alias("fehler_count"),
         F.lit("HTTP 429").alias("letzter_fehler"), F.lit("2025-12-31T00:00:00").alias("timestamp"),
@@ -214,7 +224,7 @@ _CANDIDATES_SQL = f"""{_BASE_SQL}, cand AS (
 @registry.add("i2_candidates", f"{_CANDIDATES_SQL} SELECT lemma, first_ord FROM cand WHERE place >= 10")
 def i2(spark, sf_dir):
     index = lookup.lookup_index(_base(spark, sf_dir))
-    return lookup.lookup_candidates(index, _ledger(spark, sf_dir), start=10).select("lemma", "first_ord")
+    return lookup.lookup_candidates(index, _ledger(_lemmas(spark, sf_dir)), start=10).select("lemma", "first_ord")
 
 
 @registry.add(
@@ -224,8 +234,8 @@ def i2(spark, sf_dir):
     FROM occ o LEFT JOIN idx i ON o.ord = i.row_ord LEFT JOIN ans a ON a.wort = i.lemma""",
 )
 def i4(spark, sf_dir):
-    base = _base(spark, sf_dir)
-    return lookup.merge_lookups(base, lookup.lookup_index(base), _answers(spark, sf_dir))
+    base = stage(_base(spark, sf_dir))  # index and merge both read it
+    return lookup.merge_lookups(base, lookup.lookup_index(base), _answers(_lemmas(spark, sf_dir)))
 
 
 _LEDGER_SQL = f"""{_BASE_SQL}, asked AS (SELECT * FROM ans WHERE len(wort) % 3 < 2),
@@ -237,8 +247,8 @@ led2 AS (
 
 
 def _new_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = _answers(spark, sf_dir).filter(F.length("wort") % 3 < 2)
-    return lookup.update_ledger(_ledger(spark, sf_dir), answers)
+    lemmas = _lemmas(spark, sf_dir)
+    return lookup.update_ledger(_ledger(lemmas), _answers(lemmas).filter(F.length("wort") % 3 < 2))
 
 
 @registry.add(
