@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wortlaut.functions.sizes import stage
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -44,6 +46,7 @@ def running_total(
     slabbed = df.withColumn("_value", value).withColumn("_slab", F.floor(F.col(ord_col) / F.lit(width)))
     sums = slabbed.groupBy(*group, "_slab").agg(F.sum("_value").alias("_sum"))
     if levels > 1:
+        sums = stage(sums)
         upper = sums.withColumnsRenamed({"_slab": "_slab_ord", "_sum": "_slab_sum"})
         offsets = running_total(
             upper, "_slab_ord", F.col("_slab_sum"), "_before", group, 100_000, "_total", levels - 1

@@ -17,9 +17,15 @@ def _quoted(name: str) -> str:
 
 
 def _ends_with_steps(steps: list[str]) -> Column:
-    if len(steps) == 1:
-        return F.col("tag") == steps[0]
-    return F.concat(F.lit("/"), F.col("path")).endswith("/" + "/".join(steps))
+    """The test on the tag alone reaches the Parquet scan, so row groups without the tag are skipped."""
+    last = F.col("tag") == steps[-1]
+    return last if len(steps) == 1 else last & F.concat(F.lit("/"), F.col("path")).endswith("/" + "/".join(steps))
+
+
+def _matches_steps(steps: list[str], joint: str) -> Column:
+    names = ["[^/]+" if s == "*" else _quoted(s) for s in steps]
+    found = F.col("path").rlike("(?:^|/)" + joint.join(names) + "$")
+    return found if steps[-1] == "*" else (F.col("tag") == steps[-1]) & found
 
 
 def search_predicate(query: str) -> Column:
@@ -34,8 +40,7 @@ def search_predicate(query: str) -> Column:
         return F.lit(False)
     if "*" not in query:
         return _ends_with_steps(steps)
-    names = ["[^/]+" if s == "*" else _quoted(s) for s in steps]
-    return F.col("path").rlike("(?:^|/)" + "/(?:.*/)?".join(names) + "$")
+    return _matches_steps(steps, "/(?:.*/)?")
 
 
 def pattern_predicate(pattern: str) -> Column:
@@ -45,8 +50,7 @@ def pattern_predicate(pattern: str) -> Column:
         return F.lit(True)
     if "*" not in steps:
         return _ends_with_steps(steps)
-    names = ["[^/]+" if s == "*" else _quoted(s) for s in steps]
-    return F.col("path").rlike("(?:^|/)" + "/".join(names) + "$")
+    return _matches_steps(steps, "/")
 
 
 def suffix_predicate(path: str) -> Column:

@@ -14,7 +14,7 @@ WHITESPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\
 
 # Fixed value: a word character is what Python's \w accepts (letters, numbers, underscore).
 WORD_CLASS = r"[\p{L}\p{N}_]"
-BOUNDARY = f"(?<={WORD_CLASS})(?!{WORD_CLASS})|(?<!{WORD_CLASS})(?={WORD_CLASS})"
+_PIECES = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_]++"
 
 # Fixed value: the line ends str.splitlines() knows.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -25,8 +25,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """True for NULL, empty and all-white-space text."""
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """True for NULL, empty and all-white-space text.  Trimming on the left looks no further than the first mark."""
+    return F.coalesce(F.ltrim(text, F.lit(WHITESPACE)), F.lit("")) == ""
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -51,8 +51,8 @@ def round_one_decimal(value: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """Split at every word boundary; the pieces joined together give the text back."""
-    return F.split(text, BOUNDARY)
+    """Split at every word boundary: words and gaps in turn, which joined together give the text back."""
+    return F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
 
 
 def split_lines(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wortlaut.functions.ordering import with_position
+from wortlaut.functions.sizes import stage
 from wortlaut.functions.text import strip
 from wortlaut.operators.wordlist import usable_lemma
 
@@ -47,7 +48,7 @@ def lookup_candidates(
         open_words = open_words.filter(F.col("lemma_neu") == "")
     if start == 0 and end is None:
         return open_words
-    placed = with_position(open_words, "first_ord")
+    placed = with_position(stage(open_words), "first_ord")
     wanted = F.col("position") >= start
     if end is not None:
         wanted &= F.col("position") < end

@@ -47,8 +47,8 @@ def _single_line(text: Column) -> Column:
 def _context(parts: Column, place: Column, size: Column) -> Column:
     """The match with up to 40 code points on either side, and … where text was cut.
 
-    Every piece but a last empty one has a code point at least, so 41 pieces on a side always hold 40 code points and
-    show whether there are more.
+    Every piece has a code point at least, so 41 pieces on a side always hold 40 code points and show whether there are
+    more.
     """
     reach = CONTEXT + 1
     first = F.greatest(F.lit(0), place - reach)
@@ -130,9 +130,7 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
     Only keys and single pieces go through the join; texts meet their hits once, by segment.  The many-sided key is a
     common word, which adaptive execution splits, as the list has few entries per first piece.
     """
-    entry = spellings.select("alt", pieces(F.col("alt")).alias("raw")).select(
-        "alt", F.filter("raw", lambda p: p != "").alias("entry")
-    )
+    entry = spellings.select("alt", pieces(F.col("alt")).alias("entry"))
     entries = entry.select(F.col("entry")[0].alias("piece"), "alt", F.size("entry").alias("size"))
     split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
     keys = ("doc_id", "owner_id", "seg_no")

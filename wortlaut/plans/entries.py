@@ -16,7 +16,6 @@ from wortlaut.plans.common import (
     ENTRY_SQL,
     Registry,
     entry_docs,
-    table,
 )
 
 registry = Registry()
@@ -285,7 +284,7 @@ def f6(spark, sf_dir):
 )
 def f6_set(spark, sf_dir):
     rows = _tree(spark, sf_dir)
-    closed = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.lit("entry/sense").alias("id"))
+    closed = rows.filter("kind = 'tag' AND label = 'sense' AND depth = 1 AND path LIKE 'entry%'").select("id")
     return structure.set_visibility(rows, closed).select("id", "is_collapsed", "is_visible")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wortlaut.functions.paths import parent, strict_ancestors
-from wortlaut.functions.sizes import keep_values
+from wortlaut.functions.paths import parent, prefixes, strict_ancestors
+from wortlaut.functions.sizes import values_if_few
 from wortlaut.sources.documents import size_kb
 
 
@@ -45,20 +45,28 @@ def index_order() -> Column:
 def search_index(index: DataFrame, needle: str) -> DataFrame:
     """Rows whose name contains the needle in any case, and all directories above them."""
     hits = index.filter(F.contains(F.lower("name"), F.lit(needle.lower())))
-    above = hits.select(F.explode(F.concat(strict_ancestors(F.col("path")), F.array("path"))).alias("path"))
+    above = hits.select(F.explode(prefixes(F.col("path"))).alias("path"))
     return index.join(above.distinct(), "path", "left_semi")
 
 
-def _covered(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Paths of the chosen rows and, below chosen directories, of everything in them."""
-    reach = index.select("path", F.explode(F.concat(strict_ancestors(F.col("path")), F.array("path"))).alias("up"))
-    return keep_values(reach, "up", chosen.select(F.col("path").alias("up"))).select("path").distinct()
+def _covered(index: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """Rows that are (``left_semi``) or are not (``left_anti``) chosen or below a chosen directory.
+
+    A few chosen paths are tested row by row; a long list is joined with the ancestors of every path.
+    """
+    names = values_if_few(chosen, "path")
+    if names is not None:
+        inside = F.exists(prefixes(F.col("path")), lambda up: up.isin(names)) if names else F.lit(False)
+        return index.filter(inside if how == "left_semi" else ~inside)
+    reach = index.select("path", F.explode(prefixes(F.col("path"))).alias("up"))
+    inside = reach.join(chosen.select(F.col("path").alias("up")).distinct(), "up", "left_semi")
+    return index.join(inside.select("path").distinct(), "path", how)
 
 
 def select_paths(index: DataFrame, include: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """Index rows selected by a table of paths; a directory stands for its subtree; ``exclude`` takes rows out."""
-    selected = index.join(_covered(index, include), "path", "left_semi")
-    return selected if exclude is None else selected.join(_covered(index, exclude), "path", "left_anti")
+    selected = _covered(index, include, "left_semi")
+    return selected if exclude is None else _covered(selected, exclude, "left_anti")
 
 
 def select_filtered(visible: DataFrame) -> DataFrame:
