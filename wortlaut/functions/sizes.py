@@ -49,12 +49,17 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/wortlaut-{uuid.uuid4().hex}"
+
+
 def stage(table: DataFrame) -> DataFrame:
     """Write a table that several later steps read to the checkpoint folder, and read it back.
 
     The work behind it is done once, and a lost executor repeats none of it.
     """
     spark = table.sparkSession
-    path = f"{_checkpoint_dir(spark).rstrip('/')}/wortlaut-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)

@@ -349,6 +349,46 @@ def f11(spark, sf_dir):
     return structure.attr_row_values(_tree(spark, sf_dir), "entry/sense/@src")
 
 
+# The node table itself.
+@registry.add(
+    "a17_nodes",
+    f"""{ENTRY_SQL}, anc AS (SELECT *, string_split(path, '/') AS steps FROM el)
+    SELECT 'entries/s' || (k % 20) || '/o' || k || '.xml' AS document, path, tag, CAST(len(steps) - 1 AS BIGINT) AS depth,
+      CASE WHEN len(steps) > 1 THEN steps[-2] END AS parent_tag, CAST(line AS BIGINT) AS line,
+      row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS number,
+      CASE WHEN len(steps) = 1 THEN chr(10) ELSE text END AS text,
+      row_number() OVER (PARTITION BY k, path ORDER BY pos) = 1 AS first_in_doc FROM anc""",
+)
+def a17(spark, sf_dir):
+    nodes = _corpus(spark, sf_dir, "path", "depth", "parent_tag", "text", "first_in_doc").nodes
+    return nodes.select(
+        F.col("doc_id").alias("document"), "path", "tag", "depth", "parent_tag", "line",
+        F.col("node_id").alias("number"), "text", "first_in_doc",
+    )
+
+
+@registry.add(
+    "a17_attributes",
+    f"""{ENTRY_SQL} SELECT 'entries/s' || (k % 20) || '/o' || k || '.xml' AS document, path, attr, value,
+      CASE WHEN attr IN ('id', 'lang') THEN '{{http://www.w3.org/XML/1998/namespace}}' || attr ELSE attr END AS name FROM att""",
+)
+def a17_attributes(spark, sf_dir):
+    nodes = _corpus(spark, sf_dir, "path", "attrs").nodes
+    rows = nodes.select(F.col("doc_id").alias("document"), "path", F.explode("attrs").alias("a"))
+    return rows.select("document", "path", F.col("a.local").alias("attr"), "a.value", "a.name")
+
+
+@registry.add(
+    "a19_grid_page",
+    f"""{ENTRY_SQL} SELECT {ENTRY_SOURCE_SQL}, CAST(line AS BIGINT) AS line, {_PATH} FROM el
+    WHERE tag = 'def' AND line >= 4 ORDER BY line DESC, filename, path LIMIT 25 OFFSET 25""",
+)
+def a19(spark, sf_dir):
+    """Sorting, filtering and paging of results is plain DataFrame work; a page has 25 rows."""
+    found = search.find_path(_corpus(spark, sf_dir, "path", "text").nodes, "def").filter("line >= 4")
+    return found.orderBy(F.desc("line"), "filename", "full_path").offset(25).limit(25)
+
+
 # Validation.
 @registry.add(
     "b1_wellformed",

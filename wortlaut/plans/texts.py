@@ -208,6 +208,39 @@ def h6(spark, sf_dir):
     return spelling.check_spelling(corpus, _word_list(spark, sf_dir)).drop("seg_no", "place")
 
 
+@registry.add(
+    "h5_exact_lines",
+    f"""{_P_SQL}, ask AS (SELECT DISTINCT d, source, lang, i + 1 AS h, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM p)
+    SELECT {_P_SOURCE}, h AS hint_line, w AS word, h AS line FROM ask WHERE len(w) >= 14""",
+)
+def h5(spark, sf_dir):
+    """Every word of 14 letters and more, and the first source line from its paragraph's on that contains it: the
+    paragraph stands on one line, so that is its own."""
+    corpus = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE)
+    words = corpus.segments.filter("tag = 'p'").withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
+    asked = words.filter(F.length("word") >= 14).select(*DOC_KEYS, "hint_line", "word").distinct()
+    lines = spelling.exact_lines(asked, corpus.lines)
+    return asked.join(lines, ["doc_id", "hint_line", "word"]).select("quelle", "subdir", "filename", "hint_line", "word", "line")
+
+
+@registry.add(
+    "a17_segments",
+    f"""{_T_SQL} SELECT {_T_SOURCE}, CAST(0 AS BIGINT) AS owner_id, CAST(0 AS BIGINT) AS seg_no, 'turn' AS tag, t AS text,
+      CAST(1 AS BIGINT) AS hint_line FROM t WHERE t <> ''""",
+)
+def a17_segments(spark, sf_dir):
+    return Corpus.of(turn_docs(spark, sf_dir), SEGMENT_SOURCE).segments
+
+
+@registry.add(
+    "a17_lines",
+    f"""{_T_SQL} SELECT 'c' || c || '/t' || n || '.xml' AS document, generate_subscripts(string_split(xml, chr(10)), 1) AS line_no,
+      unnest(string_split(xml, chr(10))) AS text FROM t""",
+)
+def a17_lines(spark, sf_dir):
+    return Corpus.of(turn_docs(spark, sf_dir)).lines.withColumnRenamed("doc_id", "document")
+
+
 @registry.add(
     "a18_source_lines",
     f"""{_T_SQL}, ln AS (

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wortlaut.functions.sizes import stage
+from wortlaut.functions.sizes import scratch_path, stage
 from wortlaut.operators import lookup, wordlist
 from wortlaut.plans.common import Registry, table
+from wortlaut.sources import wordlists
 from wortlaut.sources.documents import spread
+from wortlaut.sources.results import write_results
 
 registry = Registry()
 
@@ -285,3 +287,53 @@ def i7(spark, sf_dir):
 )
 def i8(spark, sf_dir):
     return lookup.lookup_pairs(_base(spark, sf_dir))
+
+
+# Lists as files: written from the words of the texts, read back with the list readers.
+@registry.add(
+    "a10_custom_list",
+    f"{_WORDS_SQL} SELECT lemma AS alt, lemma || ', neu' AS neu FROM lem WHERE len(lemma) % 3 <> 0",
+)
+def a10(spark, sf_dir):
+    rows = _lemma_query(spark, sf_dir).select(
+        F.concat("lemma", F.lit(" ")).alias("Alte Schreibung"),
+        F.when(F.length("lemma") % 3 != 0, F.concat("lemma", F.lit(", neu"))).alias("NEU"), F.lit("x").alias("note"),
+    )
+    path = scratch_path(spark)
+    rows.write.option("header", True).csv(path)
+    return wordlists.read_wordlist(spark, path).drop("ord")
+
+
+@registry.add("a11_spellings", _built_sql("source"))
+def a11(spark, sf_dir):
+    lemmas, path = _lemmas(spark, sf_dir), scratch_path(spark)
+    wordlists.write_spellings(wordlist.build_spellings(lemmas, _supplement(lemmas)), path)
+    return wordlists.read_spellings(spark, path).drop("ord")
+
+
+@registry.add("a11_whitelist", f"{_WORDS_SQL} {_WHITE_SQL}")
+def a11_whitelist(spark, sf_dir):
+    path = scratch_path(spark)
+    wordlists.write_whitelist(wordlist.build_whitelist(_lemmas(spark, sf_dir)), path)
+    return wordlists.read_whitelist(spark, path)
+
+
+@registry.add(
+    "a14_export",
+    f"{_WORDS_SQL} SELECT lemma, len(lemma) || ';' || lemma AS details FROM lem",
+)
+def a14(spark, sf_dir):
+    rows = _lemma_query(spark, sf_dir).select("lemma", F.concat(F.length("lemma"), F.lit(";"), "lemma").alias("details"), F.lit(1).alias("node_id"))
+    path = scratch_path(spark)
+    write_results(rows, path)
+    return spark.read.option("header", True).option("sep", ";").csv(path)
+
+
+@registry.add(
+    "a16_ledger",
+    f"{_BASE_SQL} SELECT wort, CAST(fehler_count AS BIGINT) AS fehler_count, letzter_fehler, timestamp FROM led",
+)
+def a16(spark, sf_dir):
+    path = scratch_path(spark)
+    wordlists.write_ledger(_ledger(_lemma_query(spark, sf_dir)), path)
+    return wordlists.read_ledger(spark, path)
