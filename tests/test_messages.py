@@ -29,7 +29,9 @@ def test_running_totals_and_positions(spark):
 def test_size_checks(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert values_if_few(df, "k", 99) is None and sorted(values_if_few(df, "k", 100)) == list(range(100))
-    assert keep_values(df, "k", df.filter("k < 5")).count() == 5
+    words = df.select(F.concat(F.lit("it's \\ "), "k").alias("w"))
+    assert keep_values(words, "w", words.limit(5)).count() == 5
+    assert keep_values(words, "w", words.filter("w = ''")).count() == 0
     assert "broadcast" in broadcast_if_few(df, 100)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in broadcast_if_few(df, 99)._jdf.queryExecution().analyzed().toString().lower()
     assert stage(df).exceptAll(df).count() == 0

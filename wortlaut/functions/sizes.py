@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wortlaut.functions.text import string_literals
+
 MAX_BROADCAST_ROWS = 200_000
 MAX_INLINE_VALUES = 10_000
 
@@ -25,14 +27,14 @@ def broadcast_if_few(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataF
 
 
 def keep_values(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``column`` is among the values of ``wanted``.
+    """Rows whose text ``column`` is among the values of ``wanted``.
 
     Few values become a literal set, so a table with hot values (a tag that holds a third of all nodes) is filtered
     where it lies; only a long list of values is a join.
     """
     values = values_if_few(wanted, column)
     if values is not None:
-        return table.filter(F.col(column).isin(values)) if values else table.filter(F.lit(False))
+        return table.filter(f"`{column}` IN ({string_literals(values)})") if values else table.filter(F.lit(False))
     return table.join(wanted.select(column).distinct(), column, "left_semi")
 
 

@@ -70,3 +70,8 @@ def source_key(name: Column) -> Column:
 
 def is_letters_or_hyphens(word: Column) -> Column:
     return word.rlike(r"^[\p{L}-]+$")
+
+
+def string_literals(values: list[str]) -> str:
+    """Values as the inside of an SQL ``IN`` list; much quicker to build than as many literal Columns."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wortlaut.functions.sizes import broadcast_if_few, keep_values, stage
-from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, strip
+from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, string_literals, strip
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.results import SOURCE
 from wortlaut.operators.search import text_tags
@@ -61,16 +61,16 @@ def _context(parts: Column, place: Column, size: Column) -> Column:
     return F.concat(left, shown, right)
 
 
-def _more_after(parts: Column, place: Column) -> Column:
-    """Is there text from this piece on?  The ends of a text are no word boundaries beside a non-word character, so an
-    entry that begins or ends with one needs text before or after it."""
-    return F.coalesce(F.get(parts, place), F.lit("")) != ""
+def _without_overlaps(column: str) -> Column:
+    """From (place, size, …) hits ordered by place keep those that do not begin inside a kept one.
 
+    If no hit begins inside the one before it there is nothing to do, which is the rule; else the hits are walked.
+    """
+    hits = F.col(column)
 
-def _without_overlaps(hits: Column) -> Column:
-    """From (place, size) hits ordered by place keep those that do not begin inside a kept one."""
-    empty = F.slice(hits, 1, 0)
-    start = F.struct(empty.alias("kept"), F.lit(0).alias("free"))
+    def begins_inside(hit: Column, i: Column) -> Column:
+        before = F.get(hits, i - 1)
+        return F.coalesce(hit["place"] < before["place"] + before["size"], F.lit(False))
 
     def step(state: Column, hit: Column) -> Column:
         taken = F.struct(
@@ -78,11 +78,17 @@ def _without_overlaps(hits: Column) -> Column:
         )
         return F.when(hit["place"] >= state["free"], taken).otherwise(state)
 
-    return F.aggregate(hits, start, step)["kept"]
+    start = F.struct(F.slice(hits, 1, 0).alias("kept"), F.lit(0).alias("free"))
+    walked = F.aggregate(hits, start, step)["kept"]
+    return F.when(F.exists(F.transform(hits, begins_inside), lambda x: x), walked).otherwise(hits)
 
 
 def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
-    """Hits of a word list small enough to sit in the plan: set membership inside each row, then explode."""
+    """Hits of a word list small enough to sit in the plan: set membership inside each row, then explode.
+
+    The ends of a text are no word boundaries beside a non-word character, so an entry that begins or ends with one needs
+    text before or after it.
+    """
     by_size: dict[int, list[str]] = defaultdict(list)
     heads: dict[int, set[str]] = defaultdict(set)
     for word in words:
@@ -90,38 +96,36 @@ def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
         by_size[len(entry)].append(word)
         heads[len(entry)].add(entry[0])
     parts = F.col("parts")
-
-    def hit_at(piece: Column, i: Column) -> Column:
-        size = F.lit(None).cast("int")
-        for n in sorted(by_size):  # the longest entry is tested first, as it wraps the others
-            run = piece if n == 1 else F.array_join(F.slice(parts, i + 1, n), "")
-            found = run.isin(by_size[n])
-            if n > 1:
-                found = piece.isin(sorted(heads[n])) & found
-            odd_start = [w for w in by_size[n] if not _WORD.match(w[0])]
-            odd_end = [w for w in by_size[n] if not _WORD.match(w[-1])]
-            if odd_start:
-                found &= (i > 0) | ~run.isin(odd_start)
-            if odd_end:
-                found &= _more_after(parts, i + n) | ~run.isin(odd_end)
-            size = F.when(found, F.lit(n)).otherwise(size)
-        return F.struct(i.alias("place"), size.alias("size"))
-
-    hits = F.filter(F.transform(parts, hit_at), lambda h: h["size"].isNotNull())
-    if max(by_size, default=1) > 1:
-        hits = _without_overlaps(hits)
+    # Written as SQL text, since thousands of literals go into one expression.
+    cases = []
+    for n in sorted(by_size, reverse=True):  # the longest entry that begins at a piece counts
+        run = "piece" if n == 1 else f"array_join(slice(parts, i + 1, {n}), '')"
+        tests = [f"{run} IN ({string_literals(by_size[n])})"]
+        if n > 1:
+            tests.insert(0, f"piece IN ({string_literals(sorted(heads[n]))})")
+        odd_start = [w for w in by_size[n] if not _WORD.match(w[0])]
+        odd_end = [w for w in by_size[n] if not _WORD.match(w[-1])]
+        if odd_start:
+            tests.append(f"(i > 0 OR {run} NOT IN ({string_literals(odd_start)}))")
+        if odd_end:
+            tests.append(f"(i + {n} < size(parts) OR {run} NOT IN ({string_literals(odd_end)}))")
+        cases.append(f"WHEN {' AND '.join(tests)} THEN named_struct('place', i, 'size', {n})")
+    hit_at = f"transform(parts, (piece, i) -> CASE {' '.join(cases)} END)"
+    split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
+    split = split.withColumn("hits", F.filter(F.expr(hit_at), lambda h: h.isNotNull()))
+    if max(by_size) > 1:
+        split = split.withColumn("hits", _without_overlaps("hits"))
     context = F.transform(
-        hits,
+        "hits",
         lambda h: F.struct(
             h["place"].alias("place"),
             F.array_join(F.slice(parts, h["place"] + 1, h["size"]), "").alias("gefunden"),
             _context(parts, h["place"], h["size"]).alias("kontext"),
         ),
     )
-    split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
     # explode_outer: for a plain explode the optimizer adds a filter that would compute the hits once more
     found = split.withColumn("hit", F.explode_outer(context)).filter(F.col("hit").isNotNull())
-    return found.drop("parts", "text").select("*", "hit.*").drop("hit")
+    return found.drop("parts", "hits", "text").select("*", "hit.*").drop("hit")
 
 
 def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
@@ -148,7 +152,7 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
         "candidates",
         lambda c: (F.array_join(F.slice(parts, c["place"] + 1, c["size"]), "") == c["alt"])
         & ((c["place"] > 0) | c["alt"].rlike("^" + WORD_CLASS))
-        & (_more_after(parts, c["place"] + c["size"]) | c["alt"].rlike(WORD_CLASS + "$")),
+        & ((c["place"] + c["size"] < F.size(parts)) | c["alt"].rlike(WORD_CLASS + "$")),
     )
     # Longest entry first at one place: of candidates at the same place, keep the one no longer one follows.
     longest = F.filter(
@@ -158,7 +162,9 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
     hits = (
         split.join(found, list(keys))
         .withColumn("exact", exact)
-        .withColumn("hit", F.explode(_without_overlaps(longest)))
+        .withColumn("longest", longest)
+        .withColumn("hit", F.explode_outer(_without_overlaps("longest")))
+        .filter(F.col("hit").isNotNull())
     )
     return hits.select(
         *(c for c in segments.columns if c != "text"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wortlaut.functions.paths import parent, prefixes, strict_ancestors
 from wortlaut.functions.sizes import values_if_few
+from wortlaut.functions.text import string_literals
 from wortlaut.sources.documents import size_kb
 
 
@@ -56,8 +57,9 @@ def _covered(index: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """
     names = values_if_few(chosen, "path")
     if names is not None:
-        inside = F.exists(prefixes(F.col("path")), lambda up: up.isin(names)) if names else F.lit(False)
-        return index.filter(inside if how == "left_semi" else ~inside)
+        test = f"exists(_up, up -> up IN ({string_literals(names)}))" if names else "false"
+        steps = index.withColumn("_up", prefixes(F.col("path")))
+        return steps.filter(test if how == "left_semi" else f"NOT {test}").drop("_up")
     reach = index.select("path", F.explode(prefixes(F.col("path"))).alias("up"))
     inside = reach.join(chosen.select(F.col("path").alias("up")).distinct(), "up", "left_semi")
     return index.join(inside.select("path").distinct(), "path", how)
