@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wortlaut.functions.sizes import broadcast_if_few, keep_values, stage
@@ -215,11 +215,34 @@ def exact_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     )
     missing = asked.join(found, keys, "left_anti")
     if not missing.isEmpty():
-        far = source.join(broadcast_if_few(missing), same_doc & holds).groupBy(*keys).agg(first)
-        found = found.unionByName(far)
+        found = found.unionByName(_lines_further_down(missing, source))
     return asked.join(found, keys, "left").select(*keys, F.coalesce("line", "hint_line").alias("line"))
 
 
+def _lines_further_down(missing: DataFrame, source: DataFrame) -> DataFrame:
+    """(doc_id, hint_line, word, line) for words of ``missing`` found anywhere in the rest of their document.
+
+    Each word is looked for once per document.  Hints and places are then put in one order, where the place that comes
+    next is a running minimum; hints are not paired with places.
+    """
+    words = missing.groupBy("doc_id", "word").agg(F.min("from_line").alias("from_line"))
+    holds = (F.col("line_no") >= F.col("from_line")) & F.contains(F.col("source_text"), F.col("word"))
+    places = source.join(broadcast_if_few(words), (F.col("doc_id") == F.col("source_id")) & holds)
+    hints = missing.select("doc_id", "word", F.col("from_line").alias("at"), "hint_line", F.lit(None).cast("int").alias("line"))
+    merged = hints.unionByName(
+        places.select("doc_id", "word", F.col("line_no").alias("at"), F.lit(None).cast("int").alias("hint_line"),
+                      F.col("line_no").alias("line"))
+    )
+    # a hint comes before a place on the same line, which therefore counts
+    onwards = Window.partitionBy("doc_id", "word").orderBy("at", F.col("line").isNotNull())
+    following = F.min("line").over(onwards.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return (
+        merged.withColumn("line", following)
+        .filter(F.col("hint_line").isNotNull() & F.col("line").isNotNull())
+        .select("doc_id", "hint_line", "word", "line")
+    )
+
+
 def check_spelling(
     corpus: Corpus, spellings: DataFrame, tags: DataFrame | list[str] | None = None, max_inline: int = MAX_INLINE_ENTRIES
 ) -> DataFrame:
