@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wortlaut.functions.ordering import document_position
 from wortlaut.functions.paths import parent, prefixes, suffix_predicate
+from wortlaut.functions.sizes import broadcast_if_few, stage
 from wortlaut.functions.text import is_blank, strip
 
 # How many samples are kept and shown.
@@ -96,20 +97,18 @@ def _with_sort_key(paths: DataFrame) -> DataFrame:
     """Add ``has_inner`` and ``sort_key``, strings whose order is the depth-first order of the tree.
 
     Each level of the key is a child rank; '2' puts child tags after attributes ('0') and text ('1') of the same tag.
-    Every path is laid out along its ancestors.  An ancestor is seen before anything below it, so its first_seen is the
-    least one among the paths through it, and no join is needed.
+    ``paths`` is staged, so reading it several times is cheap.
     """
-    steps = paths.select("*", F.posexplode(prefixes(F.col("path"))).alias("level", "step"))
-    through = Window.partitionBy("step")
-    steps = steps.withColumn("step_seen", F.min("first_seen").over(through)).withColumn(
-        "step_inner", F.max(F.col("path") != F.col("step")).over(through)
-    )
-    ranked = steps.withColumn("rank", F.dense_rank().over(_by_rank(parent(F.col("step")), F.col("step"), "step_seen")))
-    keys = F.array_sort(F.collect_list(F.struct("level", F.lpad(F.col("rank").cast("string"), 9, "0").alias("rank"))))
-    return ranked.groupBy(*paths.columns).agg(
-        F.array_join(F.transform(keys, lambda k: k["rank"]), ".2").alias("sort_key"),
-        F.max(F.col("step_inner") & (F.col("step") == F.col("path"))).alias("has_inner"),
+    above = parent(F.col("path"))
+    rank = F.row_number().over(_by_rank(above, F.col("path"), "first_seen"))
+    ranks = paths.select(F.col("path").alias("step"), F.lpad(rank.cast("string"), 9, "0").alias("rank"))
+    steps = paths.select("path", F.posexplode(prefixes(F.col("path"))).alias("level", "step"))
+    levels = F.array_sort(F.collect_list(F.struct("level", "rank")))
+    keys = steps.join(broadcast_if_few(ranks), "step").groupBy("path").agg(
+        F.array_join(F.transform(levels, lambda k: k["rank"]), ".2").alias("sort_key")
     )
+    inner = paths.select(above.alias("path")).distinct().withColumn("has_inner", F.lit(True))
+    return paths.join(keys, "path").join(inner, "path", "left").withColumn("has_inner", F.coalesce("has_inner", F.lit(False)))
 
 
 def _inline(values: Column) -> tuple[Column, Column]:
@@ -117,9 +116,12 @@ def _inline(values: Column) -> tuple[Column, Column]:
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:
-    """Display rows of the merged tree: tags, their attributes, their text.  Order by ``sort_key``."""
+    """Display rows of the merged tree: tags, their attributes, their text.  Order by ``sort_key``.
+
+    The nodes are read once; the reduced table, one row per path, is staged and the rows are built from it.
+    """
     attr = F.struct("name", "values")
-    paths = (
+    paths = stage(
         samples(nodes)
         .groupBy("path")
         .agg(
@@ -172,7 +174,7 @@ def set_visibility(rows: DataFrame, collapsed: DataFrame) -> DataFrame:
     """
     closed = collapsed.select(F.col("id").alias("step"), F.lit(True).alias("closed")).distinct()
     # A tag row's path ends in itself; attribute and text rows have the path of the tag above them.
-    steps = rows.withColumn("step", F.explode(prefixes(F.col("path")))).join(closed, "step", "left")
+    steps = rows.withColumn("step", F.explode(prefixes(F.col("path")))).join(broadcast_if_few(closed), "step", "left")
     own = (F.col("kind") == TAG) & (F.col("step") == F.col("path"))
     is_closed = F.coalesce("closed", F.lit(False))
     kept = [c for c in rows.columns if c not in ("is_collapsed", "is_visible")]
@@ -210,13 +212,8 @@ def search_tree(rows: DataFrame, query: str) -> DataFrame:
     in_values = F.exists("inline_attr_values", lambda v: F.contains(F.lower(v), wanted))
     flagged = rows.withColumn("is_search_match", F.contains(F.lower("label"), wanted) | in_example | in_values)
     # A path is kept when a hit lies at it or below it.  Attribute and text rows have the path of their tag.
-    steps = flagged.withColumn("step", F.explode(prefixes(F.col("path"))))
-    kept = steps.withColumn("hit_below", F.max("is_search_match").over(Window.partitionBy("step")))
-    return (
-        kept.filter((F.col("step") == F.col("path")) & F.col("hit_below"))
-        .drop("step", "hit_below")
-        .withColumn("is_visible", F.lit(True))
-    )
+    kept = flagged.filter("is_search_match").select(F.explode(prefixes(F.col("path"))).alias("path")).distinct()
+    return flagged.join(kept, "path", "left_semi").select(*rows.columns).withColumn("is_visible", F.lit(True))
 
 
 def project_doc(rows: DataFrame, doc_nodes: DataFrame) -> DataFrame:
