@@ -123,16 +123,13 @@ def parse_document(content: bytes | None, names: dict | None = None) -> tuple[li
     raw, encoding = content or b"", None
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         raw, encoding = raw.decode("utf-16", errors="replace").encode("utf-8"), "utf-8"
-    handler = _Handler(raw, encoding, {} if names is None else names)
     try:
-        handler.parser.Parse(raw, True)
+        rows, chars = _node_rows(raw, encoding, {} if names is None else names)
     except expat.ExpatError as e:
         return [_error_row(e.lineno, e.offset + 1, expat.ErrorString(e.code))], "", 0
     except (ValueError, LookupError) as e:
         return [_error_row(0, 0, str(e))], "", 0
-    finally:
-        handler.parser = None  # parser and handler refer to each other
-    return handler.rows, handler.label(), handler.chars
+    return rows, _label(rows), chars
 
 
 def _error_row(line: int, column: int, message: str) -> list:
@@ -140,77 +137,64 @@ def _error_row(line: int, column: int, message: str) -> list:
     return [known.get(name) for name in _NODE_COLUMNS]
 
 
-class _Handler:
-    """Turns parser events of one document into node rows."""
+def _split_name(name: str) -> tuple[str, str, str]:
+    """(namespace, local name, {namespace}local) of a parser name"""
+    ns, _, local = name.rpartition(" ")
+    return ns, local, "{%s}%s" % (ns, local) if ns else local
 
-    def __init__(self, raw: bytes, encoding: str | None, names: dict[str, tuple[str, str, str]]):
-        self.raw = raw
-        self.names = names
-        self.rows: list[list] = []
-        self.open: list[tuple] = []  # per open element: row, node_id, tag, path, child tags, [children so far]
-        self.paths: set[str] = set()
-        self.buffer: list[str] = []
-        self.slot: tuple[list, int] | None = None  # row and place the running text belongs to
-        self.chars = 0
-        self.elements = 0
-        self.seen_to, self.line = 0, 1
-        parser = self.parser = expat.ParserCreate(encoding, " ")
-        parser.buffer_text = True
-        parser.buffer_size = 1 << 16
-        parser.ordered_attributes = True
-        parser.StartElementHandler = self.start
-        parser.EndElementHandler = self.end
-        parser.CharacterDataHandler = self.buffer.append
-        parser.CommentHandler = self.comment
-        parser.ProcessingInstructionHandler = self.instruction
-
-    def split_name(self, name: str) -> tuple[str, str, str]:
-        """(namespace, local name, {namespace}local)"""
-        ns, _, local = name.rpartition(" ")
-        known = self.names[name] = (ns, local, "{%s}%s" % (ns, local) if ns else local)
-        return known
-
-    def line_at(self, offset: int) -> int:
-        if offset > self.seen_to:
-            self.line += self.raw.count(b"\n", self.seen_to, offset)
-            self.seen_to = offset
-        return self.line
-
-    def tag_end(self, has_attributes: bool) -> int:
-        start = self.parser.CurrentByteIndex
-        end = self.raw.find(b">", start)
-        if has_attributes:
-            tag = self.raw[start:end]
-            if tag.count(b'"') % 2 or tag.count(b"'") % 2:
-                match = _START_TAG.match(self.raw, start)
-                end = match.end() if match else start
-        return end
-
-    def flush(self) -> None:
-        buffer = self.buffer
+
+def _node_rows(raw: bytes, encoding: str | None, names: dict) -> tuple[list[list], int]:
+    """Rows of one document and its number of text characters, from parser events.
+
+    The event handlers are closures, as looking attributes up would be a good part of their time.
+    """
+    rows: list[list] = []
+    stack: list[tuple] = []  # per open element: row, node_id, tag, path, child tags, [children so far]
+    paths: set[str] = set()
+    buffer: list[str] = []
+    slot, place = None, 0  # row and column the running text belongs to
+    chars = elements = seen_to = 0
+    line = 1
+    parser = expat.ParserCreate(encoding, " ")
+    find, count = raw.find, raw.count
+
+    def flush() -> None:
+        nonlocal chars
         text = buffer[0] if len(buffer) == 1 else "".join(buffer)
         buffer.clear()
-        self.chars += len(text)
-        if self.slot is not None:
-            row, place = self.slot
-            row[place] = text
-
-    def start(self, name: str, flat_attrs: list[str]) -> None:
-        if self.buffer:
-            self.flush()
-        names = self.names
-        ns, tag, _ = names.get(name) or self.split_name(name)
+        chars += len(text)
+        if slot is not None:
+            slot[place] = text
+
+    def advance(offset: int) -> int:
+        """The line of a byte offset."""
+        nonlocal line, seen_to
+        if offset > seen_to:
+            line += count(b"\n", seen_to, offset)
+            seen_to = offset
+        return line
+
+    def start(name: str, flat_attrs: list[str]) -> None:
+        nonlocal elements, slot, place
+        if buffer:
+            flush()
+        ns, tag, _ = names.get(name) or names.setdefault(name, _split_name(name))
+        begin = parser.CurrentByteIndex
+        end = find(b">", begin)
         attrs = None
         if flat_attrs:
             attrs = []
             for key, value in zip(flat_attrs[::2], flat_attrs[1::2]):
-                _, local, clark = names.get(key) or self.split_name(key)
+                _, local, clark = names.get(key) or names.setdefault(key, _split_name(key))
                 attrs.append((clark, local, value))
-        depth = len(self.open)
-        if depth >= MAX_DEPTH:
-            raise ValueError(f"elements nested deeper than {MAX_DEPTH}")
+            if count(b'"', begin, end) % 2 or count(b"'", begin, end) % 2:  # the '>' stands in a value
+                match = _START_TAG.match(raw, begin)
+                end = match.end() if match else begin
+        depth = len(stack)
         if depth:
-            _, parent_id, parent_tag, path, child_tags, counter = self.open[-1]
+            if depth >= MAX_DEPTH:
+                raise ValueError(f"elements nested deeper than {MAX_DEPTH}")
+            _, parent_id, parent_tag, path, child_tags, counter = stack[-1]
             path = f"{path}/{tag}"
             child_tags.append(tag)
             child_no = counter[0]
@@ -218,56 +202,66 @@ class _Handler:
         else:
             parent_id = parent_tag = child_no = None
             path = tag
-        first = path not in self.paths
+        first = path not in paths
         if first:
-            self.paths.add(path)
-        node_id = self.elements
-        self.elements += 1
-        line = self.line_at(self.tag_end(attrs is not None))
+            paths.add(path)
         # string_len holds the characters seen so far and becomes a length at the end tag
-        row = ["element", node_id, parent_id, None, child_no, depth, ns, tag, parent_tag, path, first, line,
-               None, None, self.chars, None, attrs, None, None]
-        self.rows.append(row)
-        self.open.append((row, node_id, tag, path, [], [0]))
-        self.slot = (row, _TEXT)
-
-    def end(self, _name: str) -> None:
-        if self.buffer:
-            self.flush()
-        row, _, _, _, child_tags, _ = self.open.pop()
+        row = ["element", elements, parent_id, None, child_no, depth, ns, tag, parent_tag, path, first, advance(end),
+               None, None, chars, None, attrs, None, None]
+        rows.append(row)
+        stack.append((row, elements, tag, path, [], [0]))
+        elements += 1
+        slot, place = row, _TEXT
+
+    def end(_name: str) -> None:
+        nonlocal slot, place
+        if buffer:
+            flush()
+        row, _, _, _, child_tags, _ = stack.pop()
         row[_CHILDREN] = "|".join(child_tags)
-        row[_END_ID] = self.elements - 1
-        row[_STRING_LEN] = self.chars - row[_STRING_LEN]
-        self.slot = (row, _TAIL) if self.open else None
-
-    def comment(self, _data: str) -> None:
-        self.other("comment", b"-->")
-
-    def instruction(self, _target: str, _data: str) -> None:
-        self.other("pi", b"?>")
-
-    def other(self, kind: str, closing: bytes) -> None:
-        if self.buffer:
-            self.flush()
-        if self.open:
-            _, parent_id, parent_tag, path, _, counter = self.open[-1]
-            line = self.line_at(self.raw.find(closing, self.parser.CurrentByteIndex))
-            row = [kind, None, parent_id, None, counter[0], len(self.open), None, None, parent_tag, path, False, line,
-                   None, None, None, None, None, None, None]
+        row[_END_ID] = elements - 1
+        row[_STRING_LEN] = chars - row[_STRING_LEN]
+        slot, place = (row, _TAIL) if stack else (None, 0)
+
+    def other(kind: str, closing: bytes) -> None:
+        nonlocal slot, place
+        if buffer:
+            flush()
+        if stack:
+            _, parent_id, parent_tag, path, _, counter = stack[-1]
+            row = [kind, None, parent_id, None, counter[0], len(stack), None, None, parent_tag, path, False,
+                   advance(find(closing, parser.CurrentByteIndex)), None, None, None, None, None, None, None]
             counter[0] += 1
-            self.rows.append(row)
-            self.slot = (row, _TAIL)
-
-    def label(self) -> str:
-        """Label of the printed source, from the root or one of its first three children."""
-        for row in self.rows:
-            if row[_DEPTH] == 1 and row[_CHILD_NO] >= 3:
-                break
-            if row[_DEPTH] <= 1 and row[_ATTRS_AT]:
-                attrs = {name: value for name, _, value in row[_ATTRS_AT]}
-                if attrs.get("wb", "").lower() == LABEL_MARK:
-                    return LABEL_FORMAT.format(band=attrs.get("band", "?"), heft=attrs.get("heft", "?"))
-        return ""
+            rows.append(row)
+            slot, place = row, _TAIL
+
+    parser.buffer_text = True
+    parser.buffer_size = 1 << 16
+    parser.ordered_attributes = True
+    parser.StartElementHandler = start
+    parser.EndElementHandler = end
+    parser.CharacterDataHandler = buffer.append
+    parser.CommentHandler = lambda _data: other("comment", b"-->")
+    parser.ProcessingInstructionHandler = lambda _target, _data: other("pi", b"?>")
+    try:
+        parser.Parse(raw, True)
+    finally:
+        # parser and handlers refer to each other
+        parser.StartElementHandler = parser.EndElementHandler = parser.CharacterDataHandler = None
+        parser.CommentHandler = parser.ProcessingInstructionHandler = None
+    return rows, chars
+
+
+def _label(rows: list[list]) -> str:
+    """Label of the printed source, from the root or one of its first three children."""
+    for row in rows:
+        if row[_DEPTH] == 1 and row[_CHILD_NO] >= 3:
+            break
+        if row[_DEPTH] <= 1 and row[_ATTRS_AT]:
+            attrs = {name: value for name, _, value in row[_ATTRS_AT]}
+            if attrs.get("wb", "").lower() == LABEL_MARK:
+                return LABEL_FORMAT.format(band=attrs.get("band", "?"), heft=attrs.get("heft", "?"))
+    return ""
 
 
 def shred(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
