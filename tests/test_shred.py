@@ -113,3 +113,16 @@ def test_save_and_load(make_corpus, spark, tmp_path):
     assert again.nodes.count() == 2 and again.parse_errors.count() == 1 and again.docs.count() == 2
     assert again.document("a/x.xml").nodes.count() == corpus.document("a/x.xml").nodes.count() == 2
     assert find_path(again.nodes, "a/b").first()["full_path"] == "a/b"
+
+
+def test_bucketed_tables_group_by_document_without_a_shuffle(make_corpus, spark):
+    from wortlaut.operators import nesting, unique
+
+    files = {f"d{i}.xml": f'<a n="{i % 2}"><b n="{i % 3}">t</b><b n="x">t</b></a>' for i in range(40)}
+    corpus = make_corpus(files)
+    corpus.save_tables("shelf", 4)
+    again = Corpus.load_tables(spark, "shelf")
+    for check in (lambda n: unique.dup_attr(n, "n"), lambda n: unique.dup_contents(n, "b"), lambda n: nesting.tag_stats(n, "b")):
+        saved = check(again.nodes)
+        assert "Exchange" not in saved._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, saved.collect())) == sorted(map(str, check(corpus.nodes).collect()))

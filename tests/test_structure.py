@@ -173,3 +173,24 @@ def test_examples(docs, nodes, rows):
     attr = rows.filter("kind = 'attr'").first()
     listed = structure.attr_row_values(rows, attr["id"]).orderBy("no").select(F.collect_list("value")).first()[0]
     assert listed == attr["attr_values"]
+
+
+def test_values_kept_per_partition_are_the_first(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(4)
+    facts = [(rng.choice("ab"), "attr", "n", str(rng.randrange(60)), rng.randrange(50), i) for i in range(4000)]
+    table = pd.DataFrame(facts, columns=["path", "kind", "name", "value", "doc_ord", "place"])
+    frames = [table[i : i + 37] for i in range(0, len(table), 37)]
+    for merge_rows, emit_rows in ((100, 10**9), (100, 10), (10**9, 10**9)):
+        monkeypatch.setattr(structure, "_MERGE_ROWS", merge_rows)
+        monkeypatch.setattr(structure, "_EMIT_ROWS", emit_rows)
+        kept = pd.concat(list(structure._first_values(iter(frames))))
+
+        def first(rows, path):
+            ordered = rows[rows.path == path].sort_values(["doc_ord", "place"]).drop_duplicates("value")
+            return [tuple(r) for r in ordered.head(20).to_numpy()]
+
+        for path in "ab":
+            assert first(kept, path) == first(table, path)
+        assert len(kept) < len(table)

@@ -49,6 +49,19 @@ class Corpus:
     def load(cls, spark: SparkSession, path: str) -> Corpus:
         return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/shredded"))
 
+    def save_tables(self, name: str, buckets: int) -> None:
+        """Write catalog tables ``name_docs`` and ``name_nodes``, bucketed by document.
+
+        Checks that group by document (uniqueness, statistics) then need no shuffle at all.
+        """
+        self.docs.write.mode("overwrite").bucketBy(buckets, "doc_id").saveAsTable(f"{name}_docs")
+        nodes = self.shredded.repartition(buckets, "doc_id").write.mode("overwrite").partitionBy("kind")
+        nodes.bucketBy(buckets, "doc_id").sortBy("tag").saveAsTable(f"{name}_nodes")
+
+    @classmethod
+    def load_tables(cls, spark: SparkSession, name: str) -> Corpus:
+        return cls(spark.table(f"{name}_docs"), spark.table(f"{name}_nodes"))
+
     def persist(self) -> Corpus:
         """Keep the node table in executor memory and on disk for several checks in one session."""
         return Corpus(self.docs, self.shredded.persist(StorageLevel.MEMORY_AND_DISK))

@@ -1,12 +1,14 @@
 """Merged path tree of a corpus: which paths occur, with which attributes, values and texts.
 
-Everything that grows with the corpus is reduced by hash aggregates with map-side combine before any ranking, so a
-path or attribute that holds a large share of all nodes shrinks to its distinct values on the map side; rankings keep
-``k`` rows per group and Spark prunes them before the shuffle.  What is left is as large as the schema of the corpus.
+Everything that grows with the corpus is reduced where it lies: a path or attribute that holds a large share of all nodes
+leaves a partition as a handful of rows.  What is shuffled and ranked is as large as the schema of the corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,14 @@ def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
         example = F.substring(strip(F.col("text")), 1, MAX_TEXT_LENGTH)
         facts.append(F.array(F.when(~is_blank(F.col("text")), fact(TEXT, none, example, F.lit(0)))))
     every = F.concat(*(F.coalesce(f, F.array()) for f in facts))
-    rows = nodes.select("path", "doc_ord", "node_id", F.explode_outer(every).alias("f"))
-    rows = rows.filter(F.col("f").isNotNull()).select("path", "doc_ord", "node_id", "f.*")
+    rows = nodes.select("path", "doc_ord", "node_id", F.explode_outer(every).alias("f")).filter(F.col("f").isNotNull())
+    rows = rows.select(
+        "path", "f.kind", "f.name", "f.value", "doc_ord", (F.col("node_id") * F.lit(65536).cast("long") + F.col("f.minor")).alias("place")
+    )
     keys = ("path", "kind", "name")
-    at = document_position(rows, minor=F.col("minor"))
-    seen = rows.groupBy(*keys, "value").agg(F.min(at).alias("at"))
+    # Per partition only the first values of each path can be among the first of all, so only those are shuffled.
+    early = rows.mapInPandas(_first_values, rows.schema)
+    seen = early.groupBy(*keys, "value").agg(F.min(F.struct("doc_ord", "place")).alias("at"))
     rank = Window.partitionBy(*keys).orderBy("at", "value")
     kept = seen.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= MAX_ATTR_VALUES)
     kept = kept.filter((F.col("kind") != TEXT) | (F.col("rank") <= MAX_TEXTS))
@@ -60,6 +65,37 @@ def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
     return kept.groupBy(*keys).agg(F.transform(ordered, lambda v: v["value"]).alias("values"), F.min("at").alias("first_seen"))
 
 
+_MERGE_ROWS = 100_000
+_EMIT_ROWS = 1_000_000
+
+
+def _first_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first values of each (path, kind, name) in one partition, at most as many as a sample holds.
+
+    Built-in aggregates would carry every distinct value to the shuffle.  What is kept here grows with the number of
+    paths only, and is handed on early should there be very many.
+    """
+    pending: list[pd.DataFrame] = []
+    waiting = kept = 0
+
+    def merge() -> pd.DataFrame:
+        rows = pd.concat(pending, ignore_index=True).sort_values(["doc_ord", "place"])
+        rows = rows.drop_duplicates(["path", "kind", "name", "value"])
+        return rows.groupby(["path", "kind", "name"], sort=False).head(MAX_ATTR_VALUES)
+
+    for frame in frames:
+        pending.append(frame)
+        waiting += len(frame)
+        if waiting >= max(_MERGE_ROWS, kept):
+            pending = [merge()]
+            waiting, kept = 0, len(pending[0])
+            if kept >= _EMIT_ROWS:
+                yield pending[0]
+                pending, kept = [], 0
+    if pending:
+        yield merge()
+
+
 def path_attrs(nodes: DataFrame) -> DataFrame:
     """Per path and attribute local name the first 20 distinct values."""
     return samples(nodes, ATTR).select("path", F.col("name").alias("attr"), F.col("values").alias("attr_values"))
