@@ -56,6 +56,17 @@ def test_encodings():
     assert element(rows, "b")["tail"] == "ß" and element(rows, "b")["line"] == 4
 
 
+def test_entities():
+    rows = rows_of('<!DOCTYPE a [\n<!ENTITY e "<b k=\'1\'>x &lt;</b>">\n<!ENTITY t "y">]>\n<a>&t;\n&e;\n<c/>\n</a>')
+    a, b, c = (element(rows, t) for t in "abc")
+    assert (a["text"], b["text"], b["attrs"]) == ("y\n", "x <", [("k", "k", "1")])
+    assert (a["line"], b["line"], c["line"]) == (4, 5, 6)
+    outside = '<!DOCTYPE a SYSTEM "nowhere.dtd" [<!ENTITY x SYSTEM "file:///etc/hostname">]><a>1&x;2&uuml;3</a>'
+    assert element(rows_of(outside), "a")["text"] == "123"  # nothing is fetched
+    bomb = "".join(f'<!ENTITY e{i} "{f"&e{i - 1};" * 10}">' for i in range(1, 9))
+    assert rows_of(f'<!DOCTYPE a [<!ENTITY e0 "xxxxxxxxxx">{bomb}]><a>&e8;</a>')[0]["kind"] == "error"
+
+
 def test_depth_limit():
     fine = "<a>" * MAX_DEPTH + "</a>" * MAX_DEPTH
     assert len(rows_of(fine)) == MAX_DEPTH

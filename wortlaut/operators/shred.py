@@ -180,7 +180,7 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict) -> tuple[list[list
             flush()
         ns, tag, _ = names.get(name) or names.setdefault(name, _split_name(name))
         begin = parser.CurrentByteIndex
-        end = find(b">", begin)
+        end = find(b">", begin) if raw[begin] == 60 else begin  # no '<' here: the tag stands in an entity
         attrs = None
         if flat_attrs:
             attrs = []
