@@ -18,7 +18,10 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+OWN = [name for registry in entry._REGISTRIES for name in registry.queries]
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     assert name in ORACLES
     assert difference(spark, con, name, entry.queries()[name], ORACLES[name], SF_DIR) is None
