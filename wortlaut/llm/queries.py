@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wortlaut.llm.exact_dedup import mark_copies
 from wortlaut.llm.mixing import draw_mix
+from wortlaut.llm.packing import pack
+from wortlaut.llm.shared import scratch_path
+from wortlaut.llm.simhash import near_groups
+from wortlaut.llm.token_store import TokenStore
 from wortlaut.llm.url_filter import judge_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +74,30 @@ def op2(spark, sf_dir):
     return judge_urls(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+@_add("op3_simhash_near_dedup")
+def op3(spark, sf_dir):
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_add("op4_token_store")
+def op4(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    store = TokenStore.write(docs, scratch_path(spark, "tokens"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return store.summary().withColumnRenamed("key", "doc_id")
+
+
+@_add("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 _OP7 = r"""
 WITH d AS (SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

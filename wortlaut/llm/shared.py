@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import string
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +92,12 @@ def repeat_rows(df: DataFrame, times: str, block: int = 65_536) -> DataFrame:
     return (
         df.filter(F.col(times) > 0).withColumn("_block", blocks).withColumn("_copy", inside).drop("_block", "_copy")
     )
+
+
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """Something made once in a Python worker and found again by its later tasks, like a loaded vocabulary.  Task code
+    travels by value, so module globals would be new for every task."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
