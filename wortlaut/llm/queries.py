@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from wortlaut.llm.exact_dedup import mark_copies
 from wortlaut.llm.mixing import draw_mix
 from wortlaut.llm.packing import pack
+from wortlaut.llm.quality import score_quality
+from wortlaut.llm.rules import apply_rules
 from wortlaut.llm.shared import scratch_path
 from wortlaut.llm.simhash import near_groups
 from wortlaut.llm.token_store import TokenStore
@@ -122,3 +124,13 @@ SELECT doc_id, size, source_size, target,
 @_add("op7_mix_sources", _OP7)
 def op7(spark, sf_dir):
     return draw_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_add("op8_quality_ranking")
+def op8(spark, sf_dir):
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_add("op9_quality_rules")
+def op9(spark, sf_dir):
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
