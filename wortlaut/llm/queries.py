@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wortlaut.llm.exact_dedup import mark_copies
 from wortlaut.llm.mixing import draw_mix
 from wortlaut.llm.packing import pack
+from wortlaut.llm.pii import find_personal_data
 from wortlaut.llm.quality import score_quality
 from wortlaut.llm.rules import apply_rules
 from wortlaut.llm.shared import scratch_path
@@ -100,6 +101,11 @@ def op5(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+@_add("op6_personal_data")
+def op6(spark, sf_dir):
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 _OP7 = r"""
 WITH d AS (SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
