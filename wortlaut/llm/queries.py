@@ -12,6 +12,7 @@ from wortlaut.llm.packing import pack
 from wortlaut.llm.pii import find_personal_data
 from wortlaut.llm.quality import score_quality
 from wortlaut.llm.rules import apply_rules
+from wortlaut.llm.secrets import find_secrets
 from wortlaut.llm.shared import scratch_path
 from wortlaut.llm.simhash import near_groups
 from wortlaut.llm.token_store import TokenStore
@@ -140,3 +141,8 @@ def op8(spark, sf_dir):
 @_add("op9_quality_rules")
 def op9(spark, sf_dir):
     return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_add("op10_secret_scan")
+def op10(spark, sf_dir):
+    return find_secrets(_table(spark, sf_dir, "documents"))
