@@ -120,11 +120,12 @@ def draw_mix(
 
 
 def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents of the mix, each as often as it is drawn.
+    """The documents of the mix, each as often as it is drawn, with all their columns.
 
-    Rows that repeat a key share a draw: each comes as often as the first of them by size.  Rows without a key cannot
-    be told apart and are left out.
+    Rows that repeat a key share a draw: each comes as often as the shortest of them.  Rows without a key cannot be
+    told apart; they are taken once.
     """
-    drawn = draw_mix(docs, key, text, source).filter(F.col(key).isNotNull()).groupBy(key)
+    drawn = draw_mix(docs, key, text, source).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_drawn"))
     copies = drawn.agg(F.min_by("copies", "size").alias("_copies"))
-    return repeat_rows(docs.join(copies, key), "_copies").drop("_copies").select(*docs.columns)
+    rows = docs.join(copies, F.col(key) == F.col("_drawn"), "left")
+    return repeat_rows(rows.withColumn("_copies", F.coalesce("_copies", F.lit(1))), "_copies").select(*docs.columns)
