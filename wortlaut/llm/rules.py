@@ -115,6 +115,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str
     columns = features()
     rows = with_stats(labelled(docs.select(key, text), labels, sample, key), text)
     found = rows.select("_label", *(c.alias(n) for n, c in columns.items())).collect()
+    found.sort()  # the same model in every run
     x = np.array([r[1:] for r in found], float).reshape(len(found), len(columns))
     return DecisionList.fit(list(columns), x, np.array([r[0] for r in found], bool))
 
