@@ -29,6 +29,7 @@ ADDED = "random"
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+(?:[_./-][a-z]+)*[.]?")
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
 _KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 #: Character pairs start at one more symbol, the start of a token.
@@ -39,6 +40,8 @@ for _i, _c in enumerate(ALPHABET):
 #: Log-likelihood ratio (nats) from which a token is taken for random, and the share of the random model that is
 #: uniform, for alphabets that the labelled samples lack.
 RATIO, UNIFORM = 12.0, 0.5
+#: As many pairs' worth do single characters count beside the pairs seen after one.
+PRIOR = 20.0
 
 
 def _codes(token: str) -> np.ndarray:
@@ -76,7 +79,7 @@ def _outside(text: str, pattern: re.Pattern, spans: list[tuple[int, int, int, st
 
 def pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Character pairs of this task's labelled samples: the values of base spans are secret (1), the identifiers of six
-    and more characters outside of them ordinary (0)."""
+    and more characters outside of them ordinary (0); of those long enough for a secret, words and paths alone."""
     counts = np.zeros((2, _SIZE * _SIZE), np.int64)
 
     def add(label: int, tokens: list[str]) -> None:
@@ -90,7 +93,8 @@ def pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in frame["text"]:
             spans = base_spans(text)
             add(1, [s[3] for s in spans])
-            add(0, [m[0] for m in _outside(text, _IDENTIFIER, spans)])
+            found = [m[0] for m in _outside(text, _IDENTIFIER, spans)]
+            add(0, [w for w in found if len(w) < 16 or _PLAIN.fullmatch(w)])
     label, pair = np.nonzero(counts)
     yield pd.DataFrame({"label": label, "pair": pair, "n": counts[label, pair]})
 
@@ -104,13 +108,15 @@ class CharacterModels:
 
     @classmethod
     def fit(cls, counts: list[tuple[int, int, int]], uniform: float = UNIFORM) -> CharacterModels:
-        """``counts`` are (label, pair, n); rare pairs are smoothed by one each, the random model is mixed with the
-        uniform one."""
-        table = np.ones((2, _SIZE, _SIZE))
+        """``counts`` are (label, pair, n).  Rare pairs lean on how common the second character is, and the random
+        model is mixed with the uniform one."""
+        table = np.zeros((2, _SIZE, _SIZE))
         for label, pair, n in counts:
             table[label].flat[pair] += n
         table = table[:, :, :-1]
-        ordinary, random = table / table.sum(axis=2, keepdims=True)
+        common = table.sum(axis=1, keepdims=True) + 1.0
+        common /= common.sum(axis=2, keepdims=True)
+        ordinary, random = (table + PRIOR * common) / (table.sum(axis=2, keepdims=True) + PRIOR)
         return cls(np.log((1 - uniform) * random + uniform / len(ALPHABET)) - np.log(ordinary))
 
     def score(self, token: str) -> float:
