@@ -29,7 +29,7 @@ ADDED = "random"
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-_PLAIN = re.compile(r"[A-Z]?[a-z]+(?:[_./-][a-z]+)*[.]?")
+_RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
 _KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 #: Character pairs start at one more symbol, the start of a token.
@@ -79,7 +79,8 @@ def _outside(text: str, pattern: re.Pattern, spans: list[tuple[int, int, int, st
 
 def pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Character pairs of this task's labelled samples: the values of base spans are secret (1), the identifiers of six
-    and more characters outside of them ordinary (0); of those long enough for a secret, words and paths alone."""
+    and more characters outside of them ordinary (0), unless a long one changes between letters, digits and signs as often
+    as secrets do."""
     counts = np.zeros((2, _SIZE * _SIZE), np.int64)
 
     def add(label: int, tokens: list[str]) -> None:
@@ -94,7 +95,7 @@ def pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = base_spans(text)
             add(1, [s[3] for s in spans])
             found = [m[0] for m in _outside(text, _IDENTIFIER, spans)]
-            add(0, [w for w in found if len(w) < 16 or _PLAIN.fullmatch(w)])
+            add(0, [w for w in found if len(w) < 16 or 3 * len(_RUNS.findall(w)) <= len(w) + 4])
     label, pair = np.nonzero(counts)
     yield pd.DataFrame({"label": label, "pair": pair, "n": counts[label, pair]})
 
