@@ -127,5 +127,6 @@ def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """
     drawn = draw_mix(docs, key, text, source).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_drawn"))
     copies = drawn.agg(F.min_by("copies", "size").alias("_copies"))
-    rows = docs.join(copies, F.col(key) == F.col("_drawn"), "left")
-    return repeat_rows(rows.withColumn("_copies", F.coalesce("_copies", F.lit(1))), "_copies").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"))
+    rows = rows.join(copies, F.col("_key") == F.col("_drawn"), "left")
+    return repeat_rows(rows.withColumn("_copies", F.coalesce("_copies", F.lit(1))), "_copies").select("_doc.*")

@@ -258,18 +258,23 @@ def find_personal_data(
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "█") -> DataFrame:
-    """The documents with every character of a found span replaced by ``mask``; keys must be unique."""
-    found = find_personal_data(docs, key, text).select(F.col(key).alias("_key"), "spans").filter("spans != ''")
-    rows = docs.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    spans = F.transform(F.split("spans", ","), lambda s: F.split(s, ":"))
+    """The documents with every character of a found span replaced by ``mask``, all other columns as they are.
+
+    Keys must be unique; documents without a key are left as they are.
+    """
+    found = find_personal_data(docs, key, text).select(F.col(key).alias("_found"), "spans").filter("spans != ''")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_hidden"))
+    rows = rows.join(found, F.col("_key") == F.col("_found"), "left")
+    spans = F.transform(
+        F.split("spans", ","),
+        lambda s: F.struct(F.get(F.split(s, ":"), 1).cast("int").alias("s"), F.get(F.split(s, ":"), 2).cast("int").alias("e")),
+    )
     hidden = F.aggregate(
         spans,
-        F.col(text),
-        lambda t, s: F.overlay(
-            t,
-            F.repeat(F.lit(mask), F.get(s, 2).cast("int") - F.get(s, 1).cast("int")),
-            F.get(s, 1).cast("int") + 1,
-            F.get(s, 2).cast("int") - F.get(s, 1).cast("int"),
+        F.col("_hidden"),
+        lambda t, s: F.concat(
+            F.left(t, s["s"]), F.repeat(F.lit(mask), s["e"] - s["s"]), F.substring(t, s["e"] + 1, F.char_length(t))
         ),
     )
-    return rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(hidden)).select(*docs.columns)
+    rows = rows.withColumn("_hidden", F.when(F.col("spans").isNull(), F.col("_hidden")).otherwise(hidden))
+    return rows.withColumn("_doc", F.col("_doc").withField(text, F.col("_hidden"))).select("_doc.*")
