@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.search import find_path
-from wortlaut.operators.shred import MAX_DEPTH, parse_document, _NODE_COLUMNS
+from wortlaut.operators.shred import _NODE_COLUMNS, parse_document, shred
 
 
 def rows_of(xml):
@@ -67,10 +67,12 @@ def test_entities():
     assert rows_of(f'<!DOCTYPE a [<!ENTITY e0 "xxxxxxxxxx">{bomb}]><a>&e8;</a>')[0]["kind"] == "error"
 
 
-def test_depth_limit():
-    fine = "<a>" * MAX_DEPTH + "</a>" * MAX_DEPTH
-    assert len(rows_of(fine)) == MAX_DEPTH
-    assert rows_of(f"<b>{fine}</b>")[0]["kind"] == "error"
+def test_depth_is_limited_only_on_request(make_docs):
+    deep = "<a>" * 300 + "</a>" * 300
+    assert len(rows_of(deep)) == 300
+    docs = make_docs({"deep.xml": deep})
+    assert shred(docs).count() == 300 and shred(docs, max_depth=300).filter("kind = 'element'").count() == 300
+    assert [r["kind"] for r in shred(docs, max_depth=299).collect()] == ["error"]
 
 
 def random_xml(rng, depth=0):

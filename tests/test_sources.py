@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.search import find_path
+from wortlaut.operators.spelling import active_spellings
 from wortlaut.sources import documents, index, results, wordlists
 
 
@@ -149,3 +150,68 @@ def test_long_documents_are_met_by_blocks(spark, make_docs):
     hits = spark.createDataFrame([("d", n) for n in (1, 63, 64, 65, 999)], "doc_id string, line int")
     shown = results.with_source_lines(hits, make_docs({"d": text}), before=2, after=100).groupBy("line").agg(F.count("*").alias("n"))
     assert {r["line"]: r["n"] for r in shown.collect()} == {1: 101, 63: 103, 64: 103, 65: 103, 999: 3}
+
+
+def test_rows_of_several_files_keep_their_order(spark, tmp_path):
+    """Spark packs large files first; the order of a list is that of its files' names and lines all the same."""
+    for name, lines in (("0.csv", 3), ("1.csv", 2000), ("2.csv", 40)):
+        rows = "".join(f"w{i % 3},{name}-{i}\n" for i in range(lines))
+        (tmp_path / name).write_text("alt,neu\n" + rows)
+    table = wordlists.read_wordlist(spark, str(tmp_path))
+    got = [r["neu"] for r in table.orderBy("ord").collect()]
+    assert got == [f"{n}-{i}" for n, k in (("0.csv", 3), ("1.csv", 2000), ("2.csv", 40)) for i in range(k)]
+    none = wordlists.read_spellings(spark, str(tmp_path / "missing.csv"))
+    active = {r["alt"]: r["neu"] for r in active_spellings(none, table).collect()}
+    assert active == {"w0": "2.csv-39", "w1": "2.csv-37", "w2": "2.csv-38"}
+
+
+def test_line_ends_inside_fields(spark, tmp_path):
+    (tmp_path / "list.csv").write_text('alt,neu\n"a b","x\ny"\nc,d\n')
+    got = [r["neu"] for r in wordlists.read_wordlist(spark, str(tmp_path / "list.csv"), multi_line=True).orderBy("ord").collect()]
+    assert got == ["x\ny", "d"]
+
+
+def test_one_damaged_archive_is_one_row(spark):
+    def packed(damage):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.xml", "<a>" + "text " * 500 + "</a>")
+        data = bytearray(out.getvalue())
+        if damage:
+            data[40:60] = b"\xff" * 20
+        return data
+
+    rows = [("good.zip", packed(False)), ("bad.zip", packed(True)), ("none.zip", None)]
+    archives = spark.createDataFrame(rows, "path string, content binary")
+    got = {r["archive"]: r["archive_error"] for r in documents.expand_archives(archives).collect()}
+    assert got == {"good.zip": None, "bad.zip": "bad archive", "none.zip": "bad archive"}
+
+
+def test_index_is_written_per_directory(spark, tmp_path):
+    files = spark.createDataFrame([("a/b/c.xml", 10), ("a/n.txt", 2048), ("z/a.xml", 1)], "path string, length long")
+    rows = index.directory_index(files)
+    index.write_index(rows, str(tmp_path / "index"))
+    key = lambda r: r["path"]
+    assert sorted(index.read_index(spark, str(tmp_path / "index")).collect(), key=key) == sorted(rows.collect(), key=key)
+    part = index.read_index(spark, str(tmp_path / "index"), "z")
+    assert sorted(r["path"] for r in part.collect()) == ["z", "z/a.xml"]
+
+
+def test_a_null_path_selects_nothing(spark):
+    files = spark.createDataFrame([("a/b/c.xml", 10), ("z/a.xml", 1)], "path string, length long")
+    chosen = spark.createDataFrame([(None,), ("a/b",)], "path string")
+    got = index.select_paths(index.directory_index(files), chosen)
+    assert sorted(r["path"] for r in got.collect()) == ["a/b", "a/b/c.xml"]
+
+
+def test_report_is_computed_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            runs.add(len(frame))
+            yield frame
+
+    rows = spark.range(10).mapInPandas(count, "id long")
+    assert results.write_results(rows, str(tmp_path / "full")) and runs.value == 10
+    assert not results.write_results(rows.filter("id < 0"), str(tmp_path / "empty")) and not (tmp_path / "empty").exists()

@@ -39,8 +39,8 @@ LISTS = {
 
 
 @pytest.mark.parametrize("name", LISTS)
-@pytest.mark.parametrize("max_inline", [20_000, 0])
-def test_matches_are_those_of_the_alternation(spark, name, max_inline):
+@pytest.mark.parametrize("inline", [True, False])
+def test_matches_are_those_of_the_alternation(spark, name, inline):
     rng, pairs = random.Random(11), LISTS[name]
     words = ["daß", "muß", "so", "viel", "Zeit", "los", "s", "Fluß", "Flußs", "ß", "é", "x1", "naß²"]
     texts = [random_text(rng, words) for _ in range(300)] + ["", " \n", "so viel viel Zeit so viel Zeit-los"]
@@ -48,8 +48,8 @@ def test_matches_are_those_of_the_alternation(spark, name, max_inline):
     segments = spark.createDataFrame(
         rows, "doc_id string, doc_ord long, quelle string, subdir string, filename string, owner_id int, seg_no int, "
         "tag string, text string, hint_line int")
-    spellings = spark.createDataFrame(pairs, "alt string, neu string")
-    got = spelling.find_spellings(segments, spellings, max_inline).orderBy("doc_ord", "place").collect()
+    spellings = dict(pairs) if inline else spark.createDataFrame(pairs, "alt string, neu string")
+    got = spelling.find_spellings(segments, spellings).orderBy("doc_ord", "place").collect()
     want = [(i, *hit) for i, t in enumerate(texts) for hit in brute_hits(t, pairs)]
     assert [(r["doc_ord"], r["gefunden"], r["vorschlag"], r["kontext"]) for r in got] == want
     assert len(want) > 50
@@ -58,6 +58,7 @@ def test_matches_are_those_of_the_alternation(spark, name, max_inline):
 def test_empty_word_list(spark, make_corpus):
     segments = make_corpus({"a.xml": "<a>so</a>"}).segments
     assert spelling.find_spellings(segments, spark.createDataFrame([], "alt string, neu string")).count() == 0
+    assert spelling.find_spellings(segments, {}).count() == 0
 
 
 def test_active_list(spark):
@@ -101,6 +102,8 @@ def test_corpus_report(make_corpus, spark):
     assert report.columns == ["quelle", "subdir", "filename", "line", "tag", "gefunden", "vorschlag", "kontext"]
     first = report.first()
     assert (first["quelle"], first["subdir"], first["filename"]) == ("BWB Bd. 2, H. 7", "x", "a.xml")
+    plan = spelling.check_spelling(corpus, spark.createDataFrame(pairs, "alt string, neu string"))._jdf.queryExecution()
+    assert plan.executedPlan().toString().split("Initial Plan")[-1].count("MapInArrow") == 1  # shredded once
     only = spelling.check_spelling(corpus, spark.createDataFrame(pairs, "alt string, neu string"), ["titel"])
     assert [r["line"] for r in only.collect()] == [12]
     included = text_tags(corpus.segments).filter("tag = 'lemma'")
@@ -120,7 +123,7 @@ def test_exact_lines(make_docs, spark):
     texts["far"] = "x\n" * 500 + "ab\n" + "y\n" * 10
     asked = [(d, h, w) for d in texts for h in (0, 1, 3, 70, 128, 399, 600) for w in ("ab", "abc", "no")]
     wanted = spark.createDataFrame(asked, "doc_id string, hint_line int, word string")
-    got = spelling.exact_lines(wanted, source_lines(make_docs(texts)))
+    got = spelling.exact_lines(wanted, make_docs(texts))
     want = {(d, h, w): brute_line(w, h, texts[d].splitlines()) for d, h, w in asked}
     assert {(r["doc_id"], r["hint_line"], r["word"]): r["line"] for r in got.collect()} == want
     lines = source_lines(make_docs(texts)).groupBy("doc_id").agg(F.max("line_no").alias("n"))

@@ -1,4 +1,4 @@
-"""Decisions that depend on the measured size of a table, and staging of intermediate tables."""
+"""Filters by the values of another table, and folders for tables that are written and read back."""
 
 from __future__ import annotations
 
@@ -6,40 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from wortlaut.functions.text import string_literals
-
-MAX_BROADCAST_ROWS = 200_000
-MAX_INLINE_VALUES = 10_000
-
-
-def values_if_few(table: DataFrame, column: str, limit: int = MAX_INLINE_VALUES) -> list | None:
-    """The distinct values of a column when there are at most ``limit``, else None.  Never fetches more than that."""
-    rows = table.select(column).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else [r[0] for r in rows]
-
-
-def broadcast_if_few(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Ask for a broadcast when the table, whose rows are short, has at most ``limit`` rows; else leave the choice to
-    Spark."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
 
 
 def keep_values(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose text ``column`` is among the values of ``wanted``.
-
-    Few values become a literal set, so a table with hot values (a tag that holds a third of all nodes) is filtered
-    where it lies; only a long list of values is a join.
-    """
-    values = values_if_few(wanted, column)
-    if values is not None:
-        return table.filter(f"`{column}` IN ({string_literals(values)})") if values else table.filter(F.lit(False))
-    return table.join(wanted.select(column).distinct(), column, "left_semi")
+    """Rows whose ``column`` is among the values of ``wanted``; nulls there match nothing."""
+    return table.join(wanted.select(column).dropna().distinct(), column, "left_semi").select(*table.columns)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in a single-machine session without that setting."""
+    """The shared folder the cluster names; a temporary one only in a local session where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -52,16 +27,8 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the checkpoint folder."""
-    return f"{_checkpoint_dir(spark).rstrip('/')}/wortlaut-{uuid.uuid4().hex}"
-
-
-def stage(table: DataFrame) -> DataFrame:
-    """Write a table that several later steps read to the checkpoint folder, and read it back.
-
-    The work behind it is done once, and a lost executor repeats none of it.
-    """
-    spark = table.sparkSession
-    path = scratch_path(spark)
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    """A new path in the checkpoint folder, which goes when the session's driver ends."""
+    path = f"{_checkpoint_dir(spark).rstrip('/')}/wortlaut-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

@@ -6,11 +6,12 @@ once, so responses have one row per word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wortlaut.functions.ordering import with_position
-from wortlaut.functions.sizes import stage
 from wortlaut.functions.text import strip
 from wortlaut.operators.wordlist import usable_lemma
 
@@ -48,7 +49,7 @@ def lookup_candidates(
         open_words = open_words.filter(F.col("lemma_neu") == "")
     if start == 0 and end is None:
         return open_words
-    placed = with_position(stage(open_words), "first_ord")
+    placed = with_position(open_words, "first_ord")
     wanted = F.col("position") >= start
     if end is not None:
         wanted &= F.col("position") < end
@@ -121,3 +122,25 @@ def lookup_stats(base: DataFrame, ledger: DataFrame, max_failures: int = MAX_FAI
     failed = ledger.agg(F.count_if(F.col("fehler_count") >= max_failures).alias("given_up"))
     both = answered.unionByName(failed, allowMissingColumns=True)
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+def retry_rounds(
+    ledger: DataFrame, index: DataFrame, ask: Callable[[DataFrame], DataFrame], rounds: int | None = None,
+    max_failures: int = MAX_FAILURES,
+) -> tuple[DataFrame, DataFrame]:
+    """Ask failed words again, round by round, until each has an answer or has failed ``max_failures`` times.
+
+    ``ask`` turns words ``(wort)`` into parsed answers ``(wort, canonical, error, timestamp)``.  A round asks every word
+    that may still be asked, so at most ``max_failures`` rounds have anything to do, which is the default.  Returns all
+    good answers and the ledger that is left.
+    """
+    found = None
+    for _ in range(max_failures if rounds is None else min(rounds, max_failures)):
+        words = retry_candidates(ledger, index, max_failures).select(F.col("lemma").alias("wort"))
+        answers = ask(words)
+        good = answers.filter(F.col("error").isNull()).select("wort", "canonical")
+        found = good if found is None else found.unionByName(good)
+        ledger = update_ledger(ledger, answers)
+    if found is None:
+        found = ledger.limit(0).select("wort", F.lit(None).cast("string").alias("canonical"))
+    return found, ledger

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wortlaut.functions.ordering import running_total, with_position
+from wortlaut.functions.ordering import with_position
 
 # Token arithmetic, request and image limits, fallback context lengths by model family.
 BYTES_PER_TOKEN = 4
@@ -37,9 +37,6 @@ CONTEXT_HEAD = "<context>\nDie folgenden XML-Dateien wurden vom Benutzer ausgew
 CONTEXT_TAIL = "\n</context>"
 CONTEXT_SEPARATOR = "\n\n"
 
-_PART_BYTES = 16 * 1024 * 1024
-_PART_TURNS = 1024
-
 
 def token_estimate(docs: DataFrame, group: tuple[str, ...] = (), history: Column | None = None) -> DataFrame:
     """Tokens of the selected files, and with the history added: the total size divided once, not file by file."""
@@ -101,31 +98,27 @@ def context_parts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("part", F.when(F.is_valid_utf8(text), good).otherwise(bad)).drop("content")
 
 
-def context_block(docs: DataFrame, group: tuple[str, ...] = (), part_bytes: int = _PART_BYTES) -> DataFrame:
-    """The context block of each group of documents: ``(group, block_no, block)``.
+def context_block(docs: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """The context block of each group of documents as its parts in order: ``(group, part_no, part)``.
 
-    A block normally is one row.  A selection of more than ``part_bytes`` comes as several consecutive rows, whose
-    concatenation is the whole block, so no task ever holds an unlimited selection.
+    Part 0 is the head, then comes one part per document, then the tail; joined as they are they make up the block.  So
+    a selection of any size has one shape, and no task holds more than one document of it.
     """
-    parts = context_parts(docs).withColumn("_size", F.length("part").cast("long"))
-    keys = group or ("_all",)
-    if not group:
-        parts = parts.withColumn("_all", F.lit(0))
-    sized = running_total(parts, "doc_ord", F.col("_size"), "_before", keys, width=1000, total="_total")
-    is_last = F.col("_before") + F.col("_size") == F.col("_total")
-    blocks = (
-        sized.withColumn("block_no", F.floor(F.col("_before") / part_bytes).cast("int"))
-        .groupBy(*keys, "block_no")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("doc_ord", "part"))).alias("parts"),
-            F.max(F.col("_before") == 0).alias("_first"),
-            F.max(is_last).alias("_last"),
-        )
+    parts = with_position(context_parts(docs), "doc_ord", "_place", group)
+    between = F.when(F.col("_place") > 0, CONTEXT_SEPARATOR).otherwise("")
+    files = parts.select(*group, (F.col("_place") + 1).alias("part_no"), F.concat(between, "part").alias("part"))
+    count = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("_files")).filter(F.col("_files") > 0)
+    ends = F.array(
+        F.struct(F.lit(0).cast("long").alias("part_no"), F.lit(CONTEXT_HEAD).alias("part")),
+        F.struct((F.col("_files") + 1).alias("part_no"), F.lit(CONTEXT_TAIL).alias("part")),
     )
-    body = F.array_join(F.transform("parts", lambda p: p["part"]), CONTEXT_SEPARATOR)
-    head = F.when(F.col("_first"), CONTEXT_HEAD).otherwise(CONTEXT_SEPARATOR)
-    tail = F.when(F.col("_last"), CONTEXT_TAIL).otherwise("")
-    return blocks.select(*group, "block_no", F.concat(head, body, tail).alias("block"))
+    return files.unionByName(count.select(*group, F.explode(ends).alias("e")).select(*group, "e.*"))
+
+
+def joined_blocks(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``(keys, block)``: the parts of each block as one text, for a block that goes into one message."""
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "part")))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("block"))
 
 
 def build_messages(conversations: DataFrame, contexts: DataFrame | None = None, system: str | None = None) -> DataFrame:
@@ -167,17 +160,41 @@ def _payload(model: str, messages: Column, provider: str, max_tokens: int = MAX_
     return F.to_json(F.struct(*fields))
 
 
-def request_payloads(messages: DataFrame, provider: str, model: str, part_turns: int = _PART_TURNS) -> DataFrame:
-    """Text requests ``(conv_id, part, payload)`` in the provider's JSON shape.
+def request_payloads(messages: DataFrame, provider: str, model: str, length: Column | None = None) -> DataFrame:
+    """The request of each conversation's latest user turn, with its whole history, in the provider's JSON shape:
+    ``(conv_id, turn, tokens, budget, payload)``.
 
-    A conversation of more than ``part_turns`` turns comes as several parts; the messages of consecutive parts make up
-    the one request.
+    What follows the last user turn is not sent; a conversation without one asks nothing.  Requests are never cut:
+    ``tokens`` estimates their size, and ``budget`` tells whether that fits the context ``length`` (by default that of
+    the model's family).
     """
-    part = F.floor(F.col("turn") / part_turns).cast("int")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
-    grouped = messages.groupBy("conv_id", part.alias("part")).agg(turns.alias("turns"))
-    listed = F.transform("turns", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return grouped.select("conv_id", "part", _payload(model, listed, provider).alias("payload"))
+    last = F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("turn")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_turns")
+    grouped = messages.groupBy("conv_id").agg(last, turns).filter(F.col("turn").isNotNull())
+    grouped = grouped.withColumn("_turns", F.filter("_turns", lambda m: m["turn"] <= F.col("turn")))
+    size = F.aggregate("_turns", F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.octet_length(m["content"]), F.lit(0)))
+    listed = F.transform("_turns", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    tokens = F.floor(size / BYTES_PER_TOKEN).cast("long")
+    limit = context_length(F.lit(model)) if length is None else length
+    sized = grouped.withColumn("tokens", tokens)
+    return sized.select(
+        "conv_id", "turn", "tokens", budget_flag(F.col("tokens"), limit).alias("budget"),
+        _payload(model, listed, provider).alias("payload"),
+    )
+
+
+def page_requests(pages: DataFrame, provider: str, model: str, prompt: str) -> DataFrame:
+    """One request per page of an image item: ``pages(item, page_no, media_type, content)`` → ``(item, page_no,
+    payload)``."""
+    return image_payloads(pages.select("item", "page_no", "media_type", "content"), provider, model, prompt).drop("media_type")
+
+
+def joined_pages(answers: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """The texts ``(item, page_no, text)`` of an item's pages joined in page order: ``(item, pages, text)``."""
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
+    return answers.groupBy("item").agg(ordered.alias("_p")).select(
+        "item", F.size("_p").cast("long").alias("pages"), F.array_join(F.transform("_p", lambda p: p["text"]), separator).alias("text")
+    )
 
 
 def image_payloads(pages: DataFrame, provider: str, model: str, prompt: str) -> DataFrame:
@@ -238,23 +255,25 @@ def classify_error(message: Column, images: bool = False) -> Column:
     return F.when(connection, "connection").when(missing, "model_not_found").when(late, "timeout").otherwise("other")
 
 
-def image_intake(files: DataFrame, ord_col: str, group: tuple[str, ...] = ()) -> DataFrame:
-    """The first ten files ``(path, content)`` of each group, with media type and status.
+def image_intake(
+    files: DataFrame, ord_col: str, group: tuple[str, ...] = (), most: int = MAX_IMAGES, most_bytes: int = MAX_IMAGE_BYTES
+) -> DataFrame:
+    """The first ``most`` files ``(path, content)`` of each group, with media type and status.
 
-    Ten is the limit of the feature; files beyond it are not taken in.
+    That number is the limit of the feature; files beyond it are not taken in.
     """
     taken = with_position(files.withColumn("size", F.length("content")).drop("content"), ord_col, "place", group)
-    taken = taken.filter(F.col("place") < MAX_IMAGES)
+    taken = taken.filter(F.col("place") < most)
     name = F.lower("path")
     media = (
         F.when(name.endswith(".pdf"), "application/pdf")
         .when(name.endswith(".jpg") | name.endswith(".jpeg"), "image/jpeg")
         .otherwise("image/png")
     )
-    too_large = F.col("size") > MAX_IMAGE_BYTES
+    too_large = F.col("size") > most_bytes
     megabytes = F.bround(F.col("size") / (1024 * 1024), 1)
     error = F.when(
-        too_large, F.concat(F.lit("Datei zu groß ("), megabytes.cast("string"), F.lit(" MB, max 5 MB)"))
+        too_large, F.concat(F.lit("Datei zu groß ("), megabytes.cast("string"), F.lit(f" MB, max {most_bytes // (1024 * 1024)} MB)"))
     ).otherwise("")
     status = F.when(too_large, "error").otherwise("ready")
     return taken.select(

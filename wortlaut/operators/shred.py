@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Parser limit on nesting, and the attributes that make up a printed-source label.
-MAX_DEPTH = 256
+# The attributes that make up a printed-source label.
 LABEL_MARK, LABEL_FORMAT = "bwb", "BWB Bd. {band}, H. {heft}"
 
 _BATCH_ROWS = 20_000
@@ -64,8 +63,8 @@ NODE_COLUMNS = (*_DOC_COLUMNS, "quelle", *_NODE_COLUMNS)
 class _Rows:
     """Node rows of the documents of one Arrow batch."""
 
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, names: list[str], max_depth: int | None):
+        self.names, self.max_depth = names, max_depth
         self.rows: list[list] = []
         self.docs: list[int] = []
         self.labels: list[str] = []
@@ -73,7 +72,7 @@ class _Rows:
         self.xml_names: dict[str, tuple[str, str, str]] = {}
 
     def add_document(self, doc_no: int, content: bytes | None) -> None:
-        rows, label, chars = parse_document(content, self.xml_names)
+        rows, label, chars = parse_document(content, self.xml_names, self.max_depth)
         self.rows += rows
         self.docs += [doc_no] * len(rows)
         self.labels += [label] * len(rows)
@@ -114,17 +113,20 @@ _END_ID, _TEXT, _TAIL, _STRING_LEN, _CHILDREN = (
 _ATTRS_AT, _DEPTH, _CHILD_NO = (list(_NODE_COLUMNS).index(n) for n in ("attrs", "depth", "child_no"))
 
 
-def parse_document(content: bytes | None, names: dict | None = None) -> tuple[list[list], str, int]:
+def parse_document(
+    content: bytes | None, names: dict | None = None, max_depth: int | None = None
+) -> tuple[list[list], str, int]:
     """Node rows of one document, its source label and its number of text characters.
 
     A document that does not parse gives exactly one row of kind ``error``, whatever was seen before the error.
-    ``names`` remembers split names from one document to the next.
+    ``names`` remembers split names from one document to the next; ``max_depth`` is the number of levels from which a
+    document counts as not parsing, if there is to be such a limit.
     """
     raw, encoding = content or b"", None
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         raw, encoding = raw.decode("utf-16", errors="replace").encode("utf-8"), "utf-8"
     try:
-        rows, chars = _node_rows(raw, encoding, {} if names is None else names)
+        rows, chars = _node_rows(raw, encoding, {} if names is None else names, max_depth)
     except expat.ExpatError as e:
         return [_error_row(e.lineno, e.offset + 1, expat.ErrorString(e.code))], "", 0
     except (ValueError, LookupError) as e:
@@ -143,7 +145,7 @@ def _split_name(name: str) -> tuple[str, str, str]:
     return ns, local, "{%s}%s" % (ns, local) if ns else local
 
 
-def _node_rows(raw: bytes, encoding: str | None, names: dict) -> tuple[list[list], int]:
+def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | None) -> tuple[list[list], int]:
     """Rows of one document and its number of text characters, from parser events.
 
     The event handlers are closures, as looking attributes up would be a good part of their time.
@@ -192,8 +194,8 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict) -> tuple[list[list
                 end = match.end() if match else begin
         depth = len(stack)
         if depth:
-            if depth >= MAX_DEPTH:
-                raise ValueError(f"elements nested deeper than {MAX_DEPTH}")
+            if max_depth and depth >= max_depth:
+                raise ValueError(f"elements nested deeper than {max_depth}")
             _, parent_id, parent_tag, path, child_tags, counter = stack[-1]
             path = f"{path}/{tag}"
             child_tags.append(tag)
@@ -264,11 +266,12 @@ def _label(rows: list[list]) -> str:
     return ""
 
 
-def shred(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def shred(docs: DataFrame, columns: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """Node rows of all documents: ``docs(doc_id, doc_ord, subdir, filename, content)`` → one row per node.
 
     Spark cannot prune columns through a Python map, so ``columns`` names the ones to build.  Rows of a document
-    stay together, in document order, in the partition that held the document; no shuffle takes place.
+    stay together, in document order, in the partition that held the document; no shuffle takes place.  A document
+    with ``max_depth`` levels and more is reported as an error when that is given.
     """
     names = list(columns or NODE_COLUMNS)
     if "kind" not in names:
@@ -281,12 +284,12 @@ def shred(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
         gc.disable()  # rows hold no cycles, and scanning them again and again costs a third of the parse
         try:
             for batch in batches:
-                out = _Rows(names)
+                out = _Rows(names, max_depth)
                 for doc_no, content in enumerate(batch.column("content")):
                     out.add_document(doc_no, content.as_py())
                     if len(out.rows) >= _BATCH_ROWS or out.chars >= _BATCH_CHARS:
                         yield from out.batches(batch)
-                        out = _Rows(names)
+                        out = _Rows(names, max_depth)
                 yield from out.batches(batch)
         finally:
             gc.enable()

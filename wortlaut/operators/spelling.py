@@ -10,18 +10,17 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wortlaut.functions.sizes import broadcast_if_few, keep_values, stage
-from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, string_literals, strip
+from wortlaut.functions.sizes import keep_values
+from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, split_lines, string_literals, strip
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.results import SOURCE
-from wortlaut.operators.search import text_tags
+from wortlaut.operators.search import DEFAULT_EXCLUDED_TAGS
 
 CONTEXT = 40
-MAX_INLINE_ENTRIES = 20_000  # above this the word list is joined as a table
-_LINE_BLOCK = 64
+_NEAR_LINES = 64
 _WORD = re.compile(r"\w")
 _BOUNDARY = re.compile(r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
 
@@ -29,15 +28,20 @@ _BOUNDARY = re.compile(r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
 def active_spellings(builtin: DataFrame, custom: DataFrame, mode: str = "extend") -> DataFrame:
     """(alt, neu) with one row per old form; later entries, and custom ones before built-in ones, win.
 
-    Inputs have (alt, neu, ord).  ``mode='replace'`` uses the custom list alone.
+    Inputs have (alt, neu, ord); the kind of ``ord`` may differ from one to the other.  ``mode='replace'`` uses the
+    custom list alone.
     """
     if mode not in ("extend", "replace"):
         raise ValueError(f"unknown mode: {mode}")
-    lists = custom.select("alt", "neu", F.lit(1).alias("source"), "ord")
+
+    def latest(table: DataFrame, source: int) -> DataFrame:
+        usable = table.filter((F.col("alt") != "") & (F.col("neu") != ""))
+        return usable.groupBy("alt").agg(F.max_by("neu", "ord").alias("neu")).withColumn("source", F.lit(source))
+
+    lists = latest(custom, 1)
     if mode == "extend":
-        lists = builtin.select("alt", "neu", F.lit(0).alias("source"), "ord").unionByName(lists)
-    latest = F.max_by("neu", F.struct("source", "ord"))
-    return lists.filter((F.col("alt") != "") & (F.col("neu") != "")).groupBy("alt").agg(latest.alias("neu"))
+        lists = latest(builtin, 0).unionByName(lists)
+    return lists.groupBy("alt").agg(F.max_by("neu", "source").alias("neu"))
 
 
 def _single_line(text: Column) -> Column:
@@ -84,7 +88,7 @@ def _without_overlaps(column: str) -> Column:
 
 
 def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
-    """Hits of a word list small enough to sit in the plan: set membership inside each row, then explode.
+    """Hits of a word list that sits in the plan: set membership inside each row, then explode.
 
     The ends of a text are no word boundaries beside a non-word character, so an entry that begins or ends with one needs
     text before or after it.
@@ -131,21 +135,27 @@ def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
 def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
     """Hits of a word list of any size: text pieces are joined to the first piece of the entries.
 
-    Only keys and single pieces go through the join; texts meet their hits once, by segment.  The many-sided key is a
-    common word, which adaptive execution splits, as the list has few entries per first piece.
+    The first piece of a segment carries the segment, the others go alone, so the texts are read and split once and
+    meet their hits when these are grouped by segment.  The many-sided key of the join is a common word, which adaptive
+    execution splits, as the list has few entries per first piece.
     """
     entry = spellings.select("alt", pieces(F.col("alt")).alias("entry"))
     entries = entry.select(F.col("entry")[0].alias("piece"), "alt", F.size("entry").alias("size"))
     split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
     keys = ("doc_id", "owner_id", "seg_no")
-    tokens = split.select(*keys, F.posexplode("parts").alias("place", "piece"))
-    is_word = F.col("piece").rlike("^" + WORD_CLASS)
-    if entries.filter(~is_word).isEmpty():  # the usual list: gaps between words need not travel
-        tokens = tokens.filter(is_word)
+    payload = F.struct(*(c for c in split.columns if c not in (*keys, "text")))
+    carried = F.transform("parts", lambda p, i: F.struct(p.alias("piece"), F.when(i == 0, payload).alias("segment")))
+    tokens = split.select(*keys, F.posexplode(carried).alias("place", "_t")).select(*keys, "place", "_t.*")
     found = (
-        tokens.join(entries, "piece")
+        tokens.join(entries, "piece", "left")
+        .filter(F.col("alt").isNotNull() | F.col("segment").isNotNull())
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("place", "size", "alt"))).alias("candidates"))
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("alt").isNotNull(), F.struct("place", "size", "alt")))).alias("candidates"),
+            F.first("segment", ignorenulls=True).alias("_s"),
+        )
+        .filter(F.size("candidates") > 0)
+        .select(*keys, "candidates", "_s.*")
     )
     parts = F.col("parts")
     exact = F.filter(
@@ -160,8 +170,7 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
         lambda c, i: F.coalesce(F.get(F.col("exact"), i + 1)["place"] != c["place"], F.lit(True)),
     )
     hits = (
-        split.join(found, list(keys))
-        .withColumn("exact", exact)
+        found.withColumn("exact", exact)
         .withColumn("longest", longest)
         .withColumn("hit", F.explode_outer(_without_overlaps("longest")))
         .filter(F.col("hit").isNotNull())
@@ -174,94 +183,70 @@ def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
     )
 
 
-def find_spellings(segments: DataFrame, spellings: DataFrame, max_inline: int = MAX_INLINE_ENTRIES) -> DataFrame:
+def find_spellings(segments: DataFrame, spellings: DataFrame | dict[str, str]) -> DataFrame:
     """Hits in text segments: the segment's columns, ``place``, ``gefunden``, ``vorschlag``, ``kontext``.
 
-    Matching is case-sensitive, on whole words, leftmost first and longest first at one place, without overlaps.
-    The word list is probed for its size: up to ``max_inline`` entries are matched inside each row, more by a join.
+    Matching is case-sensitive, on whole words, leftmost first and longest first at one place, without overlaps.  The
+    caller chooses the plan: a table (alt, neu) of any size is joined with the pieces of the texts; a dictionary, which
+    the caller holds anyway, becomes part of the plan and is matched inside each row.
     """
     texts = segments.filter(~is_blank(F.col("text")))
-    spellings = spellings.filter(F.col("alt") != "")
-    probe = [r["alt"] for r in spellings.select("alt").limit(max_inline + 1).collect()]
-    if len(probe) <= max_inline:
-        hits = _inline_hits(texts, probe or ["\0"])  # no XML text holds this character
-        table = F.broadcast(spellings.select("alt", "neu"))
-    else:
-        hits, table = _joined_hits(texts, spellings), spellings.select("alt", "neu")
-    suggestions = table.select(F.col("alt").alias("gefunden"), F.col("neu").alias("vorschlag"))
-    return hits.join(suggestions, "gefunden")
+    if isinstance(spellings, dict):
+        pairs = {alt: neu for alt, neu in spellings.items() if alt}
+        hits = _inline_hits(texts, list(pairs) or ["\0"])  # no XML text holds this character
+        both = [F.lit(w) for pair in pairs.items() for w in pair] or [F.lit(""), F.lit("")]
+        return hits.withColumn("vorschlag", F.element_at(F.create_map(*both), F.col("gefunden")))
+    known = spellings.filter(F.col("alt") != "")
+    suggestions = known.select(F.col("alt").alias("gefunden"), F.col("neu").alias("vorschlag"))
+    return _joined_hits(texts, known).join(suggestions, "gefunden")
 
 
-def exact_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, hint_line, word) → the same with ``line``: the first source line from the hint on that contains the
-    word, or the hint.
+def _line(lines: Column, hint: Column, word: Column) -> Column:
+    """The number of the first line from the hint on that contains the word, or the hint.
 
-    Nearly every word stands close to its hint, so the first join only meets the two blocks of lines there.  Only words
-    not found that way (far behind a long child, or written with character references) are looked for in the rest of
-    their document.
+    Nearly every word stands close to its hint, so only what is not found in the lines there is looked for in the rest.
     """
-    asked = stage(wanted.select("doc_id", "hint_line", "word").distinct())
-    asked = asked.withColumn("from_line", F.greatest(F.lit(1), "hint_line"))
-    source = lines.select(F.col("doc_id").alias("source_id"), "line_no", F.col("text").alias("source_text"))
-    blocked = source.withColumn("source_block", F.floor(F.col("line_no") / _LINE_BLOCK))
-    block = F.floor(F.col("from_line") / _LINE_BLOCK)
-    near = broadcast_if_few(asked.withColumn("block", F.explode(F.array(block, block + 1))))
-    same_doc = F.col("doc_id") == F.col("source_id")
-    holds = (F.col("line_no") >= F.col("from_line")) & F.contains(F.col("source_text"), F.col("word"))
-    keys = ["doc_id", "hint_line", "word"]
-    first = F.min("line_no").alias("line")
-    found = stage(
-        blocked.join(near, same_doc & (F.col("block") == F.col("source_block")) & holds).groupBy(*keys).agg(first)
-    )
-    missing = asked.join(found, keys, "left_anti")
-    if not missing.isEmpty():
-        found = found.unionByName(_lines_further_down(missing, source))
-    return asked.join(found, keys, "left").select(*keys, F.coalesce("line", "hint_line").alias("line"))
+    first = F.greatest(F.lit(1), hint)
 
+    def place(start: Column, length: Column) -> Column:
+        holds = F.transform(F.slice(lines, start, length), lambda x: F.contains(x, word))
+        return F.nullif(F.array_position(holds, F.lit(True)), F.lit(0)) + start - 1
 
-def _lines_further_down(missing: DataFrame, source: DataFrame) -> DataFrame:
-    """(doc_id, hint_line, word, line) for words of ``missing`` found anywhere in the rest of their document.
+    near, rest = F.lit(_NEAR_LINES), F.size(lines)
+    return F.coalesce(place(first, near), place(first + near, rest), hint.cast("long")).cast("int")
 
-    Each word is looked for once per document.  Hints and places are then put in one order, where the place that comes
-    next is a running minimum; hints are not paired with places.
+
+def exact_lines(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``wanted(doc_id, hint_line, word, …)`` with ``line``: the first source line from the hint on that
+    contains the word, or the hint.
+
+    What is wanted of a document is collected, meets the document once, and is looked for in its lines, so lines never
+    become rows.
     """
-    words = missing.groupBy("doc_id", "word").agg(F.min("from_line").alias("from_line"))
-    holds = (F.col("line_no") >= F.col("from_line")) & F.contains(F.col("source_text"), F.col("word"))
-    places = source.join(broadcast_if_few(words), (F.col("doc_id") == F.col("source_id")) & holds)
-    hints = missing.select("doc_id", "word", F.col("from_line").alias("at"), "hint_line", F.lit(None).cast("int").alias("line"))
-    merged = hints.unionByName(
-        places.select("doc_id", "word", F.col("line_no").alias("at"), F.lit(None).cast("int").alias("hint_line"),
-                      F.col("line_no").alias("line"))
-    )
-    # a hint comes before a place on the same line, which therefore counts
-    onwards = Window.partitionBy("doc_id", "word").orderBy("at", F.col("line").isNotNull())
-    following = F.min("line").over(onwards.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return (
-        merged.withColumn("line", following)
-        .filter(F.col("hint_line").isNotNull() & F.col("line").isNotNull())
-        .select("doc_id", "hint_line", "word", "line")
-    )
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c != "doc_id"))).alias("_asked"))
+    cut = docs.select("doc_id", "content").join(asked, "doc_id")
+    cut = cut.withColumn("_lines", split_lines(F.col("content").cast("string")))
+    found = F.transform("_asked", lambda w: w.withField("line", _line(F.col("_lines"), w["hint_line"], w["word"])))
+    return cut.select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.*")
 
 
 def check_spelling(
-    corpus: Corpus, spellings: DataFrame, tags: DataFrame | list[str] | None = None, max_inline: int = MAX_INLINE_ENTRIES
+    corpus: Corpus, spellings: DataFrame | dict[str, str], tags: DataFrame | list[str] | None = None
 ) -> DataFrame:
-    """The spelling report of a corpus.
+    """The spelling report of a corpus, in one pass over its texts.
 
     ``tags`` are the tags to search, as a list or a table with ``tag`` (rows with a false ``included`` are left out);
-    by default all text-bearing tags but the standing exclusions.  Hits are few beside the texts; they are staged, so
-    the texts are matched once.
+    by default all text-bearing tags but the standing exclusions.
     """
     segments = corpus.segments
     if tags is None:
-        tags = text_tags(segments)
-    if isinstance(tags, DataFrame):
+        segments = segments.filter(~F.col("tag").isin(*DEFAULT_EXCLUDED_TAGS))
+    elif isinstance(tags, DataFrame):
         segments = keep_values(segments, "tag", tags.filter("included") if "included" in tags.columns else tags)
     else:
         segments = segments.filter(F.col("tag").isin(tags))
-    hits = stage(find_spellings(segments, spellings, max_inline).withColumnRenamed("gefunden", "word"))
-    located = hits.join(exact_lines(hits, corpus.lines), ["doc_id", "hint_line", "word"])
-    return located.select(
+    hits = find_spellings(segments, spellings).withColumnRenamed("gefunden", "word")
+    return exact_lines(hits, corpus.docs).select(
         *SOURCE, "line", "tag", F.col("word").alias("gefunden"), "vorschlag", "kontext",
         "doc_id", "doc_ord", F.col("owner_id").alias("node_id"), "seg_no", "place",
     )

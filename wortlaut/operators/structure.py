@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from wortlaut.functions.ordering import document_position
 from wortlaut.functions.paths import parent, prefixes, suffix_predicate
-from wortlaut.functions.sizes import broadcast_if_few, stage
 from wortlaut.functions.text import is_blank, strip
 
 # How many samples are kept and shown.
@@ -133,18 +132,27 @@ def _with_sort_key(paths: DataFrame) -> DataFrame:
     """Add ``has_inner`` and ``sort_key``, strings whose order is the depth-first order of the tree.
 
     Each level of the key is a child rank; '2' puts child tags after attributes ('0') and text ('1') of the same tag.
-    ``paths`` is staged, so reading it several times is cheap.
+    Every path is set beside each path above it, where ranks are found by windows over the children of one parent, so
+    ``paths`` is read once.
     """
-    above = parent(F.col("path"))
-    rank = F.row_number().over(_by_rank(above, F.col("path"), "first_seen"))
-    ranks = paths.select(F.col("path").alias("step"), F.lpad(rank.cast("string"), 9, "0").alias("rank"))
-    steps = paths.select("path", F.posexplode(prefixes(F.col("path"))).alias("level", "step"))
-    levels = F.array_sort(F.collect_list(F.struct("level", "rank")))
-    keys = steps.join(broadcast_if_few(ranks), "step").groupBy("path").agg(
-        F.array_join(F.transform(levels, lambda k: k["rank"]), ".2").alias("sort_key")
+    own = F.struct(*paths.columns)
+    steps = paths.select(
+        F.col("path").alias("_path"), own.alias("_row"), F.posexplode(prefixes(F.col("path"))).alias("level", "step")
     )
-    inner = paths.select(above.alias("path")).distinct().withColumn("has_inner", F.lit(True))
-    return paths.join(keys, "path").join(inner, "path", "left").withColumn("has_inner", F.coalesce("has_inner", F.lit(False)))
+    is_self = F.col("step") == F.col("_path")
+    at_step = Window.partitionBy("step")
+    steps = steps.withColumn("_seen", F.max(F.when(is_self, F.col("_row.first_seen"))).over(at_step))
+    steps = steps.withColumn("_inner", F.count(F.lit(1)).over(at_step) > 1)
+    above = parent(F.col("step"))
+    siblings = Window.partitionBy(above).orderBy(F.when(above == "", F.col("step")), "_seen", "step")
+    steps = steps.withColumn("_rank", F.lpad(F.dense_rank().over(siblings).cast("string"), 9, "0"))
+    levels = F.array_sort(F.collect_list(F.struct("level", "_rank")))
+    keyed = steps.groupBy("_path").agg(
+        F.array_join(F.transform(levels, lambda k: k["_rank"]), ".2").alias("sort_key"),
+        F.first(F.when(F.col("step") == F.col("_path"), F.col("_row")), ignorenulls=True).alias("_row"),
+        F.max(F.when(F.col("step") == F.col("_path"), F.col("_inner"))).alias("has_inner"),
+    )
+    return keyed.select("_row.*", "sort_key", "has_inner")
 
 
 def _inline(values: Column) -> tuple[Column, Column]:
@@ -154,10 +162,10 @@ def _inline(values: Column) -> tuple[Column, Column]:
 def tree_rows(nodes: DataFrame) -> DataFrame:
     """Display rows of the merged tree: tags, their attributes, their text.  Order by ``sort_key``.
 
-    The nodes are read once; the reduced table, one row per path, is staged and the rows are built from it.
+    The nodes are read once; they are reduced to one row per path, and the rows are built from it.
     """
     attr = F.struct("name", "values")
-    paths = stage(
+    paths = (
         samples(nodes)
         .groupBy("path")
         .agg(
@@ -210,7 +218,7 @@ def set_visibility(rows: DataFrame, collapsed: DataFrame) -> DataFrame:
     """
     closed = collapsed.select(F.col("id").alias("step"), F.lit(True).alias("closed")).distinct()
     # A tag row's path ends in itself; attribute and text rows have the path of the tag above them.
-    steps = rows.withColumn("step", F.explode(prefixes(F.col("path")))).join(broadcast_if_few(closed), "step", "left")
+    steps = rows.withColumn("step", F.explode(prefixes(F.col("path")))).join(closed, "step", "left")
     own = (F.col("kind") == TAG) & (F.col("step") == F.col("path"))
     is_closed = F.coalesce("closed", F.lit(False))
     kept = [c for c in rows.columns if c not in ("is_collapsed", "is_visible")]

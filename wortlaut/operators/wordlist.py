@@ -84,11 +84,12 @@ def rule_pairs(lemmas: DataFrame) -> DataFrame:
 
 
 def with_supplement(pairs: DataFrame, supplement: DataFrame) -> DataFrame:
-    """Rule pairs and hand-kept pairs, which need both sides."""
+    """Rule pairs and hand-kept pairs, which need both sides; ``ord`` is null for rule pairs."""
     manual = supplement.select(strip(F.col("alt")).alias("alt"), strip(F.col("neu")).alias("neu"), "ord")
     kept = manual.filter((F.col("alt") != "") & (F.col("neu") != ""))
-    return pairs.withColumn("ord", F.lit(0).cast("long")).unionByName(
-        kept.select("alt", "neu", F.lit(SUPPLEMENT).alias("source"), F.col("ord").cast("long").alias("ord"))
+    kind = supplement.schema["ord"].dataType
+    return pairs.withColumn("ord", F.lit(None).cast(kind)).unionByName(
+        kept.select("alt", "neu", F.lit(SUPPLEMENT).alias("source"), "ord")
     )
 
 

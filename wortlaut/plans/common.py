@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from wortlaut.operators.results import POSITION
 from wortlaut.session import configure
-from wortlaut.sources.documents import docs_from_table, spread
+from wortlaut.sources import documents
+from wortlaut.sources.documents import docs_from_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The given tables are single files, so their rows are dealt out to all cores before they are parsed."""
+    return documents.spread(rows, key, rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def escaped(column: str) -> str:
     return f"replace(replace({column}, '&', '&amp;'), '<', '&lt;')"
 

@@ -63,10 +63,11 @@ _FILE_SQL = """'<file name="p' || page_id || '.xml" path="pages/p' || page_id ||
 
 @registry.add(
     "i12_context_block",
-    f"""SELECT page_id % 10 AS selection, CAST(0 AS BIGINT) AS block_no, '<context>' || chr(10) ||
-      'Die folgenden XML-Dateien wurden vom Benutzer ausgewählt:' || chr(10) || chr(10) ||
-      string_agg({_FILE_SQL}, chr(10) || chr(10) ORDER BY page_id) || chr(10) || '</context>' AS block
-    FROM pages GROUP BY page_id % 10""",
+    f"""SELECT page_id % 10 AS selection, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS part_no,
+      CASE WHEN page_id >= 10 THEN chr(10) || chr(10) ELSE '' END || {_FILE_SQL} AS part FROM pages
+    UNION ALL SELECT page_id % 10, 0, '<context>' || chr(10) || 'Die folgenden XML-Dateien wurden vom Benutzer ausgewählt:'
+      || chr(10) || chr(10) FROM pages GROUP BY page_id % 10
+    UNION ALL SELECT page_id % 10, count(*) + 1, chr(10) || '</context>' FROM pages GROUP BY page_id % 10""",
 )
 def i12(spark, sf_dir):
     docs = page_docs(spark, sf_dir).withColumn("selection", F.col("doc_ord") % 10)
@@ -89,24 +90,26 @@ def i13(spark, sf_dir):
 
 @registry.add(
     "i13_with_context",
-    """SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn = 0 THEN 'Antworte kurz.' || chr(10) || chr(10) || text
-      WHEN role = 'user' AND turn % 2 = 0 THEN '<context>' || conv_id || '</context>' || chr(10) || chr(10) || text
-      ELSE text END AS content
-    FROM conversations WHERE role <> 'system' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
+    """WITH head AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE role <> 'system' GROUP BY conv_id)
+    SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn = first THEN 'Antworte kurz.' || chr(10) || chr(10) ELSE '' END
+      || CASE WHEN role = 'user' AND turn % 2 = 0 AND turn > 0 THEN '<context>' || conv_id || '</context>' || chr(10) || chr(10)
+        ELSE '' END || text AS content
+    FROM conversations JOIN head USING (conv_id) WHERE role <> 'system'""",
 )
 def i13_context(spark, sf_dir):
     talks = table(spark, sf_dir, "conversations")
-    plain = talks.join(talks.filter("role = 'system'").select("conv_id").distinct(), "conv_id", "left_anti")
-    contexts = plain.filter("role = 'user' AND turn % 2 = 0 AND turn > 0").select(
+    contexts = talks.filter("role = 'user' AND turn % 2 = 0 AND turn > 0").select(
         "conv_id", "turn", F.concat(F.lit("<context>"), "conv_id", F.lit("</context>")).alias("block")
     )
-    return messages.build_messages(plain, contexts, system="Antworte kurz.")
+    return messages.build_messages(talks, contexts, system="Antworte kurz.")
 
 
 def _payload_sql(head: str, tail: str) -> str:
-    return f"""{_MESSAGES_SQL} SELECT conv_id, CAST(0 AS BIGINT) AS part, '{{"model":"m",{head}"messages":' ||
-      CAST(to_json(list({{'role': role, 'content': content}} ORDER BY turn)) AS VARCHAR) || '{tail}}}' AS payload
-    FROM msg GROUP BY conv_id"""
+    return f"""{_MESSAGES_SQL}, latest AS (SELECT conv_id, max(turn) AS turn FROM msg WHERE role = 'user' GROUP BY conv_id),
+    sent AS (SELECT m.conv_id, l.turn, CAST(sum(strlen(content)) // 4 AS BIGINT) AS tokens, '{{"model":"m",{head}"messages":' ||
+      CAST(to_json(list({{'role': role, 'content': content}} ORDER BY m.turn)) AS VARCHAR) || '{tail}}}' AS payload
+    FROM msg m JOIN latest l ON m.conv_id = l.conv_id AND m.turn <= l.turn GROUP BY m.conv_id, l.turn)
+    SELECT *, CASE WHEN tokens > 32000 - 4096 THEN 'over' WHEN tokens > 24000 THEN 'near' ELSE 'ok' END AS budget FROM sent"""
 
 
 def _payloads(provider: str):
@@ -194,15 +197,15 @@ _ERROR_SQL = """CASE event_type WHEN 'click' THEN 'ConnectError: ' WHEN 'view' T
 
 @registry.add(
     "i16_error_classes",
-    """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'connection' WHEN 'view' THEN 'timeout' WHEN 'error' THEN 'model_not_found'
-      ELSE CASE WHEN contains(event_id::VARCHAR, '404') THEN 'model_not_found' ELSE 'other' END END AS text_class,
-      CASE event_type WHEN 'click' THEN 'connection' WHEN 'view' THEN 'timeout' WHEN 'error' THEN 'timeout'
-      ELSE CASE WHEN contains(event_id::VARCHAR, '404') THEN 'model_not_found' ELSE 'other' END END AS image_class
-    FROM events WHERE event_type <> 'view' OR NOT contains(event_id::VARCHAR, '404')""",
+    """WITH e AS (SELECT event_id, event_type, contains(event_id::VARCHAR, '404') AS has_404 FROM events)
+    SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'connection' WHEN event_type = 'error' OR has_404 THEN 'model_not_found'
+        WHEN event_type = 'view' THEN 'timeout' ELSE 'other' END AS text_class,
+      CASE WHEN event_type = 'click' THEN 'connection' WHEN event_type IN ('view', 'error') THEN 'timeout'
+        WHEN has_404 THEN 'model_not_found' ELSE 'other' END AS image_class
+    FROM e""",
 )
 def i16(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("message", F.expr(_ERROR_SQL))
-    rows = rows.filter("event_type <> 'view' OR NOT contains(cast(event_id AS string), '404')")
     return rows.select(
         F.col("event_id").alias("id"), messages.classify_error(F.col("message")).alias("text_class"),
         messages.classify_error(F.col("message"), images=True).alias("image_class"),
@@ -224,6 +227,27 @@ def i17(spark, sf_dir):
     return messages.image_intake(files, "page_id", ("batch",))
 
 
+@registry.add(
+    "i17_joined_pages",
+    """SELECT 'k' || page_id % 40 AS item, count(*) AS pages, string_agg(url, chr(10) || chr(10) ORDER BY page_id) AS text
+    FROM pages GROUP BY page_id % 40""",
+)
+def i17_pages(spark, sf_dir):
+    answers = table(spark, sf_dir, "pages").selectExpr("concat('k', page_id % 40) AS item", "page_id AS page_no", "url AS text")
+    return messages.joined_pages(answers)
+
+
+@registry.add(
+    "i17_page_requests",
+    f"""SELECT 'k' || page_id % 40 AS item, page_id AS page_no, {_IMAGE_SQL["openai"]} AS payload FROM pages""",
+)
+def i17_requests(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").selectExpr(
+        "concat('k', page_id % 40) AS item", "page_id AS page_no", "'image/png' AS media_type", "cast(html AS binary) AS content"
+    )
+    return messages.page_requests(pages, "openai", "m", "Lies")
+
+
 def _answer(payload: str) -> str:
     if payload.startswith("E"):
         raise ConnectionError("no server")

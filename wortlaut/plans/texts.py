@@ -160,8 +160,9 @@ _T_ROWS = f"{_T_SQL}, src AS (SELECT * FROM t)"
     SELECT {_P_SOURCE}, i + 1 AS hint_line, gefunden, vorschlag, kontext FROM kwic""",
 )
 def h2(spark, sf_dir):
+    """The plan for a short list that the caller holds: here the words of the benchmark items."""
     segments = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE).segments
-    hits = spelling.find_spellings(segments, _word_list(spark, sf_dir))
+    hits = spelling.find_spellings(segments, {r.alt: r.neu for r in _word_list(spark, sf_dir).collect()})
     return hits.select("quelle", "subdir", "filename", "hint_line", "gefunden", "vorschlag", "kontext")
 
 
@@ -170,9 +171,9 @@ def h2(spark, sf_dir):
     f"""{_hits_sql(_T_ROWS, 'c, n')} SELECT {_T_SOURCE}, gefunden, vorschlag, kontext FROM kwic""",
 )
 def h2_joined(spark, sf_dir):
-    """The plan for word lists too long to match inside each row."""
+    """The plan for word lists of any size."""
     segments = Corpus.of(turn_docs(spark, sf_dir), SEGMENT_SOURCE).segments
-    hits = spelling.find_spellings(segments, _word_list(spark, sf_dir), max_inline=0)
+    hits = spelling.find_spellings(segments, _word_list(spark, sf_dir))
     return hits.select("quelle", "subdir", "filename", "gefunden", "vorschlag", "kontext")
 
 
@@ -211,16 +212,30 @@ def h6(spark, sf_dir):
 @registry.add(
     "h5_exact_lines",
     f"""{_P_SQL}, ask AS (SELECT DISTINCT d, source, lang, i + 1 AS h, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM p)
-    SELECT {_P_SOURCE}, h AS hint_line, w AS word, h AS line FROM ask WHERE len(w) >= 14""",
+    SELECT {_P_SOURCE}, h AS hint_line, w AS word, h AS line FROM ask""",
 )
 def h5(spark, sf_dir):
-    """Every word of 14 letters and more, and the first source line from its paragraph's on that contains it: the
-    paragraph stands on one line, so that is its own."""
+    """Every word, and the first source line from its paragraph's on that contains it: the paragraph stands on one line,
+    so that is its own."""
+    corpus = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE)
+    words = corpus.segments.filter("tag = 'p'").withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
+    asked = words.select(*DOC_KEYS, "hint_line", "word").distinct()
+    return spelling.exact_lines(asked, corpus.docs).select("quelle", "subdir", "filename", "hint_line", "word", "line")
+
+
+@registry.add(
+    "h5_lines_further_down",
+    f"""{_P_SQL}, ask AS (SELECT DISTINCT d, source, lang, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM p)
+    SELECT a.source || '/' || a.lang || '/d' || a.d || '.xml' AS document, w AS word, min(i + 1) AS line FROM ask a JOIN p ON a.d = p.d AND contains(t, w)
+    WHERE len(w) >= 5 AND i >= 1 GROUP BY ALL""",
+)
+def h5_down(spark, sf_dir):
+    """Every word of five letters and more of a document's later paragraphs, looked for from the second line on."""
     corpus = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE)
     words = corpus.segments.filter("tag = 'p'").withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
-    asked = words.filter(F.length("word") >= 14).select(*DOC_KEYS, "hint_line", "word").distinct()
-    lines = spelling.exact_lines(asked, corpus.lines)
-    return asked.join(lines, ["doc_id", "hint_line", "word"]).select("quelle", "subdir", "filename", "hint_line", "word", "line")
+    asked = words.filter((F.length("word") >= 5) & (F.col("hint_line") > 1)).select("doc_id", "word").distinct()
+    found = spelling.exact_lines(asked.withColumn("hint_line", F.lit(2)), corpus.docs)
+    return found.select(F.col("doc_id").alias("document"), "word", "line")
 
 
 @registry.add(

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wortlaut.functions.sizes import scratch_path, stage
+from wortlaut.functions.sizes import scratch_path
 from wortlaut.operators import lookup, wordlist
-from wortlaut.plans.common import Registry, table
+from wortlaut.plans.common import Registry, spread, table
 from wortlaut.sources import wordlists
-from wortlaut.sources.documents import spread
 from wortlaut.sources.results import write_results
 
 registry = Registry()
@@ -23,17 +22,16 @@ _PLANTED = (
 _WORDS_SQL = f"""WITH raw AS (
   SELECT unnest(string_split(regexp_replace(text, '[ \\n.,;:!?()"]', ' ', 'g'), ' ')) AS w FROM documents
   UNION ALL SELECT unnest([{", ".join(f"'{w}'" for w in _PLANTED)}])),
-lem AS (SELECT DISTINCT w AS lemma FROM raw WHERE regexp_full_match(w, '[\\p{{L}}-]+') AND w[1] <> '-'),
+lem AS MATERIALIZED (SELECT DISTINCT w AS lemma FROM raw WHERE regexp_full_match(w, '[\\p{{L}}-]+') AND w[1] <> '-'),
 ss AS (SELECT lemma AS alt, replace(lemma, 'ß', 'ss') AS neu FROM lem WHERE contains(lemma, 'ß')),
-ss_pair AS (SELECT * FROM ss WHERE alt <> 'Maß' AND neu IN (SELECT lemma FROM lem)),
-ph_pair AS (
-  SELECT alt, neu FROM (SELECT lemma AS alt, replace(replace(lemma, 'Ph', 'F'), 'ph', 'f') AS neu FROM lem
-    WHERE contains(lower(lemma), 'ph') AND lemma NOT IN ('Phase', 'Phiale')) WHERE neu IN (SELECT lemma FROM lem)),
+ss_pair AS (SELECT ss.* FROM ss JOIN lem ON neu = lemma WHERE alt <> 'Maß'),
+ph AS (SELECT lemma AS alt, replace(replace(lemma, 'Ph', 'F'), 'ph', 'f') AS neu FROM lem
+  WHERE contains(lower(lemma), 'ph') AND lemma NOT IN ('Phase', 'Phiale')),
+ph_pair AS (SELECT ph.* FROM ph JOIN lem ON neu = lemma),
 tri AS (SELECT lemma, regexp_extract(lemma, '(?i)({"|".join(c * 3 for c in wordlist.TRIPLE_CONSONANTS)})') AS m FROM lem),
-tri_pair AS (
-  SELECT DISTINCT alt, neu FROM (
-    SELECT substr(lemma, 1, position(m IN lemma) - 1) || substr(lemma, position(m IN lemma) + 1) AS alt, lemma AS neu
-    FROM tri WHERE m <> '') WHERE alt IN (SELECT lemma FROM lem)),
+tri_short AS (SELECT substr(lemma, 1, position(m IN lemma) - 1) || substr(lemma, position(m IN lemma) + 1) AS alt, lemma AS neu
+  FROM tri WHERE m <> ''),
+tri_pair AS (SELECT DISTINCT alt, neu FROM tri_short JOIN lem ON alt = lemma),
 pairs AS (
   SELECT *, 0 AS source FROM ss_pair UNION ALL SELECT *, 1 FROM ph_pair UNION ALL SELECT *, 2 FROM tri_pair)"""
 
@@ -52,11 +50,6 @@ def _raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lemma list; a table of its own, as the rules read it more than once."""
-    return stage(_lemma_query(spark, sf_dir))
-
-
-def _lemma_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordlist.clean_lemmas(_raw_words(spark, sf_dir))
 
 
@@ -69,7 +62,7 @@ def _supplement(lemmas: DataFrame) -> DataFrame:
 
 @registry.add("a12_lemmas", f"{_WORDS_SQL} SELECT lemma FROM lem")
 def a12(spark, sf_dir):
-    return _lemma_query(spark, sf_dir)
+    return _lemmas(spark, sf_dir)
 
 
 @registry.add("g1_ss_pairs", f"{_WORDS_SQL} SELECT * FROM ss_pair")
@@ -77,7 +70,7 @@ def g1(spark, sf_dir):
     return wordlist.ss_pairs(_lemmas(spark, sf_dir))
 
 
-_WHITE_SQL = "SELECT alt AS wort FROM ss WHERE alt = 'Maß' OR neu NOT IN (SELECT lemma FROM lem)"
+_WHITE_SQL = "SELECT alt AS wort FROM ss LEFT JOIN lem ON neu = lemma WHERE alt = 'Maß' OR lemma IS NULL"
 
 
 @registry.add("g2_ss_whitelist", f"{_WORDS_SQL} {_WHITE_SQL}")
@@ -151,9 +144,29 @@ def _answers(lemmas: DataFrame) -> DataFrame:
     return lookup.parse_lookup(_responses(lemmas))
 
 
+@registry.add(
+    "i6_retry_rounds",
+    f"""{_ANSWERS_SQL}, led AS (SELECT lemma AS wort, len(lemma) % 6 AS fehler_count, 'HTTP 429' AS letzter_fehler,
+        '2025-12-31T00:00:00' AS timestamp FROM lem WHERE len(lemma) % 2 = 0 AND len(lemma) % 6 > 0)
+    SELECT led.wort, CASE WHEN led.fehler_count < 3 AND ans.error IS NOT NULL THEN 3 ELSE CAST(led.fehler_count AS BIGINT) END AS fehler_count,
+      CASE WHEN led.fehler_count < 3 THEN coalesce(ans.error, letzter_fehler) ELSE letzter_fehler END AS letzter_fehler
+    FROM led JOIN ans ON led.wort = ans.wort WHERE led.fehler_count >= 3 OR ans.error IS NOT NULL""",
+)
+def i6_rounds(spark, sf_dir):
+    """Words whose length is a multiple of five fail in every round; the others have an answer in the first."""
+    lemmas = _lemmas(spark, sf_dir)
+    index = lemmas.select("lemma", F.lit(0).cast("long").alias("row_ord"))
+
+    def ask(words):
+        return lookup.parse_lookup(_responses(words.withColumnRenamed("wort", "lemma")))
+
+    _, left = lookup.retry_rounds(_ledger(lemmas), index, ask)
+    return left.select("wort", "fehler_count", "letzter_fehler")
+
+
 @registry.add("i3_parse_lookup", f"{_ANSWERS_SQL} SELECT * FROM ans")
 def i3(spark, sf_dir):
-    return _answers(_lemma_query(spark, sf_dir)).drop("timestamp")
+    return _answers(_lemmas(spark, sf_dir)).drop("timestamp")
 
 
 _CANONICAL_SQL = f"""{_ANSWERS_SQL}, looked AS (
@@ -219,8 +232,8 @@ def i1(spark, sf_dir):
 
 
 _CANDIDATES_SQL = f"""{_BASE_SQL}, cand AS (
-  SELECT *, row_number() OVER (ORDER BY first_ord) - 1 AS place FROM idx
-  WHERE lemma_neu = '' AND lemma NOT IN (SELECT wort FROM led WHERE fehler_count >= 3))"""
+  SELECT idx.*, row_number() OVER (ORDER BY first_ord) - 1 AS place FROM idx LEFT JOIN led ON lemma = wort AND fehler_count >= 3
+  WHERE lemma_neu = '' AND wort IS NULL)"""
 
 
 @registry.add("i2_candidates", f"{_CANDIDATES_SQL} SELECT lemma, first_ord FROM cand WHERE place >= 10")
@@ -236,7 +249,7 @@ def i2(spark, sf_dir):
     FROM occ o LEFT JOIN idx i ON o.ord = i.row_ord LEFT JOIN ans a ON a.wort = i.lemma""",
 )
 def i4(spark, sf_dir):
-    base = stage(_base(spark, sf_dir))  # index and merge both read it
+    base = _base(spark, sf_dir)
     return lookup.merge_lookups(base, lookup.lookup_index(base), _answers(_lemmas(spark, sf_dir)))
 
 
@@ -295,7 +308,7 @@ def i8(spark, sf_dir):
     f"{_WORDS_SQL} SELECT lemma AS alt, lemma || ', neu' AS neu FROM lem WHERE len(lemma) % 3 <> 0",
 )
 def a10(spark, sf_dir):
-    rows = _lemma_query(spark, sf_dir).select(
+    rows = _lemmas(spark, sf_dir).select(
         F.concat("lemma", F.lit(" ")).alias("Alte Schreibung"),
         F.when(F.length("lemma") % 3 != 0, F.concat("lemma", F.lit(", neu"))).alias("NEU"), F.lit("x").alias("note"),
     )
@@ -323,7 +336,7 @@ def a11_whitelist(spark, sf_dir):
     f"{_WORDS_SQL} SELECT lemma, len(lemma) || ';' || lemma AS details FROM lem",
 )
 def a14(spark, sf_dir):
-    rows = _lemma_query(spark, sf_dir).select("lemma", F.concat(F.length("lemma"), F.lit(";"), "lemma").alias("details"), F.lit(1).alias("node_id"))
+    rows = _lemmas(spark, sf_dir).select("lemma", F.concat(F.length("lemma"), F.lit(";"), "lemma").alias("details"), F.lit(1).alias("node_id"))
     path = scratch_path(spark)
     write_results(rows, path)
     return spark.read.option("header", True).option("sep", ";").csv(path)
@@ -335,5 +348,28 @@ def a14(spark, sf_dir):
 )
 def a16(spark, sf_dir):
     path = scratch_path(spark)
-    wordlists.write_ledger(_ledger(_lemma_query(spark, sf_dir)), path)
+    wordlists.write_ledger(_ledger(_lemmas(spark, sf_dir)), path)
     return wordlists.read_ledger(spark, path)
+
+
+@registry.add("a12_read_lemmas", f"{_WORDS_SQL} SELECT lemma FROM lem WHERE len(lemma) > 3")
+def a12_read(spark, sf_dir):
+    """Two lists in one directory, of which the newer is read."""
+    folder, rows = scratch_path(spark), _raw_words(spark, sf_dir)
+    rows.limit(0).write.option("header", True).csv(f"{folder}/lemmas-1.csv")
+    padded = rows.filter(F.length("lemma") > 3).select(F.concat(F.lit(" "), "lemma").alias("Lemma"), F.lit("x, y").alias("note"))
+    padded.write.option("header", True).csv(f"{folder}/lemmas-2.csv")
+    return wordlists.read_lemmas(spark, folder)
+
+
+@registry.add(
+    "a13_read_tag_selection",
+    """SELECT DISTINCT source AS tag, NOT ends_with(source, '1') AS included FROM documents""",
+)
+def a13_read(spark, sf_dir):
+    """Flags of half of the tags come from a file; a tag that the file does not name is included."""
+    tags, path = table(spark, sf_dir, "documents").select(F.col("source").alias("tag")).distinct(), scratch_path(spark)
+    flags = F.when(F.endswith("tag", F.lit("1")), " Nein").otherwise("JA")
+    named = tags.filter(~F.endswith("tag", F.lit("2"))).select(F.upper("tag").alias(" Tag"), flags.alias("Inkludiert"))
+    named.write.option("header", True).csv(path)
+    return wordlists.apply_tag_selection(tags, wordlists.read_tag_selection(spark, path))

@@ -87,14 +87,10 @@ def docs_from_table(table: DataFrame, path: Column, content: Column, order: Colu
     return _documents(with_location(rows, F.col("path")), "ord")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a parse when the input has fewer splits than cores.
-
-    Parsing costs far more than reading, so a small table in one split would be parsed by one task.  Input with enough
-    splits, which is any large one, is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+def spread(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Deal rows out to ``partitions`` tasks.  Parsing costs far more than reading, so this pays for input in few splits;
+    the caller knows whether it is."""
+    return rows.repartition(partitions, key)
 
 
 def _members(name: str, data: bytes | None, max_bytes: int) -> list[tuple]:
@@ -111,7 +107,7 @@ def _members(name: str, data: bytes | None, max_bytes: int) -> list[tuple]:
                     return [(name, "too large", None, None)]
                 if member.lower().endswith(".xml"):
                     rows.append((name, None, member, archive.read(info)))
-    except (zipfile.BadZipFile, RuntimeError, EOFError, OSError, ValueError, NotImplementedError):
+    except Exception:  # whatever is wrong with one archive, the others go on
         return [(name, "bad archive", None, None)]
     return rows
 

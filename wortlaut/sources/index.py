@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wortlaut.functions.paths import parent, prefixes, strict_ancestors
-from wortlaut.functions.sizes import values_if_few
-from wortlaut.functions.text import string_literals
 from wortlaut.sources.documents import size_kb
 
 
@@ -53,15 +51,10 @@ def search_index(index: DataFrame, needle: str) -> DataFrame:
 def _covered(index: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """Rows that are (``left_semi``) or are not (``left_anti``) chosen or below a chosen directory.
 
-    A few chosen paths are tested row by row; a long list is joined with the ancestors of every path.
+    Every path meets the chosen ones over itself and the directories above it; a null path chooses nothing.
     """
-    names = values_if_few(chosen, "path")
-    if names is not None:
-        test = f"exists(_up, up -> up IN ({string_literals(names)}))" if names else "false"
-        steps = index.withColumn("_up", prefixes(F.col("path")))
-        return steps.filter(test if how == "left_semi" else f"NOT {test}").drop("_up")
-    reach = index.select("path", F.explode(prefixes(F.col("path"))).alias("up"))
-    inside = reach.join(chosen.select(F.col("path").alias("up")).distinct(), "up", "left_semi")
+    wanted = chosen.select(F.col("path").alias("up")).dropna().distinct()
+    inside = index.select("path", F.explode(prefixes(F.col("path"))).alias("up")).join(wanted, "up", "left_semi")
     return index.join(inside.select("path").distinct(), "path", how)
 
 
@@ -82,3 +75,17 @@ def selected_docs(selection: DataFrame) -> DataFrame:
     return selection.filter(~F.col("is_dir") & F.lower("path").endswith(".xml")).select(
         "path", F.when(subdir == "", ".").otherwise(subdir).alias("subdir"), F.col("name").alias("filename"), "size_kb"
     )
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The index as JSON lines, one folder of files per directory of the corpus (the top level under an empty name)."""
+    top = F.when(F.contains("path", F.lit("/")), F.split("path", "/")[0]).otherwise(F.col("path"))
+    index.withColumn("corpus", top).write.mode("overwrite").partitionBy("corpus").json(path)
+
+
+def read_index(spark: SparkSession, path: str, corpus: str | None = None) -> DataFrame:
+    """A written index; with ``corpus`` only the rows of that top-level directory, from its own files."""
+    schema = "path string, name string, is_dir boolean, depth int, file_count long, size_kb double, corpus string"
+    rows = spark.read.schema(schema).json(path)
+    rows = rows if corpus is None else rows.filter(F.col("corpus") == corpus)
+    return rows.drop("corpus")

@@ -14,14 +14,23 @@ NEW_HEADINGS = ("neu", "new", "neue schreibung")
 YES = ("ja", "yes", "true", "1")
 
 
-def _read_csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """All columns as strings, and ``ord``, which grows along the file."""
+_ORD = "struct<file: string, block: bigint, row: bigint>"
+
+
+def _read_csv(spark: SparkSession, path: str, sep: str, multi_line: bool = False) -> DataFrame:
+    """All columns as strings, and ``ord``, which grows from file to file (by name) and along each file.
+
+    ``multi_line`` is for files with line ends inside quoted fields, which then are read in one piece each.
+    """
     table = (
         spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).csv(path)
+        .option("multiLine", multi_line).csv(path)
+    )
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    # Fields may hold line ends, so a file is read in one piece and the running id follows it.
-    return table.select("*", F.monotonically_increasing_id().alias("ord"))
+    return table.select("*", place.alias("ord"))
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -40,9 +49,9 @@ def _column(table: DataFrame, *names: str) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-def read_wordlist(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_wordlist(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A custom list (alt, neu, ord); headings in any case, German or English; both sides needed."""
-    table = _read_csv(spark, path, sep)
+    table = _read_csv(spark, path, sep, multi_line)
     pairs = table.select(
         _column(table, *OLD_HEADINGS).alias("alt"), _column(table, *NEW_HEADINGS).alias("neu"), "ord"
     )
@@ -52,7 +61,7 @@ def read_wordlist(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 def read_spellings(spark: SparkSession, path: str) -> DataFrame:
     """The built-in list or the supplement: ``alt;neu``.  A missing file is an empty list."""
     if not _exists(spark, path):
-        return _empty(spark, "alt string, neu string, ord long")
+        return _empty(spark, f"alt string, neu string, ord {_ORD}")
     table = _read_csv(spark, path, ";")
     pairs = table.select(_column(table, "alt").alias("alt"), _column(table, "neu").alias("neu"), "ord")
     return pairs.filter((F.col("alt") != "") & (F.col("neu") != ""))
