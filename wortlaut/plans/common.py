@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wortlaut.operators.results import POSITION
-from wortlaut.session import configure
 from wortlaut.sources import documents
 from wortlaut.sources.documents import docs_from_table
 
@@ -30,7 +29,7 @@ class Registry:
 
     def add(self, name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         def register(query: Query) -> Query:
-            self.queries[name] = lambda spark, sf_dir: plain(query(configure(spark), sf_dir))
+            self.queries[name] = lambda spark, sf_dir: plain(query(spark, sf_dir))
             if oracle is not None:
                 self.oracles[name] = oracle
             return query

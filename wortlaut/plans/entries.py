@@ -16,7 +16,9 @@ from wortlaut.plans.common import (
     ENTRY_SQL,
     Registry,
     entry_docs,
+    table,
 )
+from wortlaut.sources.documents import docs_from_table
 
 registry = Registry()
 _KEYS = [*DOC_KEYS, "node_id", "tag", "line"]
@@ -441,7 +443,7 @@ _MODEL = """SELECT k, 1 AS line, 'content-model: entry(form' || CASE WHEN k % 7
 )
 def b2(spark, sf_dir):
     corpus = Corpus.of(entry_docs(spark, sf_dir, broken=True), [*_KEYS, *_SCHEMA_COLUMNS])
-    return validate.validation_summary(corpus.shredded, schema_check.check_schema(corpus.shredded, _grammar()))
+    return schema_check.schema_summary(corpus.shredded, _grammar())
 
 
 def _schema(name: str, check, *parts: str) -> None:
@@ -459,3 +461,59 @@ _schema("b8_attr_values", schema_check.check_attr_values, _VALUES)
 _schema("b9_children", schema_check.check_children, _CHILDREN)
 _schema("b10_text_allowed", schema_check.check_text_allowed, _TEXT)
 _schema("b11_content_model", schema_check.check_content_model, _MODEL)
+
+
+# A grammar of a hundred elements, made by rule: g0 … g99, each with an attribute of its own range and two kinds of
+# children.  Articles from three tables, each a root and a child.
+_TAGS = 100
+
+
+@cache
+def _large_grammar():
+    start = "".join(f'<ref name="g{i}"/>' for i in range(_TAGS))
+    defines = "".join(
+        f"""<define name="g{i}"><element name="g{i}">
+          <attribute name="k"><data type="nonNegativeInteger"><param name="maxInclusive">{5 * i}</param></data></attribute>
+          <optional><attribute name="v{i % 9}"><choice><value>a{i}</value><value>b</value></choice></attribute></optional>
+          <zeroOrMore><choice><ref name="g{(i + 1) % _TAGS}"/><ref name="g{i * 7 % _TAGS}"/></choice></zeroOrMore>
+        </element></define>"""
+        for i in range(_TAGS)
+    )
+    return compile_grammar(
+        f"""<grammar xmlns="http://relaxng.org/ns/structure/1.0" ns="urn:example:large"
+        datatypeLibrary="http://www.w3.org/2001/XMLSchema-datatypes"><start><choice>{start}</choice></start>{defines}</grammar>"""
+    )
+
+
+_LARGE_TABLES = (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("part", "p_partkey", "p_size"))
+
+
+def _large_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = None
+    for name, key, other in _LARGE_TABLES:
+        one = table(spark, sf_dir, name).selectExpr(f"'{name}' AS t", f"cast({key} AS long) AS k", f"cast({other} AS long) AS o")
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.selectExpr("t", "k", "k % 100 AS a", "o * 7 % 100 AS b", "k * 3 % 600 AS v", "o")
+    xml = """concat('<g', a, ' xmlns="urn:example:large" k="', v, '"', if(k % 4 = 0, concat(' v', a % 9, '="a', b, '"'), ''),
+      if(k % 11 = 0, ' z="1"', ''), '>\n<g', b, if(k % 3 = 0, '', ' k="0"'), '/>', if(k % 13 = 0, 'x', ''), '</g', a, '>')"""
+    return docs_from_table(rows, F.expr("concat(t, '/', k, '.xml')"), F.expr(xml), F.expr("k"))
+
+
+_LARGE_SQL = f"""WITH r AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, {k} AS k, {o} AS o FROM {t}" for t, k, o in _LARGE_TABLES)}),
+x AS (SELECT t, k, k % 100 AS a, o * 7 % 100 AS b, k * 3 % 600 AS v FROM r),
+bad AS (
+  SELECT *, 1 AS line, 'attribute-value: g' || a || '/@k=' || v AS error FROM x WHERE v > 5 * a
+  UNION ALL SELECT *, 1, 'attribute-value: g' || a || '/@v' || (a % 9) || '=a' || b FROM x WHERE k % 4 = 0 AND a <> b
+  UNION ALL SELECT *, 1, 'attribute-undeclared: g' || a || '/@z' FROM x WHERE k % 11 = 0
+  UNION ALL SELECT *, 2, 'attribute-missing: g' || b || '/@k' FROM x WHERE k % 3 = 0
+  UNION ALL SELECT *, 2, 'child-not-allowed: g' || a || '/g' || b FROM x WHERE b <> (a + 1) % 100 AND b <> a * 7 % 100
+  UNION ALL SELECT *, 2, 'text-not-allowed: g' || a FROM x WHERE k % 13 = 0)"""
+
+
+@registry.add(
+    "b3_large_grammar",
+    f"""{_LARGE_SQL} SELECT t AS subdir, k || '.xml' AS filename, CAST(line AS BIGINT) AS line, error FROM bad""",
+)
+def b3_large(spark, sf_dir):
+    corpus = Corpus.of(_large_docs(spark, sf_dir), [*_KEYS, *_SCHEMA_COLUMNS])
+    return schema_check.check_schema(corpus.shredded, _large_grammar()).select("subdir", "filename", "line", "error")
