@@ -20,7 +20,7 @@ _TAIL = r"(\p{L})([!-/:-@\[-`{-~])"
 _CUT, _MARK = "\x02", " \x01"
 #: Pieces that may be encoded together: a blank and a word.
 _PLAIN = re.compile(r" [^\s\x01\x02]+")
-_MOST_KEPT, _LONGEST_KEPT, _CHARS_AT_ONCE, _WORDS_AT_ONCE = 1_000_000, 64, 8_000_000, 2_000
+_MOST_KEPT, _LONGEST_KEPT, _BYTES_AT_ONCE, _WORDS_AT_ONCE = 600_000, 64, 4_000_000, 2_000
 
 
 class Encoder:
@@ -47,26 +47,26 @@ class Encoder:
         """The worker's own encoder for this file."""
         return per_worker(f"encoder:{path}:{by_word}", lambda: cls(path, by_word))
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; null counts as empty."""
-        some, size = [], 0
-        for text in texts:
-            some.append(text or "")
-            size += len(some[-1])
-            if size >= _CHARS_AT_ONCE:
-                yield from self._some(some)
-                some, size = [], 0
-        yield from self._some(some)
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty.  A few megabytes of text are worked on at once."""
+        every = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        every = pc.fill_null(every.cast(pa.large_string()), "")
+        ends, start = np.cumsum(pc.binary_length(every).to_numpy(zero_copy_only=False)), 0
+        while start < len(every):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + _BYTES_AT_ONCE, "right")))
+            yield from self._some(every.slice(start, stop - start))
+            start = stop
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype) for e in found]
 
-    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if not self.by_word or any(_CUT in t for t in texts):
-            yield from self._whole(texts)
+    def _some(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if not self.by_word or pc.any(pc.match_substring(texts, _CUT)).as_py():
+            yield from self._whole(texts.to_pylist())
             return
-        cut = pc.replace_substring_regex(pa.array(texts, pa.large_string()), _SPACE, _CUT + r"\0")
+        cut = pc.replace_substring_regex(texts, _SPACE, _CUT + r"\0")
         pieces = pc.split_pattern(pc.replace_substring_regex(cut, _TAIL, r"\1" + _CUT + r"\2"), _CUT)
         words = pieces.values.dictionary_encode()
         ids = pa.array(self._words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +32,25 @@ def cut_pieces(
     if capacity < 1:
         raise ValueError("a sequence must hold at least one token")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         end = np.array([end_id], "<u4")
-        for frame in frames:
-            keys, rows = frame[key], []
-            for n, found in enumerate(encoder.encode(frame["_text"].tolist())):
+        for batch in batches:
+            rows = []
+            for n, found in enumerate(encoder.encode(batch.column(1))):
                 ids = np.concatenate([found.astype("<u4"), end])
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((n, piece, at, len(part), zlib.crc32(part.tobytes())))
-            out = pd.DataFrame(rows, columns=["_row", "piece", "start", "length", "ids_crc32"])
-            out.insert(0, key, keys.take(out.pop("_row")).reset_index(drop=True))
-            yield out
+            row, *numbers = zip(*rows, strict=True) if rows else [()] * 5
+            keys = batch.column(0).take(pa.array(row, pa.int64()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [keys, *(pa.array(c, k) for c, k in zip(numbers, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32"])
 
-    slim = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    slim = docs.select(key, F.col(text).alias("_text"))
     kind = docs.schema[key].dataType.simpleString()
-    return slim.mapInPandas(cut, f"`{key}` {kind}, {_PIECES}")
+    return slim.mapInArrow(cut, f"`{key}` {kind}, {_PIECES}")
 
 
 def _grouped(lengths: np.ndarray, counts: np.ndarray, groups: int) -> tuple[list[int], list[int]]:

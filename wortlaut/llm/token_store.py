@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,11 @@ MAGIC = b"WLTOKENS"
 #: A shard is closed once it has so many ids.
 SHARD_IDS = 16_000_000
 _READ_AT_ONCE = 4_000_000
-_MANIFEST = "task int, shard int, path string, docs long, ids long, first_key long, last_key long"
+_MANIFEST = (
+    ("task", "int"), ("shard", "int"), ("path", "string"), ("docs", "long"), ("ids", "long"), ("first_key", "long"),
+    ("last_key", "long"),
+)
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -133,23 +138,23 @@ class TokenStore:
         spark = docs.sparkSession
         _make_folder(spark, folder)
 
-        def write_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder, task, shard = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
             dtype = encoder.dtype if end_id < 1 << 8 * encoder.dtype.itemsize else np.dtype("<u4")
             end, keys, ids, size = np.array([end_id], dtype), [], [], 0
 
-            def flush() -> pd.DataFrame:
+            def flush() -> pa.RecordBatch:
                 path = f"{folder.rstrip('/')}/{task:06d}-{shard:06d}-{uuid.uuid4().hex}.tok"
                 system, name = _open(path)
                 with system.open_output_stream(name) as out:
                     out.write(shard_bytes(keys, ids, dtype.itemsize))
                 known = [k for k in keys if k is not None]
                 line = (task, shard, path, len(keys), size, min(known, default=None), max(known, default=None))
-                return pd.DataFrame([line], columns=[c.split()[0] for c in _MANIFEST.split(", ")])
+                columns = [pa.array([x], _ARROW[kind]) for x, (_, kind) in zip(line, _MANIFEST, strict=True)]
+                return pa.RecordBatch.from_arrays(columns, [name for name, _ in _MANIFEST])
 
-            for frame in frames:
-                own = [None if k is None else int(k) for k in frame["key"].astype(object).where(frame["key"].notna(), None)]
-                for k, found in zip(own, encoder.encode(frame["text"].tolist()), strict=True):
+            for batch in batches:
+                for k, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                     keys.append(k)
                     ids.append(np.concatenate([found.astype(dtype, copy=False), end]))
                     size += len(ids[-1])
@@ -161,7 +166,8 @@ class TokenStore:
 
         order = F.col("key").asc_nulls_first()
         rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        lines = rows.repartitionByRange(order).sortWithinPartitions(order, "text").mapInPandas(write_shards, _MANIFEST)
+        schema = ", ".join(map(" ".join, _MANIFEST))
+        lines = rows.repartitionByRange(order).sortWithinPartitions(order, "text").mapInArrow(write_shards, schema)
         before = Window.orderBy("task", "shard").rowsBetween(Window.unboundedPreceding, -1)
         start = F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start")
         return cls(checkpointed(lines).select("*", start))
