@@ -22,7 +22,7 @@ from wortlaut.llm.shared import checkpointed
 
 MAGIC = b"WLTOKENS"
 #: A shard is closed once it has so many ids.
-SHARD_IDS = 16_000_000
+SHARD_IDS = 8_000_000
 _READ_AT_ONCE = 4_000_000
 _MANIFEST = (
     ("task", "int"), ("shard", "int"), ("path", "string"), ("docs", "long"), ("ids", "long"), ("first_key", "long"),
@@ -183,7 +183,8 @@ class TokenStore:
                     yield from _documents(shard, int(start))
                     shard.close()
 
-        lines = self.manifest.select("path", "start").repartition("path")
+        # as many tasks as shards: the lines are short, the payloads behind them are not
+        lines = self.manifest.select("path", "start").repartition(max(1, self.manifest.count()), "path")
         return lines.mapInPandas(read, "key long, start long, n_tokens long, ids_crc32 long")
 
     def fetch(self, keys: DataFrame, key: str = "doc_id") -> DataFrame:
