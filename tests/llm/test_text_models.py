@@ -311,3 +311,10 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert sum("random:" in got[2000 + i] for i in range(100)) >= 98
     assert sum("random:" in got[1000 + i] for i in range(100)) <= 2
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_native_operators_run_no_python(labelled_corpus):
+    docs, labels = labelled_corpus
+    for df in (pii.candidates(docs), pii.find_personal_data(docs), apply_rules(docs, labels)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
