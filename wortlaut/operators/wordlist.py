@@ -6,8 +6,6 @@ itself; both sides are distinct words, so no key repeats.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +28,52 @@ def usable_lemma(lemma: Column) -> Column:
     return is_letters_or_hyphens(lemma) & ~lemma.startswith("-")
 
 
-def _known(candidates: DataFrame, lemmas: DataFrame, column: str, how: str) -> DataFrame:
-    return candidates.join(lemmas.select(F.col("lemma").alias(column)), column, how)
+def _ss(lemma: Column) -> Column:
+    return F.when(F.contains(lemma, F.lit("ß")), F.replace(lemma, F.lit("ß"), F.lit("ss")))
+
+
+def _ph(lemma: Column) -> Column:
+    neu = F.replace(F.replace(lemma, F.lit("Ph"), F.lit("F")), F.lit("ph"), F.lit("f"))
+    return F.when(F.contains(F.lower(lemma), F.lit("ph")), neu)
+
+
+def _two_of_three(lemma: Column) -> Column:
+    place = F.regexp_instr(lemma, F.lit(f"(?i)([{TRIPLE_CONSONANTS}])\\1\\1"))
+    short = F.concat(F.substring(lemma, F.lit(1), place - 1), F.substring(lemma, place + 1, F.length(lemma)))
+    return F.when(place > 0, short)
+
 
+def _candidates(lemmas: DataFrame, exclude: tuple[str, ...], *sources: int) -> DataFrame:
+    """(source, alt, neu, other): what the rules make of each lemma, which counts when ``other`` is a lemma too.
 
-def _sharp_s(lemmas: DataFrame) -> DataFrame:
-    rewritten = lemmas.filter(F.contains("lemma", F.lit("ß")))
-    return rewritten.withColumn("neu", F.replace("lemma", F.lit("ß"), F.lit("ss")))
+    One pass over the lemmas serves all rules; filters of single rules would have the list made once for each.
+    """
+    lemma = F.col("lemma")
+    allowed = ~lemma.isin(*exclude) if exclude else F.lit(True)
+
+    def made(source: int, other: Column, short_first: bool = False) -> Column:
+        alt, neu = (other, lemma) if short_first else (lemma, other)
+        made_of = F.struct(F.lit(source).alias("source"), alt.alias("alt"), neu.alias("neu"), other.alias("other"))
+        return F.when(other.isNotNull() & (F.lit(True) if short_first else allowed), made_of)
+
+    rules = {SS: made(SS, _ss(lemma)), PH: made(PH, _ph(lemma)), TRIPLE: made(TRIPLE, _two_of_three(lemma), True)}
+    return lemmas.select(F.explode(F.array_compact(F.array(*(rules[s] for s in sources)))).alias("c")).select("c.*")
+
+
+def _known(candidates: DataFrame, lemmas: DataFrame, how: str) -> DataFrame:
+    return candidates.join(lemmas.select(F.col("lemma").alias("other")), "other", how)
 
 
 def ss_pairs(lemmas: DataFrame, exclude: tuple[str, ...] = EXCLUDED_LEMMAS) -> DataFrame:
     """ß lemmas whose ss form is a lemma as well."""
-    candidates = _sharp_s(lemmas).filter(~F.col("lemma").isin(*exclude))
-    return _known(candidates, lemmas, "neu", "left_semi").select(F.col("lemma").alias("alt"), "neu")
+    return _known(_candidates(lemmas, exclude, SS), lemmas, "left_semi").select("alt", "neu")
 
 
 def ss_whitelist(lemmas: DataFrame, exclude: tuple[str, ...] = EXCLUDED_LEMMAS) -> DataFrame:
     """ß lemmas that are right as they are: no ss form, or excluded from the pairs."""
-    sharp = _sharp_s(lemmas)
-    excluded = F.col("lemma").isin(*exclude)
-    alone = _known(sharp.filter(~excluded), lemmas, "neu", "left_anti").select("lemma")
-    return alone.unionByName(sharp.filter(excluded).select("lemma")).withColumnRenamed("lemma", "wort")
+    known = lemmas.select(F.col("lemma").alias("other"), F.lit(True).alias("_known"))
+    asked = _candidates(lemmas, (), SS).join(known, "other", "left")
+    return asked.filter(F.col("_known").isNull() | F.col("alt").isin(*exclude)).select(F.col("alt").alias("wort"))
 
 
 def ph_pairs(lemmas: DataFrame, exclude: tuple[str, ...] = EXCLUDED_LEMMAS, keep_identity: bool = True) -> DataFrame:
@@ -58,29 +81,19 @@ def ph_pairs(lemmas: DataFrame, exclude: tuple[str, ...] = EXCLUDED_LEMMAS, keep
 
     A word with only ``pH`` or ``PH`` stays as it is and so pairs with itself; ``keep_identity=False`` drops those.
     """
-    neu = F.replace(F.replace("lemma", F.lit("Ph"), F.lit("F")), F.lit("ph"), F.lit("f"))
-    candidates = lemmas.filter(F.contains(F.lower("lemma"), F.lit("ph")) & ~F.col("lemma").isin(*exclude))
-    pairs = _known(candidates.withColumn("neu", neu), lemmas, "neu", "left_semi")
-    if not keep_identity:
-        pairs = pairs.filter(F.col("neu") != F.col("lemma"))
-    return pairs.select(F.col("lemma").alias("alt"), "neu")
+    pairs = _known(_candidates(lemmas, exclude, PH), lemmas, "left_semi").select("alt", "neu")
+    return pairs if keep_identity else pairs.filter(F.col("neu") != F.col("alt"))
 
 
 def triple_pairs(lemmas: DataFrame) -> DataFrame:
     """(short form, lemma) for lemmas with three equal consonants in a row whose form with two is a lemma too."""
-    place = F.regexp_instr("lemma", F.lit(f"(?i)([{TRIPLE_CONSONANTS}])\\1\\1"))
-    located = lemmas.withColumn("place", place).filter(F.col("place") > 0)
-    short = F.concat(
-        F.substring("lemma", F.lit(1), F.col("place") - 1), F.substring("lemma", F.col("place") + 1, F.length("lemma"))
-    )
-    candidates = located.withColumn("alt", short).select("alt", F.col("lemma").alias("neu"))
-    return _known(candidates, lemmas, "alt", "left_semi").select("alt", "neu").distinct()
+    return _known(_candidates(lemmas, (), TRIPLE), lemmas, "left_semi").select("alt", "neu")
 
 
 def rule_pairs(lemmas: DataFrame) -> DataFrame:
     """Pairs of the three rules with the rule's ordinal."""
-    rules = ((ss_pairs, SS), (ph_pairs, PH), (triple_pairs, TRIPLE))
-    return reduce(DataFrame.unionByName, (rule(lemmas).withColumn("source", F.lit(n)) for rule, n in rules))
+    every = _candidates(lemmas, EXCLUDED_LEMMAS, SS, PH, TRIPLE)
+    return _known(every, lemmas, "left_semi").select("alt", "neu", "source")
 
 
 def with_supplement(pairs: DataFrame, supplement: DataFrame) -> DataFrame:

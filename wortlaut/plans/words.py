@@ -54,10 +54,10 @@ def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supplement(lemmas: DataFrame) -> DataFrame:
-    nine = lemmas.filter(F.length("lemma") == 9)
-    own = nine.select(F.col("lemma").alias("alt"), F.concat("lemma", F.lit("-neu")).alias("neu"), F.lit(1).alias("ord"))
-    river = lemmas.filter("lemma = 'Fluß'")
-    return own.unionByName(river.select(F.lit(" Fluß").alias("alt"), F.lit("Strom ").alias("neu"), F.lit(2).alias("ord")))
+    own = F.struct(F.col("lemma").alias("alt"), F.concat("lemma", F.lit("-neu")).alias("neu"), F.lit(1).alias("ord"))
+    river = F.struct(F.lit(" Fluß").alias("alt"), F.lit("Strom ").alias("neu"), F.lit(2).alias("ord"))
+    both = F.array(F.when(F.length("lemma") == 9, own), F.when(F.col("lemma") == "Fluß", river))
+    return lemmas.select(F.explode(F.array_compact(both)).alias("s")).select("s.*")
 
 
 @registry.add("a12_lemmas", f"{_WORDS_SQL} SELECT lemma FROM lem")
