@@ -194,3 +194,11 @@ def test_values_kept_per_partition_are_the_first(monkeypatch):
         for path in "ab":
             assert first(kept, path) == first(table, path)
         assert len(kept) < len(table)
+
+
+def test_sample_limits_are_parameters(make_corpus):
+    nodes = make_corpus({"a.xml": "<r>" + "".join(f'<s v="{i}">text {i} long</s>' for i in range(9)) + "</r>"}).nodes
+    rows = structure.samples(nodes, max_values=3, max_texts=4, max_length=6).filter("kind <> 'tag'").collect()
+    assert {r["kind"]: r["values"] for r in rows} == {
+        "attr": ["0", "1", "2"], "text_content": ["text 0", "text 1", "text 2", "text 3"],
+    }

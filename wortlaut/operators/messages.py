@@ -270,6 +270,7 @@ def image_intake(
         .when(name.endswith(".jpg") | name.endswith(".jpeg"), "image/jpeg")
         .otherwise("image/png")
     )
+    # the German texts here and in context_parts are fixed values
     too_large = F.col("size") > most_bytes
     megabytes = F.bround(F.col("size") / (1024 * 1024), 1)
     error = F.when(

@@ -16,7 +16,7 @@ from wortlaut.functions.ordering import document_position
 from wortlaut.functions.paths import parent, prefixes, suffix_predicate
 from wortlaut.functions.text import is_blank, strip
 
-# How many samples are kept and shown.
+# How many samples are kept and shown (limits of the feature; ``samples`` takes others).
 MAX_TEXTS = 5
 MAX_ATTR_VALUES = 20
 MAX_TEXT_LENGTH = 120
@@ -28,11 +28,14 @@ ABSENT = "..."
 TAG, ATTR, TEXT = "tag", "attr", "text_content"
 
 
-def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
+def samples(
+    nodes: DataFrame, *kinds: str, max_values: int = MAX_ATTR_VALUES, max_texts: int = MAX_TEXTS, max_length: int = MAX_TEXT_LENGTH
+) -> DataFrame:
     """What occurs at each path, in one pass over the nodes: ``(path, kind, name, values, first_seen)``.
 
-    Kind ``tag`` says that the path occurs, ``attr`` holds the first 20 distinct values of an attribute local name,
-    ``text_content`` the first 5 distinct direct texts, stripped and cut.  First means by document, then by place.
+    Kind ``tag`` says that the path occurs, ``attr`` holds the first ``max_values`` distinct values of an attribute local
+    name, ``text_content`` the first ``max_texts`` distinct direct texts, stripped and cut to ``max_length``.  First means by
+    document, then by place.
     """
     kinds = kinds or (TAG, ATTR, TEXT)
 
@@ -46,7 +49,7 @@ def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
     if ATTR in kinds:
         facts.append(F.transform("attrs", lambda a, i: fact(ATTR, a["local"], a["value"], i)))
     if TEXT in kinds:
-        example = F.substring(strip(F.col("text")), 1, MAX_TEXT_LENGTH)
+        example = F.substring(strip(F.col("text")), 1, max_length)
         facts.append(F.array(F.when(~is_blank(F.col("text")), fact(TEXT, none, example, F.lit(0)))))
     every = F.concat(*(F.coalesce(f, F.array()) for f in facts))
     rows = nodes.select("path", "doc_ord", "node_id", F.explode_outer(every).alias("f")).filter(F.col("f").isNotNull())
@@ -55,11 +58,11 @@ def samples(nodes: DataFrame, *kinds: str) -> DataFrame:
     )
     keys = ("path", "kind", "name")
     # Per partition only the first values of each path can be among the first of all, so only those are shuffled.
-    early = rows.mapInPandas(_first_values, rows.schema)
+    most = max(max_values, max_texts)
+    early = rows.mapInPandas(lambda frames: _first_values(frames, most), rows.schema)
     seen = early.groupBy(*keys, "value").agg(F.min(F.struct("doc_ord", "place")).alias("at"))
     rank = Window.partitionBy(*keys).orderBy("at", "value")
-    kept = seen.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= MAX_ATTR_VALUES)
-    kept = kept.filter((F.col("kind") != TEXT) | (F.col("rank") <= MAX_TEXTS))
+    kept = seen.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= F.when(F.col("kind") == TEXT, max_texts).otherwise(max_values))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
     return kept.groupBy(*keys).agg(F.transform(ordered, lambda v: v["value"]).alias("values"), F.min("at").alias("first_seen"))
 
@@ -68,7 +71,7 @@ _MERGE_ROWS = 100_000
 _EMIT_ROWS = 1_000_000
 
 
-def _first_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_values(frames: Iterator[pd.DataFrame], most: int = MAX_ATTR_VALUES) -> Iterator[pd.DataFrame]:
     """The first values of each (path, kind, name) in one partition, at most as many as a sample holds.
 
     Built-in aggregates would carry every distinct value to the shuffle.  What is kept here grows with the number of
@@ -80,7 +83,7 @@ def _first_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def merge() -> pd.DataFrame:
         rows = pd.concat(pending, ignore_index=True).sort_values(["doc_ord", "place"])
         rows = rows.drop_duplicates(["path", "kind", "name", "value"])
-        return rows.groupby(["path", "kind", "name"], sort=False).head(MAX_ATTR_VALUES)
+        return rows.groupby(["path", "kind", "name"], sort=False).head(most)
 
     for frame in frames:
         pending.append(frame)

@@ -1,6 +1,7 @@
 """Uniqueness checks; the scope is always one document.
 
-Lists of lines are collected per (document, value), so no list can outgrow the document it describes.
+Lists of lines are collected per (document, value), so no list can outgrow the document it describes.  The German texts of
+the results are fixed values.
 """
 
 from __future__ import annotations
