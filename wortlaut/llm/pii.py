@@ -243,7 +243,8 @@ def find_personal_data(
         )
         models = []
         for base in known:
-            rows = sorted(((r.features.asDict(), r[base], r["all"] - r[base]) for r in counted), key=lambda r: tuple(r[0].values()))
+            rows = [(r.features.asDict(), r[base], r["all"] - r[base]) for r in counted]
+            rows.sort(key=lambda r: tuple(r[0].values()))
             model = BoostedTrees.fit(rows)
             models.append((model, _threshold(model, rows, recall, least)))
         taken = taken.withColumn(kind, F.filter(kind, _chosen(models)))

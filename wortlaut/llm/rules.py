@@ -110,7 +110,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DecisionList:
+def fit_rules(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text"
+) -> DecisionList:
     """Learn from the statistics of at most ``sample`` labelled documents; the driver gets a few numbers of each."""
     columns = features()
     rows = with_stats(labelled(docs.select(key, text), labels, sample, key), text)

@@ -25,9 +25,8 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     ``_words`` is kept for further statistics; drop it in the end.
     """
     lines = F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
-    same = F.size(
-        F.filter(F.sequence(F.lit(1), F.col("n_words").cast("int") - 1), lambda i: F.get("_words", i) == F.get("_words", i - 1))
-    )
+    places = F.sequence(F.lit(1), F.col("n_words").cast("int") - 1)
+    same = F.size(F.filter(places, lambda i: F.get("_words", i) == F.get("_words", i - 1)))
     return (
         docs.withColumn("_text", text_of(text))
         .withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
