@@ -41,6 +41,9 @@ def held_out(column: str = "doc_id", folds: int = 5) -> Column:
 
 
 def salt_of(column: str = "doc_id", salts: int = SALTS) -> Column:
+    """The part of its group that a row belongs to."""
+    if not 1 <= salts <= 63:  # they are bits of a long
+        raise ValueError("1 to 63 salts")
     return F.pmod(F.xxhash64(F.col(column)), F.lit(salts)).cast("int")
 
 
