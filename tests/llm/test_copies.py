@@ -51,6 +51,29 @@ def test_dropping_keeps_columns_and_rows_without_a_key(spark):
     assert keys == [-1, -1, 2, 2, 3, 4, 5, 7, 9, 10, 12]
 
 
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_a_key_that_is_not_unique_keeps_its_other_texts(spark):
+    rows = [(5, "a"), (5, "b"), (9, "a"), (7, "c"), (7, "c"), (7, "C"), (3, "c"), (None, "d"), (None, "d"), (None, "a")]
+    docs = table(spark, rows)
+    without = [(None, "a"), (None, "d"), (None, "d")]
+    assert kept_rows(drop_copies(docs)) == sorted([(5, "b"), (7, "C"), (7, "c"), (7, "c"), (9, "a"), *without], key=repr)
+    once = kept_rows(drop_copies(docs, repeats=False))
+    assert [(k, t.lower()) for k, t in once] == sorted([(5, "b"), (7, "c"), (9, "a"), *without], key=repr)
+    assert drop_copies(docs, repeats=False).columns == docs.columns
+
+
+def test_near_copies_of_a_key_that_is_not_unique(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(2000)) for x in "abc")
+    near = a.replace("a1000 ", "z ")
+    assert 0 < (plain_print(a) ^ plain_print(near)).bit_count() <= 3
+    rows = [(1, a), (5, a), (5, b), (6, b), (2, c), (2, c), (8, near), (1, near), (None, c), (None, c)]
+    got = kept_rows(drop_near_copies(table(spark, rows)))
+    assert [(k, t[0]) for k, t in got] == sorted([(1, "a"), (2, "c"), (5, "b"), (None, "c"), (None, "c")], key=repr)
+
+
 def test_a_hot_text_meets_in_several_tasks(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) AS text").repartition(7)
     hot = [r for r in mark_copies(docs).collect() if r.group_size == 1000]

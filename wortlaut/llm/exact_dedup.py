@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wortlaut.llm.shared import SALTS, ascii_lower, checkpointed, give_back, salt_mask, salt_of, text_of
+from wortlaut.llm.shared import SALTS, ascii_lower, checkpointed, give_back, keep_decided, salt_mask, salt_of, text_of
 
 
 def mark_copies(
@@ -68,7 +68,14 @@ def mark_copies(
     )
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.  Documents without a key are never dropped."""
-    dropped = mark_copies(docs, key, text).filter(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    return docs.join(dropped, key, "left_anti")
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
+    """The documents that stay, with all their columns.  Documents without a key are never dropped.
+
+    A row is dropped for its own key and text: where a key is not unique, its other texts are decided on their own.
+    Rows that repeat both key and text of one that stays, stay too; ``repeats=False`` leaves any one of them.
+    """
+    digest = F.unhex("text_sha256")
+    decided = mark_copies(docs, key, text).select(
+        F.col(key).alias("_key"), digest.alias("_digest"), digest.alias("_group"), F.col("kept").alias("_kept")
+    )
+    return keep_decided(docs, decided, key, F.unhex(F.sha2(ascii_lower(text_of(text)), 256)), repeats)

@@ -62,6 +62,29 @@ def give_back(rows: DataFrame, groups: DataFrame, key: str, salts: int = SALTS)
     return rows.join(lines, [key, "salt"]).drop("salt")
 
 
+def keep_decided(docs: DataFrame, decided: DataFrame, key: str, digest: Column, repeats: bool = False) -> DataFrame:
+    """The documents that stay, with all their columns, by the decisions in ``decided``: one line per document with
+    ``_key``, ``_digest`` (of its text), ``_group`` and ``_kept``.
+
+    A decision holds for the rows of its key and digest, so a key that is not unique keeps its other texts.  Without
+    ``repeats``, one row stays of those with the key that won a group: the smallest digest, and any one of the rows
+    that repeat it.  Documents without a key are never dropped.
+    """
+    decided = checkpointed(decided.filter(F.col("_key").isNotNull()))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_key"), digest.alias("_digest"))
+    dropped, kept = decided.filter(~F.col("_kept")).select("_key", "_digest"), decided.filter("_kept")
+    if repeats or kept.groupBy("_key").count().filter("count > 1").isEmpty():
+        return rows.join(dropped.distinct(), ["_key", "_digest"], "left_anti").select("_doc.*")
+    counted = kept.groupBy("_group", "_key", "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    first = counted.groupBy("_group", "_key").agg(F.min(F.struct("_digest", "_n")).alias("_first"))
+    others = counted.join(first, ["_group", "_key"]).filter("_digest != _first._digest").select("_key", "_digest")
+    twins = checkpointed(first.filter("_first._n > 1").select("_key", "_first._digest"))
+    rest = rows.join(dropped.unionByName(others).distinct(), ["_key", "_digest"], "left_anti")
+    single = rest.join(twins, ["_key", "_digest"], "left_anti")
+    one = rows.join(twins, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"])
+    return single.unionByName(one).select("_doc.*")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; a new temporary one only in a local session where none is set."""
     context = spark.sparkContext

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wortlaut.llm.components import connected
 from wortlaut.llm.golay import nearby, nearest
-from wortlaut.llm.shared import SALTS, checkpointed, give_back, salt_mask, salt_of, text_of
+from wortlaut.llm.shared import SALTS, checkpointed, give_back, keep_decided, salt_mask, salt_of, text_of
 
 #: Lowest bit and width of the three segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -157,9 +157,17 @@ def near_groups(
     fingerprint zero and are linked like any others.  A null key takes part and gets its component's smallest key
     (null when there is no other).  Repeated rows get equal results.  An empty table gives an empty result.
     """
+    return _grouped(docs, key, text, salts).select(
+        F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, key: str, text: str, salts: int, *more: Column) -> DataFrame:
+    """Per document: ``doc_id``, ``print``, ``root`` (the fingerprint its group is known by), ``component_id`` and the
+    columns in ``more``."""
     mark = F.pandas_udf(fingerprints, "long")
     rows = checkpointed(
-        docs.select(F.col(key).alias("doc_id"), mark(text_of(text)).alias("print"))
+        docs.select(F.col(key).alias("doc_id"), mark(text_of(text)).alias("print"), *more)
         .withColumn("salt", salt_of("doc_id", salts))
     )
     nodes = checkpointed(rows.groupBy("print").agg(F.min("doc_id").alias("least"), salt_mask().alias("mask")))
@@ -168,14 +176,21 @@ def near_groups(
         "root", F.coalesce("root", "print")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.join(ids, "root").select("print", "mask", "component_id")
-    return give_back(rows, groups, "print", salts).select(
-        F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    groups = rooted.join(ids, "root").select("print", "mask", "root", "component_id")
+    return give_back(rows, groups, "print", salts)
+
 
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """One document with the smallest key of each group, with all its columns.  Documents without a key stay.
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest key of each group, with all its columns.  Documents without a key stay."""
-    grouped = near_groups(docs, key, text)
-    dropped = grouped.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(dropped, key, "left_anti")
+    A row is dropped for its own key and text: where a key is not unique, its texts in other groups are decided on
+    their own.  Of rows in one group that repeat its smallest key, one stays, whatever their texts.
+    """
+    digest = F.unhex(F.sha2(text_of(text), 256))
+    decided = _grouped(docs, key, text, salts, digest.alias("_digest")).select(
+        F.col("doc_id").alias("_key"),
+        "_digest",
+        F.col("root").alias("_group"),
+        (F.col("doc_id") == F.col("component_id")).alias("_kept"),
+    )
+    return keep_decided(docs, decided, key, digest)
