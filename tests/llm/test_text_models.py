@@ -245,6 +245,30 @@ def test_candidates_that_look_like_known_data_are_added(spark):
     assert all(r.spans == "" for k, r in got.items() if k >= 1000)
 
 
+def test_adjacent_numbers_are_proposed_apart(spark):
+    rng = random.Random(8)
+    texts = ["10.0.0.1 4111111111111112", "555-123-4567 555-987-6543", "x 4111 1111 1111 1112 10.0.0.1 (030) 5551-2345.", "12345678", ""]
+    numbers = ["".join(rng.choices(string.digits, k=16)) for _ in range(400)]
+    rows = list(enumerate(texts)) + [(10 + i, f"{prose(rng, 10)} {x} {prose(rng, 5)}") for i, x in enumerate(numbers)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    proposed = {
+        r.doc_id: [texts[r.doc_id][c.start : c.end] for c in r.number]
+        for r in pii.candidates(docs).filter("doc_id < 10").collect()
+    }
+    assert proposed == {
+        0: [texts[0], "4111111111111112"],
+        1: [texts[1], "555-123-4567", "555-987-6543"],
+        2: [texts[2][2:-1], "5551-2345", "4111 1111 1111 1112", "(030) 5551-2345"],
+        3: ["12345678"],
+        4: [],
+    }
+    got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert got[0].n_ip == 1 and got[0].spans == "ip:0:8,number:9:25"
+    for r in got.values():
+        places = sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("number"))
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+
+
 def test_redaction_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "to a.b@c.de, or 1.2.3.4!", "x"), (2, "nothing", "y"), (3, None, "z")], "doc_id long, text string, spans string")
     hidden = {r.doc_id: r for r in pii.redact(docs).collect()}

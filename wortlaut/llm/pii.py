@@ -169,9 +169,54 @@ def _touches(a: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
 
 
+def _slices(run: Column, spans: Column) -> Column:
+    """Candidates inside a run of digits: what stands between blanks, and what is left between the base spans.  Those
+    that touch a base span, and the run itself, are left out."""
+    value, start, end = run["value"], run["start"], run["end"]
+    upto = lambda i: start + F.char_length(F.call_function("substring_index", value, F.lit(" "), i))
+    between = F.transform(
+        F.sequence(F.lit(1), F.size(F.split(value, " "))),
+        lambda i: F.struct(F.when(i == 1, start).otherwise(upto(i - 1) + 1).alias("start"), upto(i).alias("end")),
+    )
+    near = F.filter(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+    open_at = F.filter(
+        F.concat(F.array(start), F.transform(near, lambda s: s["end"])),
+        lambda p: (p < end) & ~F.exists(near, lambda s: (s["start"] <= p) & (p < s["end"])),
+    )
+    after = lambda p: F.transform(F.filter(near, lambda s: s["start"] >= p), lambda s: s["start"])
+    left = F.transform(
+        open_at, lambda p: F.struct(p.alias("start"), F.least(end, F.coalesce(F.array_min(after(p)), end)).alias("end"))
+    )
+
+    def trimmed(s: Column) -> Column:
+        part = F.substring(value, s["start"] - start + 1, s["end"] - s["start"])
+        number = F.regexp_extract(part, LOOSE_NUMBER, 0)
+        first = s["start"] + F.call_function("instr", part, number) - 1
+        return F.when(number != "", F.struct(first.alias("start"), (first + F.char_length(number)).alias("end")))
+
+    found = F.transform(F.concat(between, left), trimmed)
+    found = F.filter(found, lambda s: s.isNotNull() & ((s["start"] > start) | (s["end"] < end)) & ~_touches(s, near))
+    places = F.array_distinct(F.transform(found, lambda s: s["start"].cast("long") * (1 << 31) + s["end"]))
+
+    def spoken(place: Column) -> Column:
+        a, b = F.floor(place / (1 << 31)).cast("int"), (place % (1 << 31)).cast("int")
+        return F.struct(
+            a.alias("start"),
+            b.alias("end"),
+            F.substring(value, a - start + 1, b - a).alias("value"),
+            F.right(F.concat(run["before"], F.left(value, a - start)), F.lit(32)).alias("before"),
+            F.left(F.concat(F.substring(value, b - start + 1, end - b), run["after"]), F.lit(32)).alias("after"),
+        )
+
+    some = F.contains(value, F.lit(" ")) | (F.size(near) > 0)
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    return F.when(some, F.transform(places, spoken)).otherwise(none)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id``, an array of valid base spans per kind, and ``mail`` and ``number``: loose candidates
-    with their ``features`` and the base kinds they touch (``email`` … ``phone``).  Loose and base spans may overlap."""
+    with their ``features`` and the base kinds they touch (``email`` … ``phone``).  Loose and base spans may overlap, and
+    so may loose numbers: a run of digits is proposed whole, and by its parts between blanks and between base spans."""
     rows = docs.select(F.col(key).alias("doc_id"), without_marks(text_of(text)).alias("_text"))
     rows = rows.withColumn("_some_digit", F.regexp_like("_text", F.lit("[0-9]")))
     for kind, (pattern, sign, _) in _BASE.items():
@@ -182,6 +227,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     for kind, (_, _, valid) in _BASE.items():
         rows = rows.withColumn(kind, F.filter(kind, _fulfils(valid)))
         rows = rows.withColumn(kind, F.transform(kind, lambda s: F.struct(s["start"], s["end"])))
+    rows = rows.withColumn("_base", F.concat(*KINDS))
+    parts = F.flatten(F.transform("number", lambda r: _slices(r, F.col("_base"))))
+    rows = rows.withColumn("number", F.concat("number", parts)).drop("_base")
     for kind in LOOSE:
         rows = rows.withColumn(
             kind,
@@ -207,13 +255,30 @@ def _threshold(model: BoostedTrees, rows: list[tuple[dict, int, int]], recall: f
     return math.inf
 
 
-def _chosen(models: list[tuple[BoostedTrees, float]]) -> Callable[[Column], Column]:
-    def chosen(s: Column) -> Column:
-        free = reduce(lambda a, k: a & ~s[k], KINDS, F.lit(True))
-        likely = [m.expression(s["features"]) >= t for m, t in models if math.isfinite(t)]
-        return free & reduce(lambda a, x: a | x, likely, F.lit(False))
+def _chosen(found: Column, models: list[tuple[BoostedTrees, float]]) -> Column:
+    """The candidates that reach a threshold and touch no base span; of those that overlap, the one with the highest
+    score, then the longest, then the first.  In order of place."""
+    finite = [(m, t) for m, t in models if math.isfinite(t)]
+    if not finite:
+        return F.filter(found, lambda s: F.lit(False))
+    free = F.filter(found, lambda s: reduce(lambda a, k: a & ~s[k], KINDS, F.lit(True)))
+
+    def ranked(s: Column) -> Column:
+        scores = [m.expression(s["features"]) for m, _ in finite]
+        likely = reduce(lambda a, x: a | x, [x >= t for x, (_, t) in zip(scores, finite, strict=True)])
+        best = F.array_max(F.array(*scores))
+        return F.when(
+            likely, F.struct((-best).alias("rank"), (s["start"] - s["end"]).alias("size"), s["start"], s["end"])
+        )
 
-    return chosen
+    likely = F.array_sort(F.filter(F.transform(free, ranked), lambda s: s.isNotNull()))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    taken = F.aggregate(
+        likely,
+        none,
+        lambda acc, s: F.when(_touches(s, acc), acc).otherwise(F.concat(acc, F.array(F.struct(s["start"], s["end"])))),
+    )
+    return F.array_sort(taken)
 
 
 def find_personal_data(
@@ -227,7 +292,8 @@ def find_personal_data(
     (their number is bounded by the features' ranges).  Checksums are not among the features, so what looks just like
     known personal data gets its score.  The threshold of a kind is the score that ``recall`` of the known ones reach,
     and a probability of ``least`` at the lowest.  Candidates from there on that touch no base span are added, as
-    ``mail``, and as ``number`` where they touch no added ``mail``.
+    ``mail``, and as ``number`` where they touch no added ``mail``; of those that overlap each other, the one with the
+    highest score.
 
     Null texts are empty; a null key and repeated rows are searched like others; an empty table gives an empty result.
     """
@@ -247,7 +313,7 @@ def find_personal_data(
             rows.sort(key=lambda r: tuple(r[0].values()))
             model = BoostedTrees.fit(rows)
             models.append((model, _threshold(model, rows, recall, least)))
-        taken = taken.withColumn(kind, F.filter(kind, _chosen(models)))
+        taken = taken.withColumn(kind, _chosen(F.col(kind), models))
     taken = taken.withColumn("number", F.filter("number", lambda s: ~_touches(s, F.col("mail"))))
     joined = lambda kinds: F.array_join(F.concat(*(spelled(F.col(k), k) for k in kinds)), ",")
     return taken.select(
