@@ -337,6 +337,21 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_short_random_strings_are_found(spark):
+    rng = random.Random(13)
+    rows = [(i, f'{prose(rng, 60)} token = "{random_string(rng, "0123456789abcdef", 40)}"') for i in range(300)]
+    alphabet = string.ascii_letters + string.digits
+    for i, plain in enumerate(["bonidomaru", "Camel.Case", "bade_domaruno", "rimosatebadu"] * 100):
+        rows.append((1000 + i, f"{prose(rng, 20)} {plain} {prose(rng, 20)}"))
+        rows.append((2000 + i, f"{prose(rng, 20)} {random_string(rng, alphabet, 10 + i % 6)} x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert sum("random:" in got[2000 + i] for i in range(400)) >= 360
+    assert sum("random:" in got[1000 + i] for i in range(400)) <= 4
+    longer = {r.doc_id: r.spans for r in secrets.find_secrets(docs, least=16).collect()}
+    assert not any("random:" in x for x in longer.values())
+
+
 def test_native_operators_run_no_python(labelled_corpus):
     docs, labels = labelled_corpus
     for df in (pii.candidates(docs), pii.find_personal_data(docs), apply_rules(docs, labels)):

@@ -40,6 +40,8 @@ for _i, _c in enumerate(ALPHABET):
 #: Log-likelihood ratio (nats) from which a token is taken for random, and the share of the random model that is
 #: uniform, for alphabets that the labelled samples lack.
 RATIO, UNIFORM = 12.0, 0.5
+#: The least length of a token that the ratio decides on.
+LEAST_RANDOM = 10
 #: As many pairs' worth do single characters count beside the pairs seen after one.
 PRIOR = 20.0
 
@@ -77,10 +79,10 @@ def _outside(text: str, pattern: re.Pattern, spans: list[tuple[int, int, int, st
             yield m
 
 
-def pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def pair_counts(frames: Iterator[pd.DataFrame], least: int = LEAST_RANDOM) -> Iterator[pd.DataFrame]:
     """Character pairs of this task's labelled samples: the values of base spans are secret (1), the identifiers of six
-    and more characters outside of them ordinary (0), unless a long one changes between letters, digits and signs as often
-    as secrets do."""
+    and more characters outside of them ordinary (0), unless one of ``least`` characters or more changes between letters,
+    digits and signs as often as secrets do."""
     counts = np.zeros((2, _SIZE * _SIZE), np.int64)
 
     def add(label: int, tokens: list[str]) -> None:
@@ -95,7 +97,7 @@ def pair_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = base_spans(text)
             add(1, [s[3] for s in spans])
             found = [m[0] for m in _outside(text, _IDENTIFIER, spans)]
-            add(0, [w for w in found if len(w) < 16 or 3 * len(_RUNS.findall(w)) <= len(w) + 4])
+            add(0, [w for w in found if len(w) < least or 3 * len(_RUNS.findall(w)) <= len(w) + 4])
     label, pair = np.nonzero(counts)
     yield pd.DataFrame({"label": label, "pair": pair, "n": counts[label, pair]})
 
@@ -125,23 +127,26 @@ class CharacterModels:
         return float(self.ratio[codes[:-1], codes[1:]].sum())
 
 
-def learn_characters(docs: DataFrame, text: str = "text") -> CharacterModels:
+def learn_characters(docs: DataFrame, text: str = "text", least: int = LEAST_RANDOM) -> CharacterModels:
     """Count pairs in all documents; the driver gets at most two square tables of the alphabet."""
     slim = docs.select(text_of(text).alias("text"))
-    counts = slim.mapInPandas(pair_counts, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n"))
+    counts = slim.mapInPandas(lambda frames: pair_counts(frames, least), "label int, pair int, n long")
+    counts = counts.groupBy("label", "pair").agg(F.sum("n"))
     return CharacterModels.fit([tuple(r) for r in counts.collect()])
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = RATIO) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = RATIO, least: int = LEAST_RANDOM
+) -> DataFrame:
     """One row per document: ``key``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``.
 
-    Besides the base formats, tokens of at least 16 characters that touch no base span are added as ``random`` where
+    Besides the base formats, tokens of at least ``least`` characters that touch no base span are added as ``random`` where
     the log-likelihood ratio of the two character models, learned from all documents, reaches ``ratio``.
 
     Null texts are empty; null keys and repeated rows are searched like others; an empty table gives an empty result
     (and so does a text without letters or digits).
     """
-    models = learn_characters(docs, text)
+    models, tokens = learn_characters(docs, text, least), re.compile(rf"[A-Za-z0-9+/_.=-]{{{least},}}")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -150,7 +155,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ratio
                 spans = base_spans(whole)
                 base = [f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans]
                 kinds = [k for _, k, _, _ in spans]
-                found = [m for m in _outside(whole, _TOKEN, spans) if models.score(m[0]) >= ratio]
+                found = [m for m in _outside(whole, tokens, spans) if models.score(m[0]) >= ratio]
                 every = sorted(
                     [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e, _ in spans]
                     + [(m.start(), len(KINDS), f"{ADDED}:{m.start()}:{m.end()}") for m in found]
