@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wortlaut.llm.exact_dedup import mark_copies
+from wortlaut.llm.fill_in_middle import fill_in_middle, restore
 from wortlaut.llm.mixing import draw_mix
+from wortlaut.llm.neighbours import nearest
 from wortlaut.llm.packing import pack
 from wortlaut.llm.pii import find_personal_data
+from wortlaut.llm.prefix_trie import prefix_trie
 from wortlaut.llm.quality import score_quality
 from wortlaut.llm.rules import apply_rules
 from wortlaut.llm.secrets import find_secrets
@@ -147,3 +151,77 @@ def op9(spark, sf_dir):
 @_add("op10_secret_scan")
 def op10(spark, sf_dir):
     return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digits FROM documents),
+h AS (SELECT doc_id, text, units, len(units) AS n,
+    CAST('0x' || substr(digits, 1, 8) AS BIGINT) % (len(units) + 1) AS x,
+    CAST('0x' || substr(digits, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+              OR CAST('0x' || substr(digits, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+         WHEN CAST('0x' || substr(digits, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(units[:least(x, y)], '') AS prefix,
+    array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS middle,
+    array_to_string(units[greatest(x, y) + 1:], '') AS suffix FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form != 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form != 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
+@_add("op11_fill_in_middle", _OP11)
+def op11(spark, sf_dir):
+    arranged = fill_in_middle(_table(spark, sf_dir, "documents"))
+    text = restore(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256")
+    return arranged.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+# The checksum of an id is worked out bit by bit: only its last two bits count, so the rest is left to the loop.
+_OP12 = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, max(place) AS own, c - c % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''),
+          lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END)),
+      4294967295::BIGINT) % 4 AS h FROM t GROUP BY c),
+k AS (SELECT l.*, least(l.h, coalesce(b.own, 0)) AS taken FROM l LEFT JOIN l AS b ON b.c = l.base),
+r AS (SELECT k.c, t.place AS depth, role, said FROM k JOIN t ON t.c = k.base AND t.place <= k.taken
+  UNION ALL SELECT k.c, t.place - k.h + k.taken, role, said FROM k JOIN t ON t.c = k.c AND t.place > k.h),
+s AS (SELECT c, depth, string_agg(length(role) || ':' || length(said) || ':' || role || said, '')
+        OVER (PARTITION BY c ORDER BY depth) AS path,
+    len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')) AS words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM k),
+p AS (SELECT *, min(c) OVER (PARTITION BY depth, path) AS rep, max(depth) OVER (PARTITION BY c) AS longest FROM s),
+n AS (SELECT depth, rep, count(*) AS n_convs, max(words) AS words, max(longest) = depth AS leaf,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = longest), '')) AS ends_sha256
+  FROM p GROUP BY depth, rep),
+u AS (SELECT a.depth, a.rep, sum(CAST(n.leaf AS BIGINT)) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM n JOIN p AS a ON a.c = n.rep AND a.depth <= n.depth GROUP BY a.depth, a.rep),
+e AS (SELECT n.depth, n.rep, a.rep AS parent FROM n JOIN p AS a ON a.c = n.rep AND a.depth = n.depth - 1),
+m AS (SELECT depth - 1 AS depth, parent AS rep, count(*) AS n_children FROM e GROUP BY ALL)
+SELECT rep AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs,
+  CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM n JOIN u USING (depth, rep) LEFT JOIN e USING (depth, rep) LEFT JOIN m USING (depth, rep)
+"""
+
+
+@_add("op12_prefix_trie", _OP12)
+def op12(spark, sf_dir):
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_add("op13_nearest_neighbours")
+def op13(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors.filter("vec_id % 20 = 0"), vectors)
