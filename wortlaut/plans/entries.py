@@ -7,9 +7,11 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wortlaut.functions.sizes import scratch_path
 from wortlaut.operators import nesting, schema_check, search, structure, unique, validate
 from wortlaut.operators.corpus import DOC_KEYS, Corpus
 from wortlaut.operators.grammar import compile_grammar
+from wortlaut.operators.split_shred import shred_entries
 from wortlaut.plans.common import (
     ENTRY_GRAMMAR,
     ENTRY_SOURCE_SQL,
@@ -369,6 +371,37 @@ def a17(spark, sf_dir):
     )
 
 
+@registry.add(
+    "a17_entry_splits",
+    f"""{ENTRY_SQL}, before AS (
+      SELECT k, k // 100000 AS file, 1 + coalesce(sum(3 + c % 4) OVER (PARTITION BY k // 100000 ORDER BY k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines FROM o),
+    inside AS (SELECT file, k, pos, 'entries/' || path AS path, tag, lines + line AS line FROM el JOIN before USING (k)
+      UNION ALL SELECT DISTINCT file, -1, 0, 'entries', 'entries', 1 FROM before)
+    SELECT 'file=' || file AS document, path, tag, CAST(len(string_split(path, '/')) - 1 AS BIGINT) AS depth,
+      CAST(line AS BIGINT) AS line, row_number() OVER (PARTITION BY file ORDER BY k, pos) - 1 AS number,
+      row_number() OVER (PARTITION BY file, path ORDER BY k, pos) = 1 AS first_in_doc FROM inside""",
+)
+def a17_splits(spark, sf_dir):
+    """All articles in large files, 100,000 keys each, which are read in splits."""
+    rows = entry_docs(spark, sf_dir).select(
+        F.floor(F.col("doc_ord") / 100_000).alias("file"), F.col("doc_ord").alias("k"), F.col("content").cast("string").alias("xml")
+    )
+    files = rows.select("file").distinct()
+    edges = F.array(
+        F.struct(F.lit(-1).cast("long").alias("k"), F.lit('<entries xmlns="urn:example:entries">').alias("xml")),
+        F.struct(F.lit(2**62).alias("k"), F.lit("</entries>").alias("xml")),
+    )
+    lines = rows.unionByName(files.select("file", F.inline(edges)))
+    path = scratch_path(spark)
+    lines.repartition("file").sortWithinPartitions("file", "k").select("file", "xml").write.partitionBy("file").text(path)
+    columns = ["subdir", "path", "tag", "depth", "line", "node_id", "first_in_doc"]
+    nodes = shred_entries(spark, path, "entry", glob="*.txt", columns=columns).filter("kind = 'element'")
+    return nodes.select(
+        F.col("subdir").alias("document"), "path", "tag", "depth", "line", F.col("node_id").alias("number"), "first_in_doc"
+    )
+
+
 @registry.add(
     "a17_attributes",
     f"""{ENTRY_SQL} SELECT 'entries/s' || (k % 20) || '/o' || k || '.xml' AS document, path, attr, value,

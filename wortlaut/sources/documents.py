@@ -62,11 +62,36 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         .option("pathGlobFilter", glob)
         .load(path)
     )
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    root = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
-    relative = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 30)
-    return found.select(relative.alias("path"), "length", "content")
+    return found.select(_relative(spark, path, F.col("path")).alias("path"), "length", "content")
+
+
+def _relative(spark: SparkSession, root: str, path: Column) -> Column:
+    """The part of a file's full path below the directory that was read."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+    return F.substring(path, len(full.rstrip("/")) + 2, 1 << 30)
+
+
+def scan_records(spark: SparkSession, path: str, end: str, glob: str = "*.xml") -> DataFrame:
+    """What stands in files up to each ``end``, which is left out: ``doc_id``, ``split``, ``place``, ``value`` (bytes),
+    ``size`` (of the file).
+
+    Files of any size are read in splits (``spark.sql.files.maxPartitionBytes``); a record belongs to the split in which
+    it begins.  ``split`` is the split's first byte, and ``place`` grows with the records of a split.  Of every file, the
+    record after the last ``end`` is the last one.
+    """
+    found = (
+        spark.read.option("lineSep", end)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .text(path)
+        .select("value", *(F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_size")))
+    )
+    return found.select(
+        _relative(spark, path, F.col("file_path")).alias("doc_id"), F.col("file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value"),
+        F.col("file_size").alias("size"),
+    )
 
 
 def scan_corpus(spark: SparkSession, path: str, glob: str = "*.xml", strict_sniff: bool = False) -> DataFrame:
