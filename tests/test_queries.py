@@ -1,6 +1,7 @@
 """Every registered query against its SQL, at the smallest scale; and plans that must not shuffle."""
 
 import os
+import threading
 
 import pytest
 
@@ -27,20 +28,30 @@ def test_query(spark, con, name):
     assert difference(spark, con, name, entry.queries()[name], ORACLES[name], SF_DIR) is None
 
 
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql_ends_with_a_limit_around_it(con, name):
+    """Some plain joins hang in DuckDB under a LIMIT."""
+    timer = threading.Timer(30, con.interrupt)
+    timer.start()
+    try:
+        con.sql(f"SELECT * FROM ({ORACLES[name]}) LIMIT 100000").fetchall()
+    finally:
+        timer.cancel()
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 NARROW = ("b3_schema", "c1_tag_search", "c2_child_path", "c3_wildcard_path", "c4_child_pattern", "e3_content_exact",
-          "e4_content_normalised", "e9_nesting_direct", "e10_nesting_any", "h2_find_spellings")
+          "e4_content_normalised", "e9_nesting_direct", "e10_nesting_any")
 
 
 @pytest.mark.parametrize("name", NARROW)
 def test_checks_on_rows_do_not_shuffle(spark, tmp_path_factory, name):
     # spread() adds an exchange for the tiny input of one split; with one core nothing is spread
     text = plan(entry.queries()[name](spark, SF_DIR))
-    allowed = text.count("REPARTITION_BY_NUM") + (1 if name == "h2_find_spellings" else 0) * 10
-    assert text.count("Exchange hashpartitioning") <= allowed
+    assert text.count("Exchange hashpartitioning") <= text.count("REPARTITION_BY_NUM")
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 

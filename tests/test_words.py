@@ -104,3 +104,46 @@ def test_merge_ledger_and_totals(spark):
     assert pairs(after) == [("c", 3, "HTTP 500", "t2"), ("z", 1, "old", "t1")]
     assert lookup.lookup_stats(merged, after).first().asDict() == {"answered": 4, "pairs": 3, "given_up": 1}
     assert pairs(lookup.lookup_pairs(merged)) == [("a", "A"), ("a", "A!"), ("b", "x")]
+
+
+def counting_service(spark, answers, words):
+    """Words to answers, a failure for the others; ``calls`` counts how often each word was asked."""
+    calls = {w: spark.sparkContext.accumulator(0) for w in words}
+
+    def ask(asked):
+        def run(batches):
+            for batch in batches:
+                out = batch.copy()
+                for word in batch["wort"]:
+                    calls[word].add(1)
+                out["body"] = [answers.get(w) for w in batch["wort"]]
+                out["error"] = [None if w in answers else "HTTP 500" for w in batch["wort"]]
+                out["timestamp"] = "t2"
+                yield out
+
+        return lookup.parse_lookup(asked.mapInPandas(run, "wort string, body string, error string, timestamp string"))
+
+    return ask, calls
+
+
+def test_each_word_is_asked_once_per_round(spark):
+    bad = [f"f{i}" for i in range(10)]
+    ledger = spark.createDataFrame([(w, 0, "", "t1") for w in [*bad, "good", "late"]] + [("over", 3, "HTTP 429", "t1")], LEDGER)
+    index = spark.createDataFrame([(w, i) for i, w in enumerate([*bad, "good", "late", "over"])], "lemma string, row_ord long")
+    ask, calls = counting_service(spark, {"good": '[{"input":"good","lemma":"Gut"}]', "late": "[]"}, [*bad, "good", "late", "over"])
+    found, left = lookup.retry_rounds(ledger, index, ask)
+    for _ in range(3):  # using the results asks nothing again
+        assert pairs(found) == [("good", "Gut"), ("late", "NOT_FOUND")]
+        assert pairs(left) == sorted([(w, 3, "HTTP 500", "t2") for w in bad] + [("over", 3, "HTTP 429", "t1")])
+    assert {w: c.value for w, c in calls.items()} == {**{w: 3 for w in bad}, "good": 1, "late": 1, "over": 0}
+
+
+def test_rounds_end_when_no_word_is_left(spark):
+    ledger = spark.createDataFrame([("a", 1, "x", "t1"), ("b", 2, "x", "t1")], LEDGER)
+    index = spark.createDataFrame([("a", 0), ("b", 1)], "lemma string, row_ord long")
+    rounds = []
+    ask, _ = counting_service(spark, {"a": "[]", "b": "[]"}, ["a", "b"])
+    found, left = lookup.retry_rounds(ledger, index, lambda words: rounds.append(1) or ask(words), max_failures=9)
+    assert len(rounds) == 1 and left.isEmpty() and pairs(found) == [("a", "NOT_FOUND"), ("b", "NOT_FOUND")]
+    found, left = lookup.retry_rounds(ledger, index, ask, rounds=0)
+    assert found.isEmpty() and left.count() == 2

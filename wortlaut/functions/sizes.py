@@ -32,3 +32,10 @@ def scratch_path(spark: SparkSession) -> str:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder once and read from there with their size known."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wortlaut.functions.text import split_lines
-from wortlaut.operators.shred import NODE_COLUMNS, shred
+from wortlaut.operators.shred import HEAD_COLUMNS, NODE_COLUMNS, shred
 
 DOC_KEYS = ("doc_id", "doc_ord", "subdir", "filename", "quelle")
 
@@ -85,14 +85,18 @@ class Corpus:
         return source_lines(self.docs)
 
 
-SEGMENT_SOURCE = [*DOC_KEYS, "kind", "node_id", "parent_id", "child_no", "tag", "parent_tag", "line", "text", "tail"]
+#: Columns of the node table that segments are made of; the heads may be missing.
+SEGMENT_SOURCE = [*DOC_KEYS, *HEAD_COLUMNS, "kind", "node_id", "parent_id", "child_no", "tag", "parent_tag", "line", "text", "tail"]
 
 
 def text_segments(shredded: DataFrame) -> DataFrame:
     """Pieces of direct text per element: its own text (seg_no 0), then the tail of each child node.
 
-    ``hint_line`` is the line of the node in front of the piece, where the piece begins or a little earlier.
+    ``hint_line`` is the line of the node in front of the piece, where the piece begins or a little earlier.  ``head`` is
+    the source from the start of that line to the piece, which follows it as it is; null where that is not known.
     """
+    known = set(HEAD_COLUMNS) <= set(shredded.columns)
+    text_head, tail_head = (F.col(c) if known else F.lit(None).cast("string") for c in HEAD_COLUMNS)
     own = F.when(
         F.col("kind") == "element",
         F.struct(
@@ -100,6 +104,7 @@ def text_segments(shredded: DataFrame) -> DataFrame:
             F.lit(0).alias("seg_no"),
             F.col("tag").alias("tag"),
             F.col("text").alias("text"),
+            text_head.alias("head"),
         ),
     )
     tail = F.when(
@@ -109,11 +114,12 @@ def text_segments(shredded: DataFrame) -> DataFrame:
             (F.col("child_no") + 1).alias("seg_no"),
             F.col("parent_tag").alias("tag"),
             F.col("tail").alias("text"),
+            tail_head.alias("head"),
         ),
     )
     present = shredded.select(*DOC_KEYS, F.col("line").alias("hint_line"), F.explode_outer(F.array(own, tail)).alias("s"))
     return present.filter(F.col("s.text") != "").select(
-        *DOC_KEYS, "s.owner_id", "s.seg_no", "s.tag", "s.text", "hint_line"
+        *DOC_KEYS, "s.owner_id", "s.seg_no", "s.tag", "s.text", "hint_line", "s.head"
     )
 
 

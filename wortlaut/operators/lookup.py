@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wortlaut.functions.ordering import with_position
+from wortlaut.functions.sizes import staged
 from wortlaut.functions.text import strip
 from wortlaut.operators.wordlist import usable_lemma
 
@@ -131,16 +132,20 @@ def retry_rounds(
     """Ask failed words again, round by round, until each has an answer or has failed ``max_failures`` times.
 
     ``ask`` turns words ``(wort)`` into parsed answers ``(wort, canonical, error, timestamp)``.  A round asks every word
-    that may still be asked, so at most ``max_failures`` rounds have anything to do, which is the default.  Returns all
-    good answers and the ledger that is left.
+    that may still be asked, so at most ``max_failures`` rounds have anything to do, which is the default; it ends early when
+    no word is left.  Every round's words and answers are staged in the shared folder: each word is asked once per
+    round, however often the results are used, and an answer never changes.  Returns all good answers and the ledger
+    that is left.
     """
-    found = None
+    found, index = None, staged(index.select("lemma", "row_ord"))
     for _ in range(max_failures if rounds is None else min(rounds, max_failures)):
-        words = retry_candidates(ledger, index, max_failures).select(F.col("lemma").alias("wort"))
-        answers = ask(words)
+        words = staged(retry_candidates(ledger, index, max_failures).select(F.col("lemma").alias("wort")))
+        if words.isEmpty():
+            break
+        answers = staged(ask(words))
         good = answers.filter(F.col("error").isNull()).select("wort", "canonical")
         found = good if found is None else found.unionByName(good)
-        ledger = update_ledger(ledger, answers)
+        ledger = staged(update_ledger(ledger, answers))
     if found is None:
         found = ledger.limit(0).select("wort", F.lit(None).cast("string").alias("canonical"))
     return found, ledger

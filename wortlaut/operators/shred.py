@@ -44,7 +44,11 @@ _NODE_COLUMNS: dict[str, pa.DataType] = {
     "attrs": _ATTRS,
     "column": pa.int32(),  # of an error
     "error": pa.string(),
+    # Source between the start of the node's line and its text or tail: short, and only if the text stands there as it is.
+    "text_head": pa.string(),
+    "tail_head": pa.string(),
 }
+HEAD_COLUMNS = ("text_head", "tail_head")
 _DOC_COLUMNS = ("doc_id", "doc_ord", "subdir", "filename")
 
 _SPARK_TYPES = {
@@ -57,7 +61,8 @@ _SPARK_TYPES = {
     ),
 }
 
-NODE_COLUMNS = (*_DOC_COLUMNS, "quelle", *_NODE_COLUMNS)
+#: What is built unless columns are named; heads cost a little, so they are built for who asks.
+NODE_COLUMNS = (*_DOC_COLUMNS, "quelle", *(n for n in _NODE_COLUMNS if n not in HEAD_COLUMNS))
 
 
 class _Rows:
@@ -65,6 +70,7 @@ class _Rows:
 
     def __init__(self, names: list[str], max_depth: int | None):
         self.names, self.max_depth = names, max_depth
+        self.heads = not set(names).isdisjoint(HEAD_COLUMNS)
         self.rows: list[list] = []
         self.docs: list[int] = []
         self.labels: list[str] = []
@@ -72,7 +78,7 @@ class _Rows:
         self.xml_names: dict[str, tuple[str, str, str]] = {}
 
     def add_document(self, doc_no: int, content: bytes | None) -> None:
-        rows, label, chars = parse_document(content, self.xml_names, self.max_depth)
+        rows, label, chars = parse_document(content, self.xml_names, self.max_depth, self.heads)
         self.rows += rows
         self.docs += [doc_no] * len(rows)
         self.labels += [label] * len(rows)
@@ -110,23 +116,28 @@ class _Rows:
 _END_ID, _TEXT, _TAIL, _STRING_LEN, _CHILDREN = (
     list(_NODE_COLUMNS).index(n) for n in ("end_id", "text", "tail", "string_len", "children")
 )
-_ATTRS_AT, _DEPTH, _CHILD_NO = (list(_NODE_COLUMNS).index(n) for n in ("attrs", "depth", "child_no"))
+_ATTRS_AT, _DEPTH, _CHILD_NO, _LINE = (list(_NODE_COLUMNS).index(n) for n in ("attrs", "depth", "child_no", "line"))
+#: From a text's place to the place of its head.
+_TO_HEAD = {place: list(_NODE_COLUMNS).index(f"{n}_head") for n, place in (("text", _TEXT), ("tail", _TAIL))}
+#: Line ends of str.splitlines() other than a line feed, in UTF-8; documents with such have no heads.
+_ODD_LINE_END = re.compile(rb"[\r\x0b\x0c\x1c-\x1e]|\xc2\x85|\xe2\x80[\xa8\xa9]")
+_HEAD_BYTES = 256
 
 
 def parse_document(
-    content: bytes | None, names: dict | None = None, max_depth: int | None = None
+    content: bytes | None, names: dict | None = None, max_depth: int | None = None, heads: bool = False
 ) -> tuple[list[list], str, int]:
     """Node rows of one document, its source label and its number of text characters.
 
     A document that does not parse gives exactly one row of kind ``error``, whatever was seen before the error.
     ``names`` remembers split names from one document to the next; ``max_depth`` is the number of levels from which a
-    document counts as not parsing, if there is to be such a limit.
+    document counts as not parsing, if there is to be such a limit; ``heads`` asks for the head columns.
     """
     raw, encoding = content or b"", None
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         raw, encoding = raw.decode("utf-16", errors="replace").encode("utf-8"), "utf-8"
     try:
-        rows, chars = _node_rows(raw, encoding, {} if names is None else names, max_depth)
+        rows, chars = _node_rows(raw, encoding, {} if names is None else names, max_depth, heads)
     except expat.ExpatError as e:
         return [_error_row(e.lineno, e.offset + 1, expat.ErrorString(e.code))], "", 0
     except (ValueError, LookupError) as e:
@@ -145,7 +156,9 @@ def _split_name(name: str) -> tuple[str, str, str]:
     return ns, local, "{%s}%s" % (ns, local) if ns else local
 
 
-def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | None) -> tuple[list[list], int]:
+def _node_rows(
+    raw: bytes, encoding: str | None, names: dict, max_depth: int | None, heads: bool
+) -> tuple[list[list], int]:
     """Rows of one document and its number of text characters, from parser events.
 
     The event handlers are closures, as looking attributes up would be a good part of their time.
@@ -159,6 +172,8 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | N
     line = 1
     parser = expat.ParserCreate(encoding, " ")
     find, count = raw.find, raw.count
+    heads = heads and encoding is None and not _ODD_LINE_END.search(raw)
+    text_from = text_line = 0  # where the running text may begin, and the line of the node in front of it
 
     def flush() -> None:
         nonlocal chars
@@ -167,6 +182,20 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | N
         chars += len(text)
         if slot is not None:
             slot[place] = text
+            if heads and not text.isspace():
+                slot[_TO_HEAD[place]] = text_head(text)
+
+    def text_head(text: str) -> str | None:
+        """The source in front of the running text, if that is on the node's line, not far from its start, and the text
+        stands in the source as it is."""
+        if raw[text_from : parser.CurrentByteIndex] != text.encode() or advance(text_from) != text_line:
+            return None
+        low = max(0, text_from - _HEAD_BYTES)
+        line_start = raw.rfind(b"\n", low, text_from) + 1
+        try:
+            return raw[line_start:text_from].decode() if line_start or not low else None
+        except UnicodeDecodeError:
+            return None
 
     def advance(offset: int) -> int:
         """The line of a byte offset."""
@@ -177,7 +206,7 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | N
         return line
 
     def start(name: str, flat_attrs: list[str]) -> None:
-        nonlocal elements, slot, place
+        nonlocal elements, slot, place, text_from, text_line
         if buffer:
             flush()
         ns, tag, _ = names.get(name) or names.setdefault(name, _split_name(name))
@@ -209,14 +238,15 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | N
             paths.add(path)
         # string_len holds the characters seen so far and becomes a length at the end tag
         row = ["element", elements, parent_id, None, child_no, depth, ns, tag, parent_tag, path, first, advance(end),
-               None, None, chars, None, attrs, None, None]
+               None, None, chars, None, attrs, None, None, None, None]
         rows.append(row)
         stack.append((row, elements, tag, path, [], [0]))
         elements += 1
         slot, place = row, _TEXT
+        text_from, text_line = end + 1, line
 
     def end(_name: str) -> None:
-        nonlocal slot, place
+        nonlocal slot, place, text_from, text_line
         if buffer:
             flush()
         row, _, _, _, child_tags, _ = stack.pop()
@@ -224,18 +254,23 @@ def _node_rows(raw: bytes, encoding: str | None, names: dict, max_depth: int | N
         row[_END_ID] = elements - 1
         row[_STRING_LEN] = chars - row[_STRING_LEN]
         slot, place = (row, _TAIL) if stack else (None, 0)
+        if heads:
+            at = parser.CurrentByteIndex  # of the end tag, or behind a tag without content
+            text_from, text_line = find(b">", at) + 1 if raw[at : at + 2] == b"</" else at, row[_LINE]
 
     def other(kind: str, closing: bytes) -> None:
-        nonlocal slot, place
+        nonlocal slot, place, text_from, text_line
         if buffer:
             flush()
         if stack:
             _, parent_id, parent_tag, path, _, counter = stack[-1]
+            ends = find(closing, parser.CurrentByteIndex)
             row = [kind, None, parent_id, None, counter[0], len(stack), None, None, parent_tag, path, False,
-                   advance(find(closing, parser.CurrentByteIndex)), None, None, None, None, None, None, None]
+                   advance(ends), None, None, None, None, None, None, None, None, None]
             counter[0] += 1
             rows.append(row)
             slot, place = row, _TAIL
+            text_from, text_line = ends + len(closing), line
 
     parser.buffer_text = True
     parser.buffer_size = 1 << 16

@@ -2,7 +2,8 @@
 
 A text is split at its word boundaries.  An entry of the word list, split the same way, matches exactly where its
 pieces equal a run of the text's pieces, so matching is set membership instead of one huge alternation.  Context comes
-from the neighbouring pieces, so no offsets are needed and nothing but hits ever leaves a row.
+from the neighbouring pieces, so no offsets are needed.  A Bloom filter of the pieces entries begin with is asked inside
+each row, so texts stay where they are and little but hits leaves a row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wortlaut.functions.sizes import keep_values
+from wortlaut.functions.bloom import bloom_filter, may_contain
+from wortlaut.functions.sizes import keep_values, staged
 from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, split_lines, string_literals, strip
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.results import SOURCE
@@ -119,72 +121,88 @@ def _inline_hits(segments: DataFrame, words: list[str]) -> DataFrame:
     split = split.withColumn("hits", F.filter(F.expr(hit_at), lambda h: h.isNotNull()))
     if max(by_size) > 1:
         split = split.withColumn("hits", _without_overlaps("hits"))
+    found = lambda h: F.array_join(F.slice(parts, h["place"] + 1, h["size"]), "")
+    line = (lambda h: [_known_line(found(h)).alias("line")]) if "head" in segments.columns else (lambda h: [])
     context = F.transform(
         "hits",
         lambda h: F.struct(
-            h["place"].alias("place"),
-            F.array_join(F.slice(parts, h["place"] + 1, h["size"]), "").alias("gefunden"),
-            _context(parts, h["place"], h["size"]).alias("kontext"),
+            h["place"].alias("place"), found(h).alias("gefunden"), _context(parts, h["place"], h["size"]).alias("kontext"), *line(h)
         ),
     )
     # explode_outer: for a plain explode the optimizer adds a filter that would compute the hits once more
     found = split.withColumn("hit", F.explode_outer(context)).filter(F.col("hit").isNotNull())
-    return found.drop("parts", "hits", "text").select("*", "hit.*").drop("hit")
+    return found.drop("parts", "hits", "text", "head").select("*", "hit.*").drop("hit")
+
+
+def _known_line(word: Column) -> Column:
+    """The first source line from the hint on that contains the word, if the source from there is known (``head``, then
+    the text as it is); else null, also for a word that runs over a line end."""
+    lines = F.split(F.concat("head", "text"), "\n")
+    place = F.array_position(F.transform(lines, lambda x: F.contains(x, word)), F.lit(True))
+    first = F.nullif(place, F.lit(0).cast("long")) + F.col("hint_line") - 1
+    in_one_line = F.col("head").isNotNull() & ~F.contains("text", F.lit("\n"))
+    return F.when(in_one_line, F.col("hint_line")).otherwise(first.cast("int"))
 
 
 def _joined_hits(segments: DataFrame, spellings: DataFrame) -> DataFrame:
-    """Hits of a word list of any size: text pieces are joined to the first piece of the entries.
+    """Hits of a word list (alt, neu) of any size, which is staged in the shared folder once.
 
-    The first piece of a segment carries the segment, the others go alone, so the texts are read and split once and
-    meet their hits when these are grouped by segment.  The many-sided key of the join is a common word, which adaptive
-    execution splits, as the list has few entries per first piece.
+    Of the pieces of a text, those leave the row that may begin an entry, with the text around them that a match and its
+    context need; they are joined with the entries and compared.  So what is moved follows the hits.  A piece that is very
+    common and begins an entry is a hot key of this join, which Spark splits, as few entries share a first piece.
     """
-    entry = spellings.select("alt", pieces(F.col("alt")).alias("entry"))
-    entries = entry.select(F.col("entry")[0].alias("piece"), "alt", F.size("entry").alias("size"))
-    split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
+    entries = spellings.select("alt", "neu", pieces(F.col("alt")).alias("_p"))
+    entries = staged(entries.select(F.col("_p")[0].alias("piece"), "alt", "neu", F.size("_p").alias("size")))
+    longest, begins = entries.agg(F.coalesce(F.max("size"), F.lit(1))).scalar(), bloom_filter(entries, "piece")
     keys = ("doc_id", "owner_id", "seg_no")
-    payload = F.struct(*(c for c in split.columns if c not in (*keys, "text")))
-    carried = F.transform("parts", lambda p, i: F.struct(p.alias("piece"), F.when(i == 0, payload).alias("segment")))
-    tokens = split.select(*keys, F.posexplode(carried).alias("place", "_t")).select(*keys, "place", "_t.*")
-    found = (
-        tokens.join(entries, "piece", "left")
-        .filter(F.col("alt").isNotNull() | F.col("segment").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("alt").isNotNull(), F.struct("place", "size", "alt")))).alias("candidates"),
-            F.first("segment", ignorenulls=True).alias("_s"),
-        )
-        .filter(F.size("candidates") > 0)
-        .select(*keys, "candidates", "_s.*")
-    )
-    parts = F.col("parts")
-    exact = F.filter(
-        "candidates",
-        lambda c: (F.array_join(F.slice(parts, c["place"] + 1, c["size"]), "") == c["alt"])
-        & ((c["place"] > 0) | c["alt"].rlike("^" + WORD_CLASS))
-        & ((c["place"] + c["size"] < F.size(parts)) | c["alt"].rlike(WORD_CLASS + "$")),
-    )
-    # Longest entry first at one place: of candidates at the same place, keep the one no longer one follows.
-    longest = F.filter(
+    kept = [c for c in segments.columns if c not in ("text", "head")]
+    payload = F.struct(*(c for c in kept if c not in keys)).alias("_s")
+    parts, place, reach = F.col("parts"), F.col("place"), CONTEXT + 1
+
+    split = segments.withColumn("parts", pieces(_single_line(F.col("text"))))
+    # posexplode_outer: see above
+    tokens = split.select("*", F.posexplode_outer("parts").alias("place", "piece")).filter(may_contain(begins, F.col("piece")))
+    start = F.greatest(F.lit(0), place - reach)
+    if "head" in segments.columns:
+        line, one_line = _known_line(F.col("piece")), ~F.contains("text", F.lit("\n"))
+    else:
+        line, one_line = F.lit(None).cast("int"), F.lit(False)
+    probable = tokens.select(
+        *keys, payload, "place", "piece",
+        F.array_join(F.slice(parts, start + 1, place - start), "").alias("before"),
+        F.array_join(F.slice(parts, place + 1, longest + reach), "").alias("rest"),
+        line.alias("line"), one_line.alias("one_line"),
+    )
+    # The entry ends where the text does, or at a word boundary; at both ends of the text only beside a word character.
+    last, after = F.right("alt", F.lit(1)), F.substr("rest", F.length("alt") + 1, F.lit(reach))
+    ends = F.when(after == "", last.rlike(WORD_CLASS)).otherwise(last.rlike(WORD_CLASS) != after.rlike("^" + WORD_CLASS))
+    matches = F.startswith("rest", "alt") & ends & ((place > 0) | F.col("alt").rlike("^" + WORD_CLASS))
+    shown = strip(F.concat(F.right("before", F.lit(CONTEXT)), "alt", F.left(after, F.lit(CONTEXT))))
+    cut = lambda side: F.when(F.length(side) > CONTEXT, F.lit("…")).otherwise("")
+    exact = probable.join(entries, "piece").filter(matches).select(
+        *keys, "_s",
+        F.struct(
+            "place", "size", "alt", "neu", F.concat(cut(F.col("before")), shown, cut(after)).alias("kontext"),
+            F.when((F.col("size") == 1) | F.col("one_line"), F.col("line")).alias("line"),
+        ).alias("hit"),
+    )
+    # Longest entry first at one place: of matches at the same place, keep the one no longer one follows.
+    found = exact.groupBy(*keys).agg(F.first("_s").alias("_s"), F.array_sort(F.collect_list("hit")).alias("exact"))
+    longest_only = F.filter(
         "exact",
         lambda c, i: F.coalesce(F.get(F.col("exact"), i + 1)["place"] != c["place"], F.lit(True)),
     )
-    hits = (
-        found.withColumn("exact", exact)
-        .withColumn("longest", longest)
-        .withColumn("hit", F.explode_outer(_without_overlaps("longest")))
-        .filter(F.col("hit").isNotNull())
-    )
-    return hits.select(
-        *(c for c in segments.columns if c != "text"),
-        F.col("hit.place").alias("place"),
-        F.col("hit.alt").alias("gefunden"),
-        _context(parts, F.col("hit.place"), F.col("hit.size")).alias("kontext"),
-    )
+    hits = found.withColumn("_h", longest_only).withColumn("hit", F.explode_outer(_without_overlaps("_h")))
+    known = [F.col("hit.line").alias("line")] if "head" in segments.columns else []
+    return hits.filter(F.col("hit").isNotNull()).select(
+        *(c if c in keys else F.col(f"_s.{c}") for c in kept), F.col("hit.place").alias("place"),
+        F.col("hit.alt").alias("gefunden"), F.col("hit.neu").alias("vorschlag"), F.col("hit.kontext").alias("kontext"), *known,
+    )
 
 
 def find_spellings(segments: DataFrame, spellings: DataFrame | dict[str, str]) -> DataFrame:
-    """Hits in text segments: the segment's columns, ``place``, ``gefunden``, ``vorschlag``, ``kontext``.
+    """Hits in text segments: the segment's columns, ``place``, ``gefunden``, ``vorschlag``, ``kontext``, and if segments
+    have a ``head``, the ``line`` that ``exact_lines`` finds, where the segment tells it (else null).
 
     Matching is case-sensitive, on whole words, leftmost first and longest first at one place, without overlaps.  The
     caller chooses the plan: a table (alt, neu) of any size is joined with the pieces of the texts; a dictionary, which
@@ -196,9 +214,7 @@ def find_spellings(segments: DataFrame, spellings: DataFrame | dict[str, str]) -
         hits = _inline_hits(texts, list(pairs) or ["\0"])  # no XML text holds this character
         both = [F.lit(w) for pair in pairs.items() for w in pair] or [F.lit(""), F.lit("")]
         return hits.withColumn("vorschlag", F.element_at(F.create_map(*both), F.col("gefunden")))
-    known = spellings.filter(F.col("alt") != "")
-    suggestions = known.select(F.col("alt").alias("gefunden"), F.col("neu").alias("vorschlag"))
-    return _joined_hits(texts, known).join(suggestions, "gefunden")
+    return _joined_hits(texts, spellings.filter(F.col("alt") != "").select("alt", "neu"))
 
 
 def _line(lines: Column, hint: Column, word: Column) -> Column:
@@ -235,6 +251,9 @@ def check_spelling(
 ) -> DataFrame:
     """The spelling report of a corpus, in one pass over its texts.
 
+    The hits are staged in the shared folder once.  Nearly all know their line; for the rest the documents that may hold
+    such a hit, by a Bloom filter, are read again.
+
     ``tags`` are the tags to search, as a list or a table with ``tag`` (rows with a false ``included`` are left out);
     by default all text-bearing tags but the standing exclusions.
     """
@@ -245,8 +264,14 @@ def check_spelling(
         segments = keep_values(segments, "tag", tags.filter("included") if "included" in tags.columns else tags)
     else:
         segments = segments.filter(F.col("tag").isin(tags))
-    hits = find_spellings(segments, spellings).withColumnRenamed("gefunden", "word")
-    return exact_lines(hits, corpus.docs).select(
+    found = find_spellings(segments, spellings).withColumnRenamed("gefunden", "word")
+    if "line" not in found.columns:
+        found = found.withColumn("line", F.lit(None).cast("int"))
+    hits = staged(found)
+    unknown = hits.filter(F.col("line").isNull()).drop("line")
+    docs = corpus.docs.filter(may_contain(bloom_filter(unknown, "doc_id"), F.col("doc_id")))
+    lines = hits.filter(F.col("line").isNotNull()).unionByName(exact_lines(unknown, docs))
+    return lines.select(
         *SOURCE, "line", "tag", F.col("word").alias("gefunden"), "vorschlag", "kontext",
         "doc_id", "doc_ord", F.col("owner_id").alias("node_id"), "seg_no", "place",
     )

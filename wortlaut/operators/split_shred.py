@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wortlaut.functions.sizes import scratch_path
+from wortlaut.functions.sizes import staged
 from wortlaut.operators import shred as whole
 from wortlaut.operators.corpus import Corpus
 from wortlaut.sources.documents import docs_from_table, looks_like_xml, scan_corpus, scan_records, with_location
@@ -26,7 +26,7 @@ from wortlaut.sources.documents import docs_from_table, looks_like_xml, scan_cor
 CHUNK_BYTES = 1 << 20
 
 _KEYS = ["doc_id", "split", "chunk"]
-_NODE_FIELDS = [(name, kind) for name, kind in whole._NODE_COLUMNS.items() if name != "column"]
+_NODE_FIELDS = [(n, kind) for n, kind in whole._NODE_COLUMNS.items() if n not in ("column", *whole.HEAD_COLUMNS)]
 _CHUNK_FIELDS = [
     ("doc_id", pa.string()),
     ("split", pa.int64()),
@@ -198,11 +198,9 @@ def shred_entries(
     """
     names = list(dict.fromkeys([*(columns or whole.NODE_COLUMNS), "kind"]))
     end = f"</{row_tag}>"
-    records, openings = scan_records(spark, path, end, glob), scratch_path(spark)
-    _openings(records, strict_sniff).write.parquet(openings)  # read again with its size known: small ones are broadcast
-    staged = scratch_path(spark)
-    _chunk_rows(records, spark.read.parquet(openings), end, chunk_bytes, max_depth).write.parquet(staged)
-    rows = spark.read.parquet(staged)
+    records = scan_records(spark, path, end, glob)
+    openings = staged(_openings(records, strict_sniff))  # few lines, which Spark then broadcasts
+    rows = staged(_chunk_rows(records, openings, end, chunk_bytes, max_depth))
 
     placed = _placed(rows)
     good = placed.filter("good")
@@ -236,7 +234,8 @@ def shred_entries(
             {"child_no": F.col("child_no") + F.col("kids_before"), "node_id": F.col("node_id") + F.col("elements_before")}
         )
         every = every.join(_labels(near), "doc_id", "left").withColumn("quelle", F.coalesce("quelle", F.lit("")))
-    located = with_location(every.withColumn("column", F.lit(None).cast("int")), F.col("doc_id"))
+    unknown = {"column": F.lit(None).cast("int"), **{n: F.lit(None).cast("string") for n in whole.HEAD_COLUMNS}}
+    located = with_location(every.withColumns(unknown), F.col("doc_id"))
     located = located.withColumn("doc_ord", F.col("doc_id")).select(names)
 
     odd = records.join(placed.filter(~F.col("good")).select("doc_id").distinct(), "doc_id", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wortlaut.functions.sizes import scratch_path
 from wortlaut.functions.text import source_key
 from wortlaut.operators.corpus import DOC_KEYS, Corpus
-from wortlaut.plans.common import Registry, page_docs, spread, table
+from wortlaut.plans.common import Registry, escaped, page_docs, spread, table
 from wortlaut.sources import documents, index
 
 registry = Registry()
@@ -206,17 +206,23 @@ def j_key(spark, sf_dir):
 
 @registry.add(
     "a1_scan_corpus",
-    """SELECT 'part=' || (doc_id % 40) AS subdir, CAST(count(*) + 1 AS BIGINT) AS elements, sum(doc_id) AS ids,
-      CAST(max(n_chars) AS BIGINT) AS longest
-    FROM documents GROUP BY doc_id % 40""",
+    """SELECT 'part=' || (doc_id // 100) AS subdir, CAST(count(*) + 1 AS BIGINT) AS elements, sum(doc_id) AS ids,
+      CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines
+    FROM documents GROUP BY ALL""",
 )
 def a1_scan(spark, sf_dir):
-    """Forty files with an element per document are written, scanned as a corpus, and shredded."""
-    folder = scratch_path(spark)
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id % 40 AS part", "doc_id AS place", "concat('<d id=\"', doc_id, '\" n=\"', n_chars, '\"/>') AS line")
+    """Files of the whole texts of a hundred ids each are written, scanned as a corpus, and shredded."""
+    folder, text = scratch_path(spark), escaped("text")
+    rows = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id div 100 AS part", "doc_id AS place", f"concat('<d id=\"', doc_id, '\">', {text}, '</d>') AS line"
+    )
     ends = rows.select("part").distinct().selectExpr("part", "explode(array(struct(-1L AS place, '<c>' AS line), struct(9223372036854775807L AS place, '</c>' AS line))) AS e")
     lines = rows.unionByName(ends.selectExpr("part", "e.place", "e.line"))
     lines.repartition("part").sortWithinPartitions("part", "place").select("part", "line").write.partitionBy("part").text(folder)
-    nodes = Corpus.of(documents.scan_corpus(spark, folder, "part-*.txt"), [*DOC_KEYS, "attrs"]).nodes
-    values = nodes.select("subdir", F.get("attrs", 0)["value"].cast("long").alias("id"), F.get("attrs", 1)["value"].cast("long").alias("n"))
-    return values.groupBy("subdir").agg(F.count(F.lit(1)).alias("elements"), F.sum("id").alias("ids"), F.max("n").alias("longest"))
+    nodes = Corpus.of(documents.scan_corpus(spark, folder, "part-*.txt"), [*DOC_KEYS, "attrs", "text"]).nodes
+    text_of = F.when(F.size("attrs") > 0, F.coalesce("text", F.lit("")))  # of a document, not the root
+    values = nodes.select("subdir", F.get("attrs", 0)["value"].cast("long").alias("id"), text_of.alias("text"))
+    return values.groupBy("subdir").agg(
+        F.count(F.lit(1)).alias("elements"), F.sum("id").alias("ids"), F.sum(F.length("text")).alias("chars"),
+        F.sum(F.size(F.split("text", "\n"))).alias("lines"),
+    )

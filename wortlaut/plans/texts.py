@@ -160,9 +160,8 @@ _T_ROWS = f"{_T_SQL}, src AS (SELECT * FROM t)"
     SELECT {_P_SOURCE}, i + 1 AS hint_line, gefunden, vorschlag, kontext FROM kwic""",
 )
 def h2(spark, sf_dir):
-    """The plan for a short list that the caller holds: here the words of the benchmark items."""
     segments = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE).segments
-    hits = spelling.find_spellings(segments, {r.alt: r.neu for r in _word_list(spark, sf_dir).collect()})
+    hits = spelling.find_spellings(segments, _word_list(spark, sf_dir))
     return hits.select("quelle", "subdir", "filename", "hint_line", "gefunden", "vorschlag", "kontext")
 
 
@@ -171,7 +170,7 @@ def h2(spark, sf_dir):
     f"""{_hits_sql(_T_ROWS, 'c, n')} SELECT {_T_SOURCE}, gefunden, vorschlag, kontext FROM kwic""",
 )
 def h2_joined(spark, sf_dir):
-    """The plan for word lists of any size."""
+    """The same over texts of many lines."""
     segments = Corpus.of(turn_docs(spark, sf_dir), SEGMENT_SOURCE).segments
     hits = spelling.find_spellings(segments, _word_list(spark, sf_dir))
     return hits.select("quelle", "subdir", "filename", "gefunden", "vorschlag", "kontext")
@@ -225,15 +224,18 @@ def h5(spark, sf_dir):
 
 @registry.add(
     "h5_lines_further_down",
-    f"""{_P_SQL}, ask AS (SELECT DISTINCT d, source, lang, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM p)
-    SELECT a.source || '/' || a.lang || '/d' || a.d || '.xml' AS document, w AS word, min(i + 1) AS line FROM ask a JOIN p ON a.d = p.d AND contains(t, w)
-    WHERE len(w) >= 5 AND i >= 1 GROUP BY ALL""",
+    f"""{_P_SQL}, ask AS (SELECT DISTINCT d, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM p),
+    xml AS (SELECT doc_id AS d, source || '/' || lang || '/d' || doc_id || '.xml' AS document,
+      '<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10), '</p>' || chr(10) || '<p>') || '</p>'
+        || chr(10) || '</text>' AS x FROM documents),
+    pre AS (SELECT document, w, substr(x, 1, instr(x, w)) AS s FROM ask JOIN xml USING (d))
+    SELECT document, w AS word, CAST(2 + len(s) - len(replace(s, chr(10), '')) AS BIGINT) AS line FROM pre""",
 )
 def h5_down(spark, sf_dir):
-    """Every word of five letters and more of a document's later paragraphs, looked for from the second line on."""
+    """Every word of a document, looked for from the second line on; those that stand in later paragraphs have an answer."""
     corpus = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE)
     words = corpus.segments.filter("tag = 'p'").withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
-    asked = words.filter((F.length("word") >= 5) & (F.col("hint_line") > 1)).select("doc_id", "word").distinct()
+    asked = words.filter(F.col("hint_line") > 1).select("doc_id", "word").distinct()
     found = spelling.exact_lines(asked.withColumn("hint_line", F.lit(2)), corpus.docs)
     return found.select(F.col("doc_id").alias("document"), "word", "line")
 
@@ -244,7 +246,7 @@ def h5_down(spark, sf_dir):
       CAST(1 AS BIGINT) AS hint_line FROM t WHERE t <> ''""",
 )
 def a17_segments(spark, sf_dir):
-    return Corpus.of(turn_docs(spark, sf_dir), SEGMENT_SOURCE).segments
+    return Corpus.of(turn_docs(spark, sf_dir), SEGMENT_SOURCE).segments.drop("head")
 
 
 @registry.add(

@@ -19,6 +19,7 @@ _PLANTED = (
     "Schifffahrt", "Schiffahrt", "Brennnessel", "Brennessel", "BALLLETT", "BALLETT", "Schritttempo", "Messe", "Nuß",
     "Nuss", "Telephon", "Telefon", "naß-kalt", "nass-kalt", "-los", "ab 1",
 )
+# A query that ends in a plain join of two uses of lem never ends in DuckDB once a LIMIT is put around it; sorted it does.
 _WORDS_SQL = f"""WITH raw AS (
   SELECT unnest(string_split(regexp_replace(text, '[ \\n.,;:!?()"]', ' ', 'g'), ' ')) AS w FROM documents
   UNION ALL SELECT unnest([{", ".join(f"'{w}'" for w in _PLANTED)}])),
@@ -65,7 +66,7 @@ def a12(spark, sf_dir):
     return _lemmas(spark, sf_dir)
 
 
-@registry.add("g1_ss_pairs", f"{_WORDS_SQL} SELECT * FROM ss_pair")
+@registry.add("g1_ss_pairs", f"{_WORDS_SQL} SELECT * FROM ss_pair ORDER BY ALL")
 def g1(spark, sf_dir):
     return wordlist.ss_pairs(_lemmas(spark, sf_dir))
 
@@ -73,12 +74,12 @@ def g1(spark, sf_dir):
 _WHITE_SQL = "SELECT alt AS wort FROM ss LEFT JOIN lem ON neu = lemma WHERE alt = 'Maß' OR lemma IS NULL"
 
 
-@registry.add("g2_ss_whitelist", f"{_WORDS_SQL} {_WHITE_SQL}")
+@registry.add("g2_ss_whitelist", f"{_WORDS_SQL} {_WHITE_SQL} ORDER BY ALL")
 def g2(spark, sf_dir):
     return wordlist.ss_whitelist(_lemmas(spark, sf_dir))
 
 
-@registry.add("g3_ph_pairs", f"{_WORDS_SQL} SELECT * FROM ph_pair")
+@registry.add("g3_ph_pairs", f"{_WORDS_SQL} SELECT * FROM ph_pair ORDER BY ALL")
 def g3(spark, sf_dir):
     return wordlist.ph_pairs(_lemmas(spark, sf_dir))
 
@@ -150,7 +151,7 @@ def _answers(lemmas: DataFrame) -> DataFrame:
         '2025-12-31T00:00:00' AS timestamp FROM lem WHERE len(lemma) % 2 = 0 AND len(lemma) % 6 > 0)
     SELECT led.wort, CASE WHEN led.fehler_count < 3 AND ans.error IS NOT NULL THEN 3 ELSE CAST(led.fehler_count AS BIGINT) END AS fehler_count,
       CASE WHEN led.fehler_count < 3 THEN coalesce(ans.error, letzter_fehler) ELSE letzter_fehler END AS letzter_fehler
-    FROM led JOIN ans ON led.wort = ans.wort WHERE led.fehler_count >= 3 OR ans.error IS NOT NULL""",
+    FROM led JOIN ans ON led.wort = ans.wort WHERE led.fehler_count >= 3 OR ans.error IS NOT NULL ORDER BY ALL""",
 )
 def i6_rounds(spark, sf_dir):
     """Words whose length is a multiple of five fail in every round; the others have an answer in the first."""
@@ -268,7 +269,7 @@ def _new_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     "i5_update_ledger",
-    f"{_LEDGER_SQL} SELECT wort, CAST(fehler_count AS BIGINT) AS fehler_count, letzter_fehler, timestamp FROM led2",
+    f"{_LEDGER_SQL} SELECT wort, CAST(fehler_count AS BIGINT) AS fehler_count, letzter_fehler, timestamp FROM led2 ORDER BY ALL",
 )
 def i5(spark, sf_dir):
     return _new_ledger(spark, sf_dir)
@@ -324,7 +325,7 @@ def a11(spark, sf_dir):
     return wordlists.read_spellings(spark, path).drop("ord")
 
 
-@registry.add("a11_whitelist", f"{_WORDS_SQL} {_WHITE_SQL}")
+@registry.add("a11_whitelist", f"{_WORDS_SQL} {_WHITE_SQL} ORDER BY ALL")
 def a11_whitelist(spark, sf_dir):
     path = scratch_path(spark)
     wordlists.write_whitelist(wordlist.build_whitelist(_lemmas(spark, sf_dir)), path)
@@ -352,12 +353,12 @@ def a16(spark, sf_dir):
     return wordlists.read_ledger(spark, path)
 
 
-@registry.add("a12_read_lemmas", f"{_WORDS_SQL} SELECT lemma FROM lem WHERE len(lemma) > 3")
+@registry.add("a12_read_lemmas", f"{_WORDS_SQL} SELECT lemma FROM lem")
 def a12_read(spark, sf_dir):
     """Two lists in one directory, of which the newer is read."""
     folder, rows = scratch_path(spark), _raw_words(spark, sf_dir)
     rows.limit(0).write.option("header", True).csv(f"{folder}/lemmas-1.csv")
-    padded = rows.filter(F.length("lemma") > 3).select(F.concat(F.lit(" "), "lemma").alias("Lemma"), F.lit("x, y").alias("note"))
+    padded = rows.select(F.concat(F.lit(" "), "lemma").alias("Lemma"), F.lit("x, y").alias("note"))
     padded.write.option("header", True).csv(f"{folder}/lemmas-2.csv")
     return wordlists.read_lemmas(spark, folder)
 
