@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -76,3 +77,28 @@ def test_pipeline(spark, tmp_path):
     for r in whole.collect():
         room[r.sequence_id] += r.length
     assert max(room.values()) <= 4096
+
+
+def test_stages_with_nulls_odd_names_and_long_texts(spark, tmp_path):
+    """Rows without keys, texts or sources, equal rows, clashing and dotted column names, a very long text, nothing."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60).drop("n_chars")
+    long = " ".join(f"word{i % 997} of a long and clean document," for i in range(40_000))
+    extra = [(None, "a text without a key, long enough to be kept here.", "en", "web"), (None, None, None, None), (10**9, "", "en", None),
+             (10**9 + 1, long, "en", "web"), (10**9 + 1, long, "en", "web"), (10**9 + 2, "twin " + long, "en", None)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    for name in ("a.b", "_doc", "_key", "_copies", "mark", "size", "_text", "fingerprint", "_words"):
+        docs = docs.withColumn(name, F.lit(name))
+    for i, table in enumerate((docs, docs.limit(0))):
+        columns = table.columns
+        for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{i}-{j}")
+            stage(spark, table, SF_DIR).write.parquet(path)
+            table = spark.read.parquet(path)
+            if j < 4:
+                assert table.columns == columns
+            if j == 2 and not i:
+                kept = [r.doc_id for r in table.filter("doc_id >= 1000000000").collect()]
+                assert kept.count(10**9 + 1) <= 1 and len(kept) == len(set(kept))
+                last = table.count()
+        assert table.isEmpty() == bool(i)
+    assert last > 20

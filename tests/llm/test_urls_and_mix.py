@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wortlaut.llm.mixing import draw_mix, source_targets, take_mix
 from wortlaut.llm.queries import URL_RULES
@@ -123,7 +124,34 @@ def test_mixed_documents(spark):
     assert mixed.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert {k: n for k, n in drawn.items() if n} == {k: n for k, n in counts.items() if k is not None and k < 5000}
-    assert counts[None] == 1
+    without = draw_mix(docs).filter("doc_id is null").agg(F.sum("copies")).first()[0]
+    assert counts.get(None, 0) == without > 0
+
+
+def test_rows_without_a_key_are_drawn_like_others(spark):
+    """Sources of 90 and 10 equally long texts, weighed 1 and 2: all keys null, then all keys equal."""
+    for key in (None, 7):
+        rows = [(key, f"w{i} a b", "a" if i < 90 else "b") for i in range(100)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        drawn = {r.source: r.words for r in draw_mix(docs).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+        words = {r.source: 3 * r["count"] for r in take_mix(docs).groupBy("source").count().collect()}
+        assert drawn == words and words["b"] == 90 and abs(words["a"] - 210) <= 3
+
+
+def test_equal_rows_are_drawn_together_and_odd_names_stay(spark):
+    rows = [(1, "same text here", "a", i) for i in range(6)] + [(None, "same text here", "a", 9)] * 3 + [(2, "x y z", "b", 0), (3, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int").withColumn("mark", F.lit(1)).withColumn("copies", F.lit(2))
+    mixed = take_mix(docs)
+    assert mixed.columns == docs.columns
+    drawn = draw_mix(docs).groupBy("source").agg(F.sum("copies").alias("n")).filter("n > 0")
+    assert {r.source: r.n for r in drawn.collect()} == {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+
+
+def test_rule_hosts_are_lowered_like_page_hosts(spark):
+    rules = [("block", "BÜCHER.de", "/"), ("block", "Example.ORG", "/")]
+    pages = spark.createDataFrame([(1, "http://BÜCHER.de/x"), (2, "http://bücher.de/x"), (3, "http://EXAMPLE.org/")], "page_id long, url string")
+    got = {r.page_id: (r.host, r.verdict) for r in judge_urls(pages, rule_table(spark, rules)).collect()}
+    assert got == {1: ("bÜcher.de", "block"), 2: ("bücher.de", "allow"), 3: ("example.org", "block")}
 
 
 def test_mix_of_nothing(spark):

@@ -57,6 +57,7 @@ def draw_mix(
     weights: tuple[int, ...] = (1, 2, 3),
     most: int = 3,
     parts: int = PARTS,
+    mark: Column | None = None,
 ) -> DataFrame:
     """One row per document: ``key``, ``source``, ``size`` (words), ``source_size``, ``target``, ``copies``, ``taken``.
 
@@ -70,10 +71,13 @@ def draw_mix(
 
     The offset and the order depend on the rows alone, so reruns agree.  Null texts have size 0; a null source is a
     source of its own; a null key comes first; repeated rows count one by one.  With no words at all targets are 0.
+    An empty table gives an empty table; other columns are ignored.  ``mark`` is a short expression over the documents
+    that comes along as the column ``mark``.
     """
+    marked = [] if mark is None else [mark.alias("mark")]
     part = F.coalesce(F.expr("conv(substring(md5(cast(doc_id as string)), 1, 4), 16, 10)").cast("int") % parts, F.lit(0))
     rows = checkpointed(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), *marked)
         .withColumn("part", part)
     )
     counted = rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -114,7 +118,7 @@ def draw_mix(
         .withColumn("copies", crossed.cast("long"))
         .select(
             F.col("doc_id").alias(key), "source", "size", "source_size", "target", "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
+            (F.col("copies") * F.col("size")).alias("taken"), *(["mark"] if marked else []),
         )
     )
 
@@ -122,11 +126,18 @@ def draw_mix(
 def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it is drawn, with all their columns.
 
-    Rows that repeat a key share a draw: each comes as often as the shortest of them.  Rows without a key cannot be
-    told apart; they are taken once.
+    A row is told by its key, source and whole text, nulls included, so rows without a key are drawn like others.  Rows
+    that are equal in all three are interchangeable: one of them comes as often as they are drawn together.  An empty
+    table gives an empty table; columns may have any names.
     """
-    drawn = draw_mix(docs, key, text, source).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_drawn"))
-    copies = drawn.agg(F.min_by("copies", "size").alias("_copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"))
-    rows = rows.join(copies, F.col("_key") == F.col("_drawn"), "left")
-    return repeat_rows(rows.withColumn("_copies", F.coalesce("_copies", F.lit(1))), "_copies").select("_doc.*")
+    none = F.lit("\x00")  # before a text, which cannot be confused with a null
+    own = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), none) for c in (key, source)]
+    row = F.sha2(F.concat_ws("\x01", *own, text_of(text)), 256)
+    drawn = draw_mix(docs, key, text, source, mark=row).groupBy(F.col("mark").alias("_row"))
+    drawn = checkpointed(drawn.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"))
+    rows = docs.select(F.struct("*").alias("_doc"), row.alias("_row"))
+    taken = rows.join(drawn.filter("_rows = 1"), "_row")
+    twins = drawn.filter("_rows > 1")
+    if not twins.isEmpty():
+        taken = taken.unionByName(rows.join(twins, "_row").dropDuplicates(["_row"]))
+    return repeat_rows(taken, "_copies").select("_doc.*")

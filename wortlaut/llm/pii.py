@@ -330,7 +330,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str =
     Keys must be unique; documents without a key are left as they are.
     """
     found = find_personal_data(docs, key, text).select(F.col(key).alias("_found"), "spans").filter("spans != ''")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_hidden"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_hidden"))
     rows = rows.join(found, F.col("_key") == F.col("_found"), "left")
     spans = F.transform(
         F.split("spans", ","),

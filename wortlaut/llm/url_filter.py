@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wortlaut.llm.shared import repeat_rows
+from wortlaut.llm.shared import ascii_lower, repeat_rows
 
 RULES = "action string, host string, path string"
 
@@ -51,11 +51,12 @@ def judge_urls(
     together) decides, then the one with the longer host, then ``block``; where none fits, ``default`` holds.
 
     A null URL, or one without ``://``, has an empty host and path.  Repeated pages are judged once and returned as
-    often as they occur.  Rules with a null action or host are ignored; a null path is an empty one.
+    often as they occur; no pages give no rows.  Rules with a null action or host are ignored; a null path is an empty one,
+    and of a rule's host, as of a page's, A-Z are lower-cased.
     """
     listed = (
         rules.filter("action is not null and host is not null")
-        .select("action", F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"))
+        .select("action", ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"))
         .distinct()
         .withColumn("rule_digest", F.unhex(F.sha2(F.concat("rule_host", F.lit("\n"), _anchor("rule_path")), 256)))
         .withColumn("prefix", F.substring("rule_digest", 1, prefix_bytes))
