@@ -1,7 +1,10 @@
 """The corpus pipeline: good documents, one of each group of exact and near copies, mixed by source, packed.
 
 A stage takes (spark, docs, sf_dir) and returns a table; the next stage reads it from Parquet.  All but the last return
-the columns of ``documents``.
+the columns of ``documents``, whatever their names and whichever further ones there are.
+
+Null texts count as empty, a null source is a source of its own, and documents without a key are kept or dropped by their
+text alone; equal rows stay once.  Very long texts are worked on whole.  An empty table gives empty tables all the way.
 """
 
 from __future__ import annotations
