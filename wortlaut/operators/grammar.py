@@ -1,15 +1,18 @@
 """Reading a RELAX NG grammar into rules for single elements.
 
-Only grammars that decompose into such rules are accepted: every element name has one pattern and attributes do not
-depend on choices.  Any other grammar is refused, not approximated.  The rules say, per element: its attributes, which
-are required and what their values look like; its possible children; whether text may occur; and a regular expression
-for the sequence of children where the set of children does not say it all.
+A rule belongs to a type: an element pattern.  A name that has one pattern is its own type; where it has several, the
+type of the parent and the name decide, so a node's type follows from its path.  Grammars that do not decompose so (two
+patterns for one name side by side, attributes that depend on a choice of content, interleaved sequences inside others)
+are refused, not approximated.  The rules say, per type: its attributes, which are required, what their values look like
+and which go together; its possible children; whether text may occur; and a regular expression for the sequence of
+children where the set of children does not say it all.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
+from itertools import permutations
 
 from wortlaut.functions.attrs import XML_NAMESPACE
 
@@ -34,6 +37,9 @@ class ElementRule:
     any_child: bool = False
     text: bool = False
     model: tuple = EMPTY
+    type: str = ""  # the tag, with a number if the tag has several patterns
+    choices: list[tuple] = field(default_factory=list)  # choices among attributes
+    below: dict[str, int] = field(default_factory=dict)  # child tag → number of its pattern
 
     @property
     def needs_model(self) -> bool:
@@ -44,7 +50,12 @@ class ElementRule:
 @dataclass
 class Grammar:
     start: set[str]
-    elements: dict[str, ElementRule]
+    elements: dict[str, ElementRule]  # by type
+    several: dict[str, dict[str, str]] = field(default_factory=dict)  # tag with several types → type of parent → type
+
+    @property
+    def tags(self) -> set[str]:
+        return {rule.tag for rule in self.elements.values()}
 
 
 def _choice(parts: list[tuple]) -> tuple:
@@ -63,6 +74,13 @@ def _group(parts: list[tuple]) -> tuple:
     return EMPTY if not kept else kept[0] if len(kept) == 1 else ("group", tuple(kept))
 
 
+def _interleave(parts: list[tuple]) -> tuple:
+    if NOT_ALLOWED in parts:
+        return NOT_ALLOWED
+    kept = [q for p in parts if p != EMPTY for q in (p[1] if p[0] == "interleave" else (p,))]
+    return EMPTY if not kept else kept[0] if len(kept) == 1 else ("interleave", tuple(kept))
+
+
 def _repeat(part: tuple) -> tuple:
     return part if part in (EMPTY, NOT_ALLOWED) else ("oneOrMore", part)
 
@@ -76,12 +94,14 @@ class _Reader:
         self.bodies: dict[int, tuple[str, str, list, dict]] = {}  # element pattern → ns, tag, children, context
         self.wildcards: set[int] = set()
         self.root = root
+        self.combined: dict[str, str] = {}
         for define in root.iter(RELAX_NG + "define"):
-            if define.get("combine"):
-                raise UnsupportedGrammar("combined definitions")
-            self.defines.setdefault(define.get("name"), []).append(define)
+            name, combine = define.get("name"), define.get("combine")
+            self.defines.setdefault(name, []).append(define)
+            if combine and self.combined.setdefault(name, combine) != combine:
+                raise UnsupportedGrammar(f"{name} is combined in two ways")
         for name, found in self.defines.items():
-            if len(found) > 1:
+            if len(found) > 1 and (name not in self.combined or sum(not d.get("combine") for d in found) > 1):
                 raise UnsupportedGrammar(f"{name} is defined twice")
 
     def reference(self, name: str, context: dict) -> tuple:
@@ -89,7 +109,10 @@ class _Reader:
             if name not in self.defines:
                 raise UnsupportedGrammar(f"{name} is not defined")
             self.known[name] = ("pending",)
-            self.known[name] = _group(self.patterns(self.defines[name][0], context))
+            parts = [_group(self.patterns(d, context)) for d in self.defines[name]]
+            self.known[name] = parts[0] if len(parts) == 1 else (
+                _choice(parts) if self.combined[name] == "choice" else _interleave(parts)
+            )
         if self.known[name] == ("pending",):
             raise UnsupportedGrammar(f"{name} refers to itself outside an element")
         return self.known[name]
@@ -109,6 +132,11 @@ class _Reader:
             return _group(self.patterns(node, context))
         if kind == "choice":
             return _choice(self.patterns(node, context))
+        if kind == "interleave":
+            parts = self.patterns(node, context)
+            if sum(q == TEXT for q in parts) > 1:
+                raise UnsupportedGrammar("text in two interleaved parts")
+            return _interleave(parts)
         if kind == "optional":
             return _choice([EMPTY, _group(self.patterns(node, context))])
         if kind == "oneOrMore":
@@ -172,17 +200,25 @@ class _Reader:
 def _mentions_attribute(p: tuple) -> bool:
     if p[0] in ("attribute", "anyAttribute"):
         return True
-    if p[0] in ("group", "choice"):
+    if p[0] in ("group", "choice", "interleave"):
         return any(_mentions_attribute(q) for q in p[1])
     return p[0] == "oneOrMore" and _mentions_attribute(p[1])
 
 
+def _only_attributes(p: tuple) -> bool:
+    if p[0] in ("group", "choice", "interleave"):
+        return all(_only_attributes(q) for q in p[1])
+    return p == EMPTY or p[0] == "attribute"
+
+
 def _content(p: tuple) -> tuple:
     """The pattern without attributes and text."""
     if p[0] in ("attribute", "anyAttribute", "text", "mixedText"):
         return EMPTY
     if p[0] == "group":
         return _group([_content(q) for q in p[1]])
+    if p[0] == "interleave":
+        return _interleave([_content(q) for q in p[1]])
     if p[0] == "choice":
         return _choice([_content(q) for q in p[1]])
     if p[0] == "oneOrMore":
@@ -192,12 +228,27 @@ def _content(p: tuple) -> tuple:
     return p
 
 
+def _free(p: tuple) -> bool:
+    """Any subset of the attributes will do."""
+    if p[0] == "group":
+        return all(_free(q) for q in p[1])
+    if p[0] == "choice" and EMPTY in p[1] and len(p[1]) == 2:
+        (inner,) = (q for q in p[1] if q != EMPTY)
+        return inner[0] == "attribute" or _free(inner)
+    return p == EMPTY
+
+
+def _all_or_none(p: tuple) -> bool:
+    """An optional group in which an attribute must stand with something else."""
+    if p[0] in ("group", "interleave"):
+        return any(_mentions_attribute(q) for q in p[1])
+    return False
+
+
 def _visit(p: tuple, rule: ElementRule, required: bool) -> None:
     kind = p[0]
     if kind == "attribute":
-        if p[1] in rule.attributes and rule.attributes[p[1]] != p[2]:
-            raise UnsupportedGrammar(f"attribute {p[1]} of {rule.tag} has two patterns")
-        rule.attributes[p[1]] = p[2]
+        rule.attributes[p[1]] = _choice([rule.attributes[p[1]], p[2]]) if p[1] in rule.attributes else p[2]
         if required:
             rule.required.add(p[1])
     elif kind == "anyAttribute":
@@ -208,17 +259,23 @@ def _visit(p: tuple, rule: ElementRule, required: bool) -> None:
         rule.any_child = True
     elif kind == "element":
         rule.children.add(p[2])
-    elif kind == "group":
+        if rule.below.setdefault(p[2], p[1]) != p[1]:
+            raise UnsupportedGrammar(f"element {p[2]} has two patterns side by side in {rule.tag}")
+    elif kind in ("group", "interleave"):
         for q in p[1]:
             _visit(q, rule, required)
     elif kind == "oneOrMore":
         _visit(p[1], rule, required)
     elif kind == "choice":
         branches = [q for q in p[1] if q != EMPTY]
-        if len(branches) > 1 and any(_mentions_attribute(q) for q in branches):
-            raise UnsupportedGrammar(f"attributes of {rule.tag} depend on a choice")
+        one_attribute = len(branches) == 1 and branches[0][0] == "attribute"
+        if any(_mentions_attribute(q) for q in branches) and not one_attribute and not _free(p):
+            if _only_attributes(p):
+                rule.choices.append(p)
+            elif len(branches) > 1 or _all_or_none(branches[0]):
+                raise UnsupportedGrammar(f"attributes of {rule.tag} depend on a choice")
         for q in branches:
-            _visit(q, rule, required and len(branches) == len(p[1]))
+            _visit(q, rule, False)
 
 
 def _names(p: tuple) -> set[str] | None:
@@ -254,35 +311,68 @@ def _star_of_names(p: tuple) -> set[str] | None:
     return None
 
 
-def model_regex(p: tuple, letters: dict[str, str]) -> str:
-    """Regular expression over one letter per child."""
+def _letters(p: tuple) -> set[str]:
+    if p[0] == "element":
+        return {p[2]}
+    if p[0] in ("group", "choice", "interleave"):
+        return set().union(*map(_letters, p[1]))
+    return _letters(p[1]) if p[0] == "oneOrMore" else set()
+
+
+def _orders(parts: tuple[tuple, ...]) -> tuple:
+    """A few single elements in any order, spelled out."""
+    single = all(q[0] == "element" or q[0] == "choice" and _names(q) for q in parts)
+    if not single or len(parts) > 5:
+        raise UnsupportedGrammar("interleaved sequences inside another pattern")
+    return _choice([_group(list(order)) for order in permutations(parts)])
+
+
+def model_regex(p: tuple, letters: dict[str, str], skip: str = "", whole: bool = True) -> str:
+    """Regular expression over one letter per child.
+
+    ``skip`` matches what may follow every letter and is left out of account; ``whole`` says that the pattern is for all
+    children, from the first to the last.  Interleaved parts have no name in common, so each is looked at by itself,
+    with the letters of the others skipped.
+    """
     if p[0] == "element":
-        return letters[p[2]]
+        return letters[p[2]] + skip
     if p == EMPTY:
         return ""
     if p == NOT_ALLOWED:
         return "(?!)"
     if p[0] == "group":
-        return "".join(model_regex(q, letters) for q in p[1])
+        return "".join(model_regex(q, letters, skip, False) for q in p[1])
+    if p[0] == "interleave":
+        names = [_letters(q) for q in p[1]]
+        if sum(map(len, names)) != len(set().union(*names)):
+            raise UnsupportedGrammar("interleaved patterns share a name")
+        if not whole or skip:
+            return model_regex(_orders(p[1]), letters, skip, False)
+        every = "".join(sorted(letters[n] for n in set().union(*names)))
+        parts = []
+        for q, own in zip(p[1], names, strict=True):
+            others = "[" + "".join(sorted(letters[n] for n in set().union(*names) - own)) + "]*"
+            parts.append(f"(?={others}{model_regex(q, letters, others, False)}$)")
+        return "".join(parts) + f"[{every}]*"
     if p[0] == "oneOrMore":
         inner = _loose(p[1])
         nullable = inner[0] == "choice" and EMPTY in inner[1]
         if nullable:
             inner = _choice([q for q in inner[1] if q != EMPTY])
-        return model_regex(inner, letters) + ("*" if nullable else "+") if _names(inner) else (
-            f"(?:{model_regex(inner, letters)})" + ("*" if nullable else "+")
-        )
+        body = model_regex(inner, letters, skip, False)
+        return (body if _names(inner) and not skip else f"(?:{body})") + ("*" if nullable else "+")
     if p[0] == "choice":
         rest = [q for q in p[1] if q != EMPTY]
         optional = len(rest) < len(p[1])
         names = _names(_choice(rest))
         if names:
-            body = "[" + "".join(sorted(letters[n] for n in names)) + "]"
+            body = "[" + "".join(sorted(letters[n] for n in names)) + "]" + skip
+            body = f"(?:{body})" if skip and optional else body
         elif optional and len(rest) == 1 and rest[0][0] == "oneOrMore":
-            plus = model_regex(rest[0], letters)
+            plus = model_regex(rest[0], letters, skip, False)
             return plus[:-1] + "*"
         else:
-            body = "(?:" + "|".join(model_regex(q, letters) for q in rest) + ")"
+            body = "(?:" + "|".join(model_regex(q, letters, skip, whole) for q in rest) + ")"
         return body + ("?" if optional else "")
     raise UnsupportedGrammar(f"content pattern {p[0]}")
 
@@ -297,20 +387,32 @@ def compile_grammar(text: str | bytes) -> Grammar:
     starts = root.findall(RELAX_NG + "start")
     if len(starts) != 1:
         raise UnsupportedGrammar("one start pattern is needed")
-    start = _names(_group(reader.patterns(starts[0], context)))
+    begin = _group(reader.patterns(starts[0], context))
+    start = _names(begin)
     if not start:
         raise UnsupportedGrammar("the start pattern is not a choice of elements")
-    elements: dict[str, ElementRule] = {}
-    done: set[int] = set()
-    while todo := [key for key in reader.bodies if key not in done]:
+    first = ElementRule("", "")
+    _visit(begin, first, True)
+    rules: dict[int, ElementRule] = {}
+    while todo := [key for key in reader.bodies if key not in rules]:
         for key in todo:
-            done.add(key)
             ns, tag, inner, inside = reader.bodies[key]
-            if tag in elements:
-                raise UnsupportedGrammar(f"element {tag} has two patterns")
             patterns = [c for c in inner if isinstance(c.tag, str) and c.tag.startswith(RELAX_NG)]
             body = _group([reader.pattern(c, inside) for c in patterns])
-            rule = elements[tag] = ElementRule(tag, ns)
+            rule = rules[key] = ElementRule(tag, ns)
             _visit(body, rule, True)
             rule.model = _content(body)
-    return Grammar(start, elements)
+    keys: dict[str, list[int]] = {}
+    for key, rule in rules.items():
+        keys.setdefault(rule.tag, []).append(key)
+        rule.type = rule.tag
+    for tag, same in keys.items():
+        if len(same) > 1:
+            for n, key in enumerate(same):
+                rules[key].type = f"{tag} {n + 1}"  # no name has a blank
+    several = {
+        tag: {rule.type: rules[rule.below[tag]].type for rule in (first, *rules.values()) if tag in rule.below}
+        for tag, same in keys.items()
+        if len(same) > 1
+    }
+    return Grammar(start, {rule.type: rule for rule in rules.values()}, several)

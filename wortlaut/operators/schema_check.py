@@ -1,7 +1,8 @@
 """Conformance of nodes to a grammar, as row-level tests.
 
-The rules of a grammar, one small row per element name, are broadcast and joined by tag; a node row carries its parent's
-tag and its children's tags, so nothing is shuffled.  One pass over the nodes yields all violations.
+The rules of a grammar, one small row per type, are broadcast and joined by type; a node row carries its path, its parent's
+tag and its children's tags, so nothing is shuffled.  The type is the tag, but for tags of several types, where it
+follows from the path.  One pass over the nodes yields all violations.
 """
 
 from __future__ import annotations
@@ -115,8 +116,9 @@ class _Tests:
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
-        self.rules = [grammar.elements[tag] for tag in sorted(grammar.elements)]
-        self.letters = {rule.tag: chr(0xE000 + i) for i, rule in enumerate(self.rules)}
+        self.rules = [grammar.elements[name] for name in sorted(grammar.elements)]
+        self.letters = {tag: chr(0xE000 + i) for i, tag in enumerate(sorted(grammar.tags))}
+        self.choices: dict[tuple, int] = {}  # number of each distinct set of choices among attributes
         self.values: dict[tuple, int] = {}  # number of each distinct value pattern
         self.models: dict[str, int] = {}  # number of each distinct content model
         self.open_tags = [rule.tag for rule in self.rules if rule.any_child]
@@ -131,8 +133,20 @@ class _Tests:
         above = F.slice(F.split("path", "/"), 1, F.col("depth"))
         return F.arrays_overlap(above, F.array(*(F.lit(t) for t in self.open_tags)))
 
+    def _types(self, tags: Column, last: Column) -> Column:
+        """The type of the last of these tags: from the root down, a tag's own name, or what it is below the type before."""
+        several = self.grammar.several
+        if not several:
+            return last
+        pairs = {f"{above}/{tag}": own for tag, below in several.items() for above, own in below.items()}
+        lookup = F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+        step = lambda above, tag: F.when(
+            tag.isin(*several), F.try_element_at(lookup, F.concat(F.coalesce(above, F.lit("?")), F.lit("/"), tag))
+        ).otherwise(tag)
+        return F.when(last.isin(*several), F.aggregate(tags, F.lit(""), step)).otherwise(last)
+
     def with_rules(self, shredded: DataFrame) -> DataFrame:
-        """Nodes with the rules of their own tag and of their parent's; the rule tables are as large as the grammar."""
+        """Nodes with the rules of their own type and of their parent's; the rule tables are as large as the grammar."""
         own, parents = [], []
         for rule in self.rules:
             attrs = {
@@ -142,16 +156,22 @@ class _Tests:
             model = None
             if rule.needs_model:
                 model = self.models.setdefault(f"^{model_regex(rule.model, self.letters)}$", len(self.models))
-            own.append((rule.tag, rule.ns, list(attrs.items()), sorted(rule.required), rule.any_attribute, rule.text, model))
-            parents.append((rule.tag, sorted(rule.children), rule.any_child, rule.text))
+            choice = self.choices.setdefault(tuple(rule.choices), len(self.choices)) if rule.choices else None
+            own.append((rule.type, rule.ns, list(attrs.items()), sorted(rule.required), rule.any_attribute, rule.text, model, choice))
+            parents.append((rule.type, sorted(rule.children), rule.any_child, rule.text))
         names = pa.list_(pa.string())
-        own_types = (pa.string(), pa.string(), pa.map_(pa.string(), pa.int32()), names, pa.bool_(), pa.bool_(), pa.int32())
-        own_names = ("tag", "own_ns", "own_attrs", "own_required", "own_any_attr", "own_text", "own_model")
+        own_types = (pa.string(), pa.string(), pa.map_(pa.string(), pa.int32()), names, pa.bool_(), pa.bool_(), pa.int32(), pa.int32())
+        own_names = ("type", "own_ns", "own_attrs", "own_required", "own_any_attr", "own_text", "own_model", "own_choice")
         own_rules = _local_table(shredded, own, own_names, own_types)
         parent_types = (pa.string(), names, pa.bool_(), pa.bool_())
-        parent_names = ("parent_tag", "up_children", "up_any", "up_text")
+        parent_names = ("parent_type", "up_children", "up_any", "up_text")
         parent_rules = _local_table(shredded, parents, parent_names, parent_types)
-        return shredded.join(F.broadcast(own_rules), "tag", "left").join(F.broadcast(parent_rules), "parent_tag", "left")
+        tags = F.split("path", "/")
+        inside = F.when(F.col("kind") == "element", F.slice(tags, 1, F.size(tags) - 1)).otherwise(tags)
+        typed = shredded.withColumns(
+            {"type": self._types(tags, F.col("tag")), "parent_type": self._types(inside, F.col("parent_tag"))}
+        )
+        return typed.join(F.broadcast(own_rules), "type", "left").join(F.broadcast(parent_rules), "parent_type", "left")
 
     def root(self) -> Column:
         is_root = (F.col("kind") == "element") & (F.col("depth") == 0)
@@ -159,6 +179,9 @@ class _Tests:
 
     def elements(self) -> Column:
         declared = F.coalesce(F.col("own_ns") == F.coalesce("ns", F.lit("")), F.lit(False))
+        several = self.grammar.several
+        if several:  # such an element in a place that has no type for it is a child that is not allowed
+            declared |= F.col("tag").isin(*several) & F.col("type").isNull()
         unknown = (F.col("kind") == "element") & ~declared & ~self.below_wildcard()
         return _violation(unknown, "element-undeclared", F.col("tag"))
 
@@ -201,10 +224,24 @@ class _Tests:
             bad, lambda a: _struct("attribute-value", F.concat("tag", F.lit("/@"), a["name"], F.lit("="), a["value"]))
         )
 
+    def attr_choices(self) -> Column:
+        """Attributes that do not go together as the choices among them ask."""
+        chain = None
+        for choices, n in self.choices.items():
+            names = [_attribute_names(p) for p in choices]
+            fails = reduce(Column.__or__, (~_chosen(p, set(own), own) for p, own in zip(choices, names, strict=True)))
+            chain = F.when(F.col("own_choice") == n, fails) if chain is None else chain.when(F.col("own_choice") == n, fails)
+        wrong = F.lit(False) if chain is None else F.coalesce(chain, F.lit(False))
+        given = F.array_join(F.transform(self.attrs(), lambda a: F.concat(F.lit("@"), a["name"])), " ")
+        return _violation(self.known & wrong, "attribute-choice", F.concat("tag", F.lit("("), given, F.lit(")")))
+
     def children(self) -> Column:
         """Declared elements under a declared parent."""
         allowed = F.col("up_any") | F.array_contains("up_children", F.col("tag"))
-        wrong = self.known & F.coalesce(~allowed, F.lit(False))
+        known = self.known
+        if self.grammar.several:
+            known |= F.col("tag").isin(*self.grammar.several) & F.col("type").isNull() & ~self.below_wildcard()
+        wrong = known & F.coalesce(~allowed, F.lit(False))
         return _violation(wrong, "child-not-allowed", F.concat("parent_tag", F.lit("/"), "tag"))
 
     def text(self) -> Column:
@@ -230,6 +267,42 @@ class _Tests:
         return _violation(self.known & wrong, "content-model", detail)
 
 
+def _attribute_names(p: tuple) -> dict[str, set[tuple]]:
+    """The attributes of a pattern, with the value patterns each has."""
+    if p[0] == "attribute":
+        return {p[1]: {p[2]}}
+    found: dict[str, set[tuple]] = {}
+    for q in p[1] if p[0] in ("group", "choice", "interleave") else ():
+        for name, values in _attribute_names(q).items():
+            found.setdefault(name, set()).update(values)
+    return found
+
+
+def _chosen(p: tuple, among: set[str], values: dict[str, set[tuple]]) -> Column:
+    """Are the attributes given, of ``among``, just those that one way through the pattern has?  Where an attribute has
+    several value patterns, its value must fit the one on that way."""
+    given = F.coalesce("attrs", _no_attrs())
+
+    def absent(names: set[str]) -> Column:
+        tests = (~F.exists(given, lambda a: a["name"] == name) for name in sorted(names))
+        return reduce(Column.__and__, tests, F.lit(True))
+
+    if p[0] == "attribute":
+        fits = F.exists(
+            given,
+            lambda a: (a["name"] == p[1]) & (value_predicate(a["value"], p[2]) if len(values[p[1]]) > 1 else F.lit(True)),
+        )
+        return fits & absent(among - {p[1]})
+    if p[0] == "choice":
+        return reduce(Column.__or__, (_chosen(q, among, values) for q in p[1]))
+    if p[0] in ("group", "interleave"):
+        own = [set(_attribute_names(q)) for q in p[1]]
+        return reduce(
+            Column.__and__, (_chosen(q, o, values) for q, o in zip(p[1], own, strict=True)), absent(among - set().union(*own))
+        )
+    return absent(among)
+
+
 def _local_table(like: DataFrame, rows: list[tuple], names: tuple, types: tuple) -> DataFrame:
     columns = [pa.array(list(column), kind) for column, kind in zip(zip(*rows), types)]
     return like.sparkSession.createDataFrame(pa.table(columns, names=list(names)))
@@ -239,7 +312,7 @@ def _no_attrs() -> Column:
     return F.array().cast("array<struct<name:string,local:string,value:string>>")
 
 
-_ALL = ("root", "elements", "attrs_allowed", "attrs_required", "attr_values", "children", "text", "content_model")
+_ALL = ("root", "elements", "attrs_allowed", "attrs_required", "attr_values", "attr_choices", "children", "text", "content_model")
 
 
 def _check(shredded: DataFrame, grammar: Grammar, *kinds: str) -> DataFrame:
@@ -269,6 +342,11 @@ def check_attrs_allowed(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     return _check(shredded, grammar, "attrs_allowed")
 
 
+def check_attr_choices(shredded: DataFrame, grammar: Grammar) -> DataFrame:
+    """Attributes that a choice does not let stand together, or of which it asks for more."""
+    return _check(shredded, grammar, "attr_choices")
+
+
 def check_attrs_required(shredded: DataFrame, grammar: Grammar) -> DataFrame:
     """Attributes an element must have and lacks."""
     return _check(shredded, grammar, "attrs_required")

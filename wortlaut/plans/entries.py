@@ -550,3 +550,62 @@ bad AS (
 def b3_large(spark, sf_dir):
     corpus = Corpus.of(_large_docs(spark, sf_dir), [*_KEYS, *_SCHEMA_COLUMNS])
     return schema_check.check_schema(corpus.shredded, _large_grammar()).select("subdir", "filename", "line", "error")
+
+
+# Senses of an article and senses below others have patterns of their own; what is interleaved; attributes that go together.
+_TYPED_GRAMMAR = """<grammar xmlns="http://relaxng.org/ns/structure/1.0" ns="urn:example:entries"
+    datatypeLibrary="http://www.w3.org/2001/XMLSchema-datatypes">
+  <start><ref name="entry"/></start>
+  <define name="entry">
+    <element name="entry">
+      <attribute name="xml:id"/>
+      <choice>
+        <group><attribute name="xml:lang"/><attribute name="status"/></group>
+        <attribute name="status"><value>O</value></attribute>
+      </choice>
+      <mixed><ref name="form"/><zeroOrMore><choice><ref name="note"/><ref name="orth"/></choice></zeroOrMore>
+        <zeroOrMore><ref name="sense"/></zeroOrMore></mixed>
+    </element>
+  </define>
+  <define name="form"><element name="form"><optional><attribute name="bogus"/></optional><ref name="orth"/></element></define>
+  <define name="orth"><element name="orth"><text/></element></define>
+  <define name="note"><element name="note"><empty/></element></define>
+  <define name="sense">
+    <element name="sense">
+      <attribute name="n"><data type="nonNegativeInteger"><param name="maxInclusive">2</param></data></attribute>
+      <attribute name="src"/>
+      <interleave><ref name="def"/><oneOrMore><choice><ref name="cit"/><ref name="below"/></choice></oneOrMore></interleave>
+    </element>
+  </define>
+  <define name="below">
+    <element name="sense">
+      <attribute name="n"><value>9</value></attribute>
+      <optional><ref name="def"/></optional>
+    </element>
+  </define>
+  <define name="def"><element name="def"><text/></element></define>
+  <define name="cit"><element name="cit"><oneOrMore><ref name="below"/></oneOrMore></element></define>
+</grammar>"""
+
+
+@registry.add(
+    "b3_typed_grammar",
+    f"""{ENTRY_SQL}, bad AS (
+      SELECT k, 1 AS line, 'root-not-allowed: item' AS error FROM o WHERE r = 'item'
+      UNION ALL SELECT k, 1, 'element-undeclared: item' FROM o WHERE r = 'item'
+      UNION ALL SELECT k, 1, 'attribute-choice: entry(@{{http://www.w3.org/XML/1998/namespace}}id @status)' FROM o
+        WHERE r = 'entry' AND k % 6 = 0 AND st <> 'O'
+      UNION ALL SELECT k, i + 2, 'attribute-value: sense/@n=3' FROM s WHERE r = 'entry' AND i = 3
+      UNION ALL SELECT k, i + 2, 'content-model: sense(def)' FROM s WHERE r = 'entry' AND v = 0
+      UNION ALL SELECT k, i + 2, 'attribute-value: sense/@n=8' FROM s WHERE v = 2
+      UNION ALL SELECT k, i + 2, unnest(['child-not-allowed: sense/sense', 'content-model: sense(sense)'])
+        FROM s WHERE r = 'entry' AND v = 3)
+    SELECT {ENTRY_SOURCE_SQL}, CAST(line AS BIGINT) AS line, CAST(0 AS BIGINT) AS "column", error FROM bad""",
+)
+def b3_typed(spark, sf_dir):
+    return schema_check.check_schema(_corpus(spark, sf_dir, *_SCHEMA_COLUMNS).shredded, _typed_grammar())
+
+
+@cache
+def _typed_grammar():
+    return compile_grammar(_TYPED_GRAMMAR)
