@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
@@ -197,6 +198,30 @@ def test_index_is_written_per_directory(spark, tmp_path):
     assert sorted(r["path"] for r in part.collect()) == ["z", "z/a.xml"]
 
 
+def test_one_directory_of_an_index_reads_its_own_files(spark, tmp_path):
+    paths = [f"{top}/{sub}/f{i}.xml" for top in ("a", "ab", "z z%ü") for sub in "xyz" for i in range(40)]
+    rows = index.directory_index(spark.createDataFrame([(p, 10) for p in paths], "path string, length long"))
+    index.write_index(rows, str(tmp_path))
+
+    def read(*args, **options):
+        part = index.read_index(spark, str(tmp_path), *args, **options)
+        found = sorted(r["path"] for r in part.collect())
+        plan = part._jdf.queryExecution().executedPlan()
+        files = plan.collectLeaves().apply(0).metrics().apply("numFiles").value()
+        return found, files
+
+    for directory in ("a", "a/x", "z z%ü", "z z%ü/y", "none"):
+        folders = [f for f in tmp_path.iterdir() if f.name.startswith("directory=")]
+        name = lambda f: unquote(f.name.partition("=")[2])
+        own = sum(len(list(f.glob("part-*"))) for f in folders if name(f) == directory)
+        under = own + sum(len(list(f.glob("part-*"))) for f in folders if name(f).startswith(f"{directory}/"))
+        known = [p for p in paths if p.startswith(f"{directory}/")]
+        found, files = read(directory)
+        assert files == under and [p for p in found if p.endswith(".xml")] == sorted(known)
+        found, files = read(directory, below=False)
+        assert files == own and [p for p in found if p.endswith(".xml")] == sorted(p for p in known if p.count("/") == directory.count("/") + 1)
+
+
 def test_a_null_path_selects_nothing(spark):
     files = spark.createDataFrame([("a/b/c.xml", 10), ("z/a.xml", 1)], "path string, length long")
     chosen = spark.createDataFrame([(None,), ("a/b",)], "path string")

@@ -130,6 +130,25 @@ def a4(spark, sf_dir):
     return index.directory_index(_listing(spark, sf_dir))
 
 
+@registry.add("a4_json_index", f"{_INDEX_SQL} SELECT * FROM ix")
+def a4_json(spark, sf_dir):
+    """The index written as JSON and read back whole."""
+    path = scratch_path(spark)
+    index.write_index(index.directory_index(_listing(spark, sf_dir)), path)
+    return index.read_index(spark, path)
+
+
+@registry.add(
+    "a4_json_directory",
+    f"{_INDEX_SQL} SELECT * FROM ix WHERE path = 'Texte/src1' OR starts_with(path, 'Texte/src1/')",
+)
+def a4_json_directory(spark, sf_dir):
+    """One directory of the written index, from its own files."""
+    path = scratch_path(spark)
+    index.write_index(index.directory_index(_listing(spark, sf_dir)), path)
+    return index.read_index(spark, path, "Texte/src1")
+
+
 @registry.add(
     "a5_index_order",
     f"""{_INDEX_SQL} SELECT path, array_to_string(list_transform(string_split(path, '/'), lambda p: lower(p)), '|') AS sort_key

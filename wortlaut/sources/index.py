@@ -78,14 +78,19 @@ def selected_docs(selection: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """The index as JSON lines, one folder of files per directory of the corpus (the top level under an empty name)."""
-    top = F.when(F.contains("path", F.lit("/")), F.split("path", "/")[0]).otherwise(F.col("path"))
-    index.withColumn("corpus", top).write.mode("overwrite").partitionBy("corpus").json(path)
+    """The index as JSON lines, one folder per directory of the corpus: its own row and those of its files."""
+    directory = F.when(F.col("is_dir"), F.col("path")).otherwise(parent(F.col("path")))
+    # a directory's rows go to one task per salt, so the files of a large one are written by several
+    dealt = index.withColumn("directory", directory).repartition("directory", F.pmod(F.xxhash64("path"), F.lit(16)))
+    dealt.write.mode("overwrite").partitionBy("directory").json(path)
 
 
-def read_index(spark: SparkSession, path: str, corpus: str | None = None) -> DataFrame:
-    """A written index; with ``corpus`` only the rows of that top-level directory, from its own files."""
-    schema = "path string, name string, is_dir boolean, depth int, file_count long, size_kb double, corpus string"
+def read_index(spark: SparkSession, path: str, directory: str | None = None, below: bool = True) -> DataFrame:
+    """A written index; with ``directory`` only its own row and what is in it, read from its folder alone, and with
+    ``below`` also what is in the directories under it, from theirs."""
+    schema = "path string, name string, is_dir boolean, depth int, file_count long, size_kb double, directory string"
     rows = spark.read.schema(schema).json(path)
-    rows = rows if corpus is None else rows.filter(F.col("corpus") == corpus)
-    return rows.drop("corpus")
+    if directory is not None:
+        inside = F.col("directory") == directory
+        rows = rows.filter(inside | F.startswith("directory", F.lit(f"{directory}/")) if below else inside)
+    return rows.drop("directory")
