@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -73,6 +74,51 @@ def test_quality_on_held_out_documents(labelled_corpus):
     assert again == pytest.approx({k: r.score for k, r in by.items()})
 
 
+def plain_features(text):
+    """The statistics of the ranker and of the rules, word by word."""
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    per = lambda n, of: n / max(of, 1)
+    return {
+        "symbol_share": per(sum(c in "#*$%&|<>" for c in text), len(text)),
+        "mark_share": per(text.count("!"), len(words)),
+        "upper_share": per(sum(unicodedata.category(c) == "Lu" for c in text), len(text)),
+        "digit_share": per(sum(c in string.digits for c in text), len(text)),
+        "same_share": per(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+        "dup_line_share": per(len(lines) - len(set(lines)), len(lines)),
+        "word_length": per(sum(map(len, words)), len(words)),
+    }
+
+
+ODD_TEXTS = ["ÄÖ ß!!! 12 12 12\n\n ab\nab\n  ab\tab", "#*$%&|<> x x", "\x0b\x0c a\u00a0b ǅ Σς", "1\n1\n1\n2", "!", "\n \n"]
+
+
+def test_scores_and_rule_numbers_against_plain_loops(spark, labelled_corpus):
+    """Every score from the fitted weights, and every rule number from the learned conditions, on all documents."""
+    docs, labels = labelled_corpus
+    odd = spark.createDataFrame([(2000 + i, t, "en", 5, "x") for i, t in enumerate(ODD_TEXTS)], docs.schema)
+    docs = docs.unionByName(odd)
+    texts = {(r.doc_id, r.text): plain_features(r.text) for r in docs.collect()}
+    model, rules = fit_quality(docs, labels), fit_rules(docs, labels)
+    shift = np.log(0.3 / 0.7) - model.bound
+    want = sorted(
+        (k or -1, 1 / (1 + np.exp(-(sum((x[n] - m) / s * w for n, m, s, w in zip(model.names, model.means, model.scales, model.weights)) + shift))))
+        for (k, _), x in texts.items()
+    )
+    got = sorted({(r.doc_id or -1, r.score) for r in score_quality(docs, labels).collect()})
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-9, abs=1e-12)
+
+    def number(x):
+        fits = lambda rule: all(x[n] > limit if sign == ">" else x[n] <= limit for n, sign, limit in rule)
+        return next((i for i, rule in enumerate(rules.rules, 1) if fits(rule)), None)
+
+    assert len(rules.rules) >= 2
+    found = {(r.doc_id, r.rule) for r in apply_rules(docs, labels).collect()}
+    assert found == {(k, number(x)) for (k, _), x in texts.items()}
+    assert len({n for _, n in found}) >= 3
+
+
 def test_good_documents_stay_as_they_are(labelled_corpus):
     docs, labels = labelled_corpus
     kept = keep_good(docs, labels)
