@@ -403,3 +403,22 @@ def test_native_operators_run_no_python(labelled_corpus):
     for df in (pii.candidates(docs), pii.find_personal_data(docs), apply_rules(docs, labels)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """More labelled documents than the 8,000 a sample once held: scales and the bound are those of all of them."""
+    docs = spark.range(12_000).selectExpr(
+        "id AS doc_id", "repeat(if(id % 4 = 0, 'ab! ', 'word '), cast(5 + id % 7 as int)) || repeat('x', cast(id % 50 as int)) AS text"
+    )
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 != 0 as int) AS quality")
+    rows = [(r.text, int(r.doc_id % 4 != 0)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert len(rows) > 9_000
+    model = fit_quality(docs, labels)
+    x = np.array([[plain_features(t)[n] for n in model.names] for t, _ in rows])
+    y = np.array([q for _, q in rows])
+    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    assert model.means == pytest.approx(x.mean(axis=0)) and model.scales == pytest.approx(spread)
+    scores = (x - x.mean(axis=0)) / spread @ np.array(model.weights)
+    assert model.bound == pytest.approx(np.quantile(scores, (y == 0).mean(), method="midpoint"))
+    assert ((scores >= model.bound) == y).mean() > 0.99
+    assert model == fit_quality(docs.repartition(5), labels.repartition(3))

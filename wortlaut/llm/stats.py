@@ -104,19 +104,22 @@ def features() -> dict[str, Column]:
     }
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """At most ``rows`` documents with their label, the held-out fold excluded; the same ones in every run.
+def known_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """``key`` and ``_label`` of every id with one label, the held-out fold excluded.
 
     Ids with both labels, and null ids or labels, teach nothing.
     """
-    ids = (
+    return (
         labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
         .groupBy(key)
         .agg(F.min(label).alias("_label"), F.max(label).alias("_most"))
         .filter("_label = _most")
-        .orderBy(F.xxhash64(key), key)
-        .limit(rows)
         .select(key, "_label")
     )
+
+
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """At most ``rows`` documents with their label, the held-out fold excluded; the same ones in every run."""
+    ids = known_labels(labels, key, label).orderBy(F.xxhash64(key), key).limit(rows)
     # at most `rows` short rows
     return docs.join(F.broadcast(ids), key)
