@@ -193,3 +193,15 @@ def test_bloom_filter(spark):
     assert asked.filter(may_contain(bloom_filter(kept, "v"), F.lit(None).cast("string"))).count() == 0
     with pytest.raises(ValueError):
         bloom_filter(kept, "v", 100)
+
+
+def test_words_of_a_document_are_looked_for_once(spark, make_docs):
+    """An array of words gives a row for each, and the documents are searched in one place of the plan."""
+    texts = {"a.xml": "x\n" + "ab cd\n" * 2 + "ef\n" * 90 + "gh", "b.xml": "ab"}
+    asked = [("a.xml", 2, ["ab", "gh", "ef", "no", "d\ne"]), ("a.xml", 0, ["x"]), ("b.xml", 5, ["ab"]), ("b.xml", 1, [])]
+    wanted = spark.createDataFrame(asked, "doc_id string, hint_line int, words array<string>")
+    found = spelling.exact_lines(wanted, make_docs(texts))
+    got = {(r["doc_id"], r["hint_line"], r["word"]): r["line"] for r in found.collect()}
+    assert got == {(d, h, w): brute_line(w, h, texts[d].splitlines()) for d, h, words in asked for w in words}
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.split("== Initial Plan ==")[-1].count("ArrowEvalPython") == 1

@@ -9,20 +9,24 @@ each row, so texts stay where they are and little but hits leaves a row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wortlaut.functions.bloom import bloom_filter, may_contain
 from wortlaut.functions.sizes import keep_values, staged
-from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, split_lines, string_literals, strip
+from wortlaut.functions.text import WORD_CLASS, is_blank, pieces, string_literals, strip
 from wortlaut.operators.corpus import Corpus
 from wortlaut.operators.results import SOURCE
 from wortlaut.operators.search import DEFAULT_EXCLUDED_TAGS
 
 CONTEXT = 40
-_NEAR_LINES = 64
+#: The line ends of ``split_lines`` in UTF-8.
+_LINE_END = re.compile(rb"\r\n|[\n\r\x0b\x0c\x1c-\x1e]|\xc2\x85|\xe2\x80[\xa8\xa9]")
 _WORD = re.compile(r"\w")
 _BOUNDARY = re.compile(r"(?<=\w)(?!\w)|(?<!\w)(?=\w)")
 
@@ -217,33 +221,56 @@ def find_spellings(segments: DataFrame, spellings: DataFrame | dict[str, str]) -
     return _joined_hits(texts, spellings.filter(F.col("alt") != "").select("alt", "neu"))
 
 
-def _line(lines: Column, hint: Column, word: Column) -> Column:
-    """The number of the first line from the hint on that contains the word, or the hint.
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _lines_of(contents: pd.Series, hints: pd.Series, words: pd.Series) -> pd.Series:
+    """For every hint and its words, the number of the first line from the hint on that contains the word, or the hint."""
 
-    Nearly every word stands close to its hint, so only what is not found in the lines there is looked for in the rest.
-    """
-    first = F.greatest(F.lit(1), hint)
-
-    def place(start: Column, length: Column) -> Column:
-        holds = F.transform(F.slice(lines, start, length), lambda x: F.contains(x, word))
-        return F.nullif(F.array_position(holds, F.lit(True)), F.lit(0)) + start - 1
+    def of(content: bytes, hints: list, words: list) -> list:
+        if content is None:
+            return [[hint for _ in some] for hint, some in zip(hints, words)]
+        starts = [0, *(m.end() for m in _LINE_END.finditer(content))]
+        out = []
+        for hint, some in zip(hints, words):
+            hint = None if pd.isna(hint) else int(hint)
+            first = max(1, hint or 0)
+            at, found = starts[first - 1] if first <= len(starts) else len(content), []
+            for word in some:
+                sought = None if word is None else word.encode()
+                place = -1 if sought is None or _LINE_END.search(sought) else content.find(sought, at)
+                found.append(bisect_right(starts, place) if 0 <= place < len(content) else hint)
+            out.append(found)
+        return out
 
-    near, rest = F.lit(_NEAR_LINES), F.size(lines)
-    return F.coalesce(place(first, near), place(first + near, rest), hint.cast("long")).cast("int")
+    return pd.Series([of(*row) for row in zip(contents, hints, words)])
 
 
 def exact_lines(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows of ``wanted(doc_id, hint_line, word, …)`` with ``line``: the first source line from the hint on that
-    contains the word, or the hint.
+    contains the word, or the hint.  With an array ``words`` in place of ``word``, a row for each word of it.
 
     What is wanted of a document is collected, meets the document once, and is looked for in its lines, so lines never
-    become rows.
+    become rows, nor words before they are found.  A search in the bytes of a document ends where the word is found.
     """
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c != "doc_id"))).alias("_asked"))
-    cut = docs.select("doc_id", "content").join(asked, "doc_id")
-    cut = cut.withColumn("_lines", split_lines(F.col("content").cast("string")))
-    found = F.transform("_asked", lambda w: w.withField("line", _line(F.col("_lines"), w["hint_line"], w["word"])))
-    return cut.select("doc_id", F.explode(found).alias("r")).select("doc_id", "r.*")
+    rows = wanted if "words" in wanted.columns else wanted.withColumn("words", F.array("word")).drop("word")
+    kept = [c for c in rows.columns if c not in ("doc_id", "words")]
+    # searching costs far more than moving, so small tasks are not put together
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, "doc_id")
+    asked = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*kept, "words")).alias("_asked"))
+    cut = docs.select("doc_id", "content").repartition(tasks, "doc_id").join(asked, "doc_id")
+    lines = _lines_of("content", F.col("_asked.hint_line").cast("array<int>"), "_asked.words")
+
+    def found(w: Column) -> Column:
+        own = [w["_asked"][c].alias(c) for c in kept]
+        both = F.arrays_zip(w["_asked"]["words"].alias("word"), w["_found"].alias("line"))
+        return F.transform(both, lambda x: F.struct(*own, x["word"].alias("word"), x["line"].alias("line")))
+
+    cut = cut.select("doc_id", F.arrays_zip("_asked", lines.alias("_found")).alias("_all"))
+    every = F.flatten(F.transform("_all", found))
+    # explode_outer: for a plain explode the optimizer adds a filter that would make the rows once more
+    each = cut.select("doc_id", F.explode_outer(every).alias("r")).filter(F.col("r").isNotNull())
+    return each.select("doc_id", "r.*")
 
 
 def check_spelling(

@@ -208,6 +208,13 @@ def h6(spark, sf_dir):
     return spelling.check_spelling(corpus, _word_list(spark, sf_dir)).drop("seg_no", "place")
 
 
+def _words_by(segments: DataFrame, *keys: str) -> DataFrame:
+    """The different words of the segments with equal keys, in one array, so that words do not become rows."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
+    found = segments.select(*keys, words.alias("words"))
+    return found.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+
+
 @registry.add(
     "h5_exact_lines",
     f"""{_P_SQL}, ask AS (SELECT DISTINCT d, source, lang, i + 1 AS h, unnest(regexp_extract_all(t, '{_WORD}')) AS w FROM p)
@@ -217,8 +224,7 @@ def h5(spark, sf_dir):
     """Every word, and the first source line from its paragraph's on that contains it: the paragraph stands on one line,
     so that is its own."""
     corpus = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE)
-    words = corpus.segments.filter("tag = 'p'").withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
-    asked = words.select(*DOC_KEYS, "hint_line", "word").distinct()
+    asked = _words_by(corpus.segments.filter("tag = 'p'"), *DOC_KEYS, "hint_line")
     return spelling.exact_lines(asked, corpus.docs).select("quelle", "subdir", "filename", "hint_line", "word", "line")
 
 
