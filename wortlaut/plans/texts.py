@@ -240,8 +240,7 @@ def h5(spark, sf_dir):
 def h5_down(spark, sf_dir):
     """Every word of a document, looked for from the second line on; those that stand in later paragraphs have an answer."""
     corpus = Corpus.of(text_docs(spark, sf_dir), SEGMENT_SOURCE)
-    words = corpus.segments.filter("tag = 'p'").withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
-    asked = words.filter(F.col("hint_line") > 1).select("doc_id", "word").distinct()
+    asked = _words_by(corpus.segments.filter("tag = 'p'").filter(F.col("hint_line") > 1), "doc_id")
     found = spelling.exact_lines(asked.withColumn("hint_line", F.lit(2)), corpus.docs)
     return found.select(F.col("doc_id").alias("document"), "word", "line")
 
