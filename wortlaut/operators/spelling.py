@@ -12,7 +12,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,17 +221,17 @@ def find_spellings(segments: DataFrame, spellings: DataFrame | dict[str, str]) -
     return _joined_hits(texts, spellings.filter(F.col("alt") != "").select("alt", "neu"))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _lines_of(contents: pd.Series, hints: pd.Series, words: pd.Series) -> pd.Series:
-    """For every hint and its words, the number of the first line from the hint on that contains the word, or the hint."""
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _lines_of(contents: pa.Array, hints: pa.Array, words: pa.Array) -> pa.Array:
+    """For every hint and its words, the number of the first line from the hint on that contains the word, or the hint.
+    Only one document at a time becomes Python objects."""
 
-    def of(content: bytes, hints: list, words: list) -> list:
+    def of(content: bytes | None, hints: list, words: list) -> list:
         if content is None:
             return [[hint for _ in some] for hint, some in zip(hints, words)]
         starts = [0, *(m.end() for m in _LINE_END.finditer(content))]
         out = []
         for hint, some in zip(hints, words):
-            hint = None if pd.isna(hint) else int(hint)
             first = max(1, hint or 0)
             at, found = starts[first - 1] if first <= len(starts) else len(content), []
             for word in some:
@@ -241,7 +241,8 @@ def _lines_of(contents: pd.Series, hints: pd.Series, words: pd.Series) -> pd.Ser
             out.append(found)
         return out
 
-    return pd.Series([of(*row) for row in zip(contents, hints, words)])
+    rows = (of(*(x.as_py() for x in row)) for row in zip(contents, hints, words, strict=True))
+    return pa.array(rows, pa.list_(pa.list_(pa.int32())))
 
 
 def exact_lines(wanted: DataFrame, docs: DataFrame) -> DataFrame:
