@@ -55,6 +55,11 @@ def test_checks_on_rows_do_not_shuffle(spark, tmp_path_factory, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_merge_reads_the_texts_once_beside_the_index(spark):
+    text = plan(entry.queries()["i4_merge_lookups"](spark, SF_DIR))
+    assert text.count("Location: InMemoryFileIndex(1 paths)[file:" + os.path.abspath(SF_DIR) + "/documents.parquet]") == 1
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns

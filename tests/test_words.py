@@ -1,5 +1,7 @@
 """Word list rules and lookups."""
 
+from pyspark.sql import functions as F
+
 from wortlaut.operators import lookup, wordlist
 
 WORDS = ["Fluß", "Fluss", "Maß", "Mass", "Straße", "Photographie", "Fotografie", "Phase", "Fase", "pHWert", "Schifffahrt",
@@ -91,6 +93,34 @@ def test_responses(spark):
         ("f", None, "JSONDecodeError"), ("g", None, "HTTP 429")]
 
 
+def test_a_response_is_made_once_for_each_word(spark):
+    """However often the word occurs, and whatever is asked of the answer later."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(word):
+        made.add(1)
+        return f'[{{"input":"{word}","lemma":"{word}e"}}]'
+
+    words = spark.range(300).select(F.get(F.array(F.lit("a"), F.lit("b "), F.lit("1")), (F.col("id") % 3).cast("int")).alias("lemma"))
+    lemmas = wordlist.clean_lemmas(words)
+    responses = lemmas.select(F.col("lemma").alias("wort"), body("lemma").alias("body"), F.lit(None).cast("string").alias("error"))
+    good = lookup.parse_lookup(responses).filter(F.col("error").isNull() & F.col("canonical").isNotNull())
+    assert pairs(good, "wort", "canonical") == [("a", "ae"), ("b", "be")]
+    assert made.value == 2
+
+
+def test_forms_of_a_lemma_make_one_row(spark):
+    rows = [(4, "a", "x"), (9, " a", " y "), (6, "a\t", "z"), (9, "1", "one"), (7, "-a", ""), (8, "", ""), (5, None, ""), (None, "b", "v")]
+    index = lookup.lookup_index(spark.createDataFrame(rows, "ord long, lemma string, lemma_neu string"))
+    assert sorted(map(tuple, index.collect())) == [("a", 4, 9, "y"), ("b", None, None, None)]
+    answers = spark.createDataFrame([("a", "A", None), ("b", "B", None), ("1", "I", None)], "wort string, canonical string, error string")
+    base = spark.createDataFrame(rows, "ord long, lemma string, lemma_neu string")
+    merged = {(r["ord"], r["lemma"]): r["lemma_neu"] for r in lookup.merge_lookups(base, index, answers).collect()}
+    # the last row of the lemma stands for it, whatever its form, as does every row of the same place
+    assert merged == {**{(o, w): n for o, w, n in rows}, (9, " a"): "A", (9, "1"): "A"}
+
+
 def test_merge_ledger_and_totals(spark):
     answers = spark.createDataFrame(
         [("a", "A!", None, "t2"), ("c", None, "HTTP 500", "t2"), ("e", "NOT_FOUND", None, "t2")],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wortlaut.functions.ordering import with_position
 from wortlaut.functions.sizes import staged
 from wortlaut.functions.text import strip
-from wortlaut.operators.wordlist import usable_lemma
+from wortlaut.operators.wordlist import usable_forms
 
 # Fixed values.
 NOT_FOUND = "NOT_FOUND"
@@ -31,11 +31,14 @@ def lookup_base(source: DataFrame, previous: DataFrame | None = None) -> DataFra
 
 def lookup_index(base: DataFrame) -> DataFrame:
     """One row per usable lemma: ``first_ord`` gives its turn, ``row_ord`` its last row, which holds the answer."""
-    words = base.select(strip(F.col("lemma")).alias("lemma"), "ord", "lemma_neu").filter(usable_lemma(F.col("lemma")))
+    forms = base.groupBy(F.col("lemma").alias("form")).agg(
+        F.min("ord").alias("first_ord"), F.max("ord").alias("row_ord"), F.max_by("lemma_neu", "ord").alias("lemma_neu")
+    )
+    words = usable_forms(forms, "form", "first_ord", "row_ord", "lemma_neu")
     return words.groupBy("lemma").agg(
-        F.min("ord").alias("first_ord"),
-        F.max("ord").alias("row_ord"),
-        strip(F.max_by("lemma_neu", "ord")).alias("lemma_neu"),
+        F.min("first_ord").alias("first_ord"),
+        F.max("row_ord").alias("row_ord"),
+        strip(F.max_by("lemma_neu", "row_ord")).alias("lemma_neu"),
     )
 
 
@@ -66,14 +69,20 @@ def parse_lookup(responses: DataFrame, not_found: str | None = NOT_FOUND) -> Dat
     body = F.col("body")
     is_list = F.ltrim(body).startswith("[")
     entries = F.when(is_list, F.from_json(body, "array<struct<input:string,lemma:string>>"))
-    own = F.get(F.filter(entries, lambda e: e["input"] == F.col("wort")), F.lit(0))
-    lemma = F.coalesce(own, F.get(entries, F.lit(0)))["lemma"]
-    answer = F.coalesce(F.nullif(lemma, F.lit("")), F.lit(not_found))
-    broken = F.col("error").isNull() & F.try_parse_json(body).isNull()
-    error = F.when(broken, "JSONDecodeError").otherwise(F.col("error"))
-    canonical = F.when(F.col("error").isNull() & ~broken, answer)
+    read = F.struct(entries.alias("entries"), F.try_parse_json(body).isNull().alias("unreadable"))
+
+    def answer(read: Column) -> Column:
+        own = F.get(F.filter(read["entries"], lambda e: e["input"] == F.col("wort")), F.lit(0))
+        lemma = F.coalesce(own, F.get(read["entries"], F.lit(0)))["lemma"]
+        found = F.coalesce(F.nullif(lemma, F.lit("")), F.lit(not_found))
+        broken = F.col("error").isNull() & read["unreadable"]
+        error = F.when(broken, "JSONDecodeError").otherwise(F.col("error"))
+        return F.struct(F.when(F.col("error").isNull() & ~broken, found).alias("canonical"), error.alias("error"))
+
     kept = [c for c in responses.columns if c not in ("wort", "body", "error")]
-    return responses.select("wort", canonical.alias("canonical"), error.alias("error"), *kept)
+    # One read for both columns.  A generator: no later filter on an answer moves below it, to where a word is not
+    # distinct yet and its response would be made and read for every occurrence.
+    return responses.select("wort", F.inline(F.transform(F.array(read), answer)), *kept)
 
 
 def merge_lookups(base: DataFrame, index: DataFrame, answers: DataFrame) -> DataFrame:

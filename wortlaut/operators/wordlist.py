@@ -20,8 +20,16 @@ SS, PH, TRIPLE, SUPPLEMENT = 0, 1, 2, 3  # order of the sources
 
 def clean_lemmas(words: DataFrame, column: str = "lemma") -> DataFrame:
     """Distinct single words of letters and hyphens that are not affixes."""
+    return usable_forms(words.select(column).distinct(), column).distinct()
+
+
+def usable_forms(forms: DataFrame, column: str, *others: str) -> DataFrame:
+    """(lemma, *others) of the forms, given once each, that trimmed are usable lemmas.
+
+    A generator, as a filter would move below what makes the forms distinct and be asked for every occurrence.
+    """
     lemma = strip(F.col(column))
-    return words.select(lemma.alias("lemma")).filter(usable_lemma(F.col("lemma"))).distinct()
+    return forms.select(F.explode(F.array_compact(F.array(F.when(usable_lemma(lemma), lemma)))).alias("lemma"), *others)
 
 
 def usable_lemma(lemma: Column) -> Column:

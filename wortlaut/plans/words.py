@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wortlaut.functions.sizes import scratch_path
+from wortlaut.functions.sizes import scratch_path, staged
 from wortlaut.operators import lookup, wordlist
 from wortlaut.plans.common import Registry, spread, table
 from wortlaut.sources import wordlists
@@ -42,12 +42,15 @@ _SUPPLEMENT_SQL = """sup AS (
   UNION ALL SELECT 'Fluß', 'Strom')"""
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.array(*(F.lit(w) for w in _PLANTED)))
+    return table(spark, sf_dir, "region").filter("r_regionkey = 0").select(words.alias("lemma"))
+
+
 def _raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.regexp_replace("text", '[ \\n.,;:!?()"]', " "), " ")
-    planted = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(
-        F.explode(F.array(*(F.lit(w) for w in _PLANTED))).alias("lemma")
-    )
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(F.explode(words).alias("lemma")).unionByName(planted)
+    found = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.explode(words).alias("lemma"))
+    return found.unionByName(_planted(spark, sf_dir))
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +254,10 @@ def i2(spark, sf_dir):
 )
 def i4(spark, sf_dir):
     base = _base(spark, sf_dir)
-    return lookup.merge_lookups(base, lookup.lookup_index(base), _answers(_lemmas(spark, sf_dir)))
+    index = staged(lookup.lookup_index(base).select("lemma", "row_ord"))
+    # The lemmas of the texts are those of the index, so the texts need not be read for them once more.
+    lemmas = index.select("lemma").unionByName(wordlist.clean_lemmas(_planted(spark, sf_dir))).distinct()
+    return lookup.merge_lookups(base, index, _answers(lemmas))
 
 
 _LEDGER_SQL = f"""{_BASE_SQL}, asked AS (SELECT * FROM ans WHERE len(wort) % 3 < 2),
